@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts.query,
+    "op2_toxicity": toxicity.query,
     "op5_bpe_encoding": bpe.query,
+    "op7_quality_classifier": quality.query,
+    "op8_mixing_sources": mixing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_token_counts": token_counts.SQL,
+    "op8_mixing_sources": mixing.SQL,
+}
