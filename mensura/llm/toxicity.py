@@ -23,14 +23,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import crf
 from .common import fold, over_batches, smallest_hashes, table
+from .shingles import mix, shingle_lists
 
 MAX_PER_LABEL, MAX_TERMS, MAX_VARIANTS = 3000, 600, 20_000
-#: A learned term's log-likelihood ratio against the labels, and its least document count.
-LEAST_RATIO, LEAST_DOCS = 20.0, 3
+#: A learned term's least log-likelihood ratio against the labels, share of toxic documents, and document count.
+LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 20.0, 0.9, 3
 WINDOW = 6
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
@@ -206,6 +208,26 @@ def likelihood_ratio(with_term: tuple[int, int], totals: tuple[int, int]) -> flo
     return 2 * out
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The learning rows with one row of each group of copies: a text goes when it shares the smallest hash of its
+    word runs, under any of three hash functions, with one whose id is smaller.  Else the words of a text that is
+    often copied would look like terms."""
+
+    def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
+        def work(batch: dict[str, list]) -> Iterator[tuple]:
+            runs = shingle_lists(batch["text"], 4)
+            for doc_id, text, label, r in zip(batch["doc_id"], batch["text"], batch["toxic"], runs):
+                least = [int(mix(r + np.uint64(k)).min()) >> 1 if len(r) else k for k in (1, 2, 3)]
+                yield doc_id, text, label, *least
+
+        return work
+
+    rows = over_batches(docs, "doc_id long, text string, toxic int, a long, b long, c long", start)
+    for name in "abc":
+        rows = rows.withColumn("first", F.row_number().over(W.partitionBy(name).orderBy("doc_id"))).filter("first = 1")
+    return rows.select("text", "toxic")
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """word, clean, toxic: the number of documents of each label that hold a word; each task sums before the shuffle."""
 
@@ -227,15 +249,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int =
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out_fold))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = smallest_hashes(usable.filter("toxic = 0"), "doc_id", limit).unionByName(smallest_hashes(usable.filter("toxic = 1"), "doc_id", limit))
-    learning = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic").persist()
+    learning = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    learning = without_copies(learning.select("doc_id", "text", "toxic")).persist()
     held = {r["toxic"]: r["count"] for r in learning.groupBy("toxic").count().collect()}
     totals = (held.get(0, 0), held.get(1, 0))
     if not all(totals):
         learning.unpersist()
         return Fitted(SEED, [], np.array([3.0, 0.5, 1.5, -1.0, 0.5, 1.0, 1.0, -2.5]))
     counts = _word_counts(learning).persist()
-    share = F.lit(totals[1] / sum(totals))
-    likely = counts.filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") / (F.col("toxic") + F.col("clean")) > (1 + share) / 2))
+    rates = F.col("toxic") / totals[1], F.col("clean") / totals[0]
+    likely = counts.filter((F.col("toxic") >= LEAST_DOCS) & (rates[0] / (rates[0] + rates[1]) >= LEAST_SHARE))
     rows = likely.orderBy(F.desc("toxic"), "clean", "word").limit(4 * MAX_TERMS).collect()
     rated = sorted(((likelihood_ratio((r["clean"], r["toxic"]), totals), r["word"]) for r in rows), reverse=True)
     terms = sorted(set(SEED) | {w for g, w in rated[:MAX_TERMS] if g >= LEAST_RATIO})
