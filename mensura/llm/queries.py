@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, token_counts, toxicity
+from . import bpe, language_id, mixing, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
     "op2_toxicity": toxicity.query,
     "op5_bpe_encoding": bpe.query,
+    "op6_language_id": language_id.query,
     "op7_quality_classifier": quality.query,
     "op8_mixing_sources": mixing.query,
 }
