@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, mixing, quality, token_counts, toxicity
+from . import bpe, jaccard_join, language_id, mixing, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
     "op2_toxicity": toxicity.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op5_bpe_encoding": bpe.query,
     "op6_language_id": language_id.query,
     "op7_quality_classifier": quality.query,
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_token_counts": token_counts.SQL,
+    "op3_jaccard_join": jaccard_join.SQL,
     "op8_mixing_sources": mixing.SQL,
 }
