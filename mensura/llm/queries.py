@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, mixing, quality, token_counts, toxicity
+from . import bpe, jaccard_join, language_id, mixing, order_minhash, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": language_id.query,
     "op7_quality_classifier": quality.query,
     "op8_mixing_sources": mixing.query,
+    "op9_order_minhash": order_minhash.query,
 }
 
 ORACLES: dict[str, str] = {
