@@ -257,6 +257,12 @@ def join(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomina
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents without those that link, directly or through others, with one of a smaller id."""
+    gone = join(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, over_batches, smallest_hashes, table
+from .common import fold, over_batches, scored, smallest_hashes, table
 
 MAX_LEARNING, LINES_PER_DOCUMENT = 6000, 40
 THRESHOLD = 0.3
@@ -131,7 +131,14 @@ def score_documents(docs: DataFrame, fitted: tuple[crf.Model, np.ndarray]) -> Da
     return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, good_share double, score double", start)
 
 
+def accepted(docs: DataFrame, fitted: tuple[crf.Model, np.ndarray], threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    model, curve = fitted
+    score = scored("text", lambda: lambda texts: crf.sigmoid(goodness(model, texts) * curve[0] + curve[1]).tolist())
+    return docs.filter(score >= threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_share")
+    scores = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_share")

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, over_batches, smallest_hashes, table
+from .common import fold, over_batches, scored, smallest_hashes, table
 from .shingles import mix, shingle_lists
 
 MAX_PER_LABEL, MAX_TERMS, MAX_VARIANTS = 3000, 600, 20_000
@@ -284,23 +284,35 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int =
     return fitted
 
 
-def score_documents(docs: DataFrame, fitted: Fitted) -> DataFrame:
-    """doc_id, hits and score of every document, in one pass without shuffle."""
-
-    def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
+def _scores(fitted: Fitted) -> Callable[[], Callable[[list], list[float]]]:
+    def start() -> Callable[[list], list[float]]:
         scanner, weights = fitted.scanner(), fitted.weights
 
-        def work(batch: dict[str, list]) -> Iterator[tuple]:
-            x = np.array([scanner.features(t) for t in batch["text"]]).reshape(-1, FEATURES)
-            score = crf.sigmoid(x @ weights[:-1] + weights[-1])
-            return zip(batch["doc_id"], score.tolist())
+        def work(texts: list) -> list[float]:
+            x = np.array([scanner.features(t) for t in texts]).reshape(-1, FEATURES)
+            return crf.sigmoid(x @ weights[:-1] + weights[-1]).tolist()
 
         return work
 
+    return start
+
+
+def score_documents(docs: DataFrame, fitted: Fitted) -> DataFrame:
+    """doc_id and score of every document, in one pass without shuffle."""
+
+    def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
+        work = _scores(fitted)()
+        return lambda batch: zip(batch["doc_id"], work(batch["text"]))
+
     return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, score double", start)
 
 
+def accepted(docs: DataFrame, fitted: Fitted, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    return docs.filter(scored("text", _scores(fitted)) < threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    scores = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
