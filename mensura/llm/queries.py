@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard_join, language_id, mixing, order_minhash, quality, token_counts, toxicity
+from . import bpe, cover_tree, jaccard_join, language_id, mixing, order_minhash, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
@@ -17,10 +17,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": quality.query,
     "op8_mixing_sources": mixing.query,
     "op9_order_minhash": order_minhash.query,
+    "op10_exact_top_k": cover_tree.query,
 }
 
 ORACLES: dict[str, str] = {
     "op1_token_counts": token_counts.SQL,
     "op3_jaccard_join": jaccard_join.SQL,
     "op8_mixing_sources": mixing.SQL,
+    "op10_exact_top_k": cover_tree.SQL,
 }
