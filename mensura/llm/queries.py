@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cover_tree, jaccard_join, language_id, mixing, order_minhash, quality, token_counts, toxicity
+from . import bpe, cover_tree, html_text, jaccard_join, language_id, mixing, order_minhash, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.query,
     "op2_toxicity": toxicity.query,
     "op3_jaccard_join": jaccard_join.query,
+    "op4_html_text": html_text.query,
     "op5_bpe_encoding": bpe.query,
     "op6_language_id": language_id.query,
     "op7_quality_classifier": quality.query,
