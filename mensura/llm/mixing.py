@@ -101,8 +101,8 @@ def mix(docs: DataFrame, quota: int = QUOTA, block_rows: int = BLOCK_ROWS, power
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves in the mixture's order: range-partitioned and sorted by position."""
     columns = docs.columns
-    places = mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias("__position"))
-    placed = docs.join(places, docs["doc_id"].eqNullSafe(places["doc_id"]), "left").drop(places["doc_id"])
+    places = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
+    placed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return placed.repartitionByRange("__position").sortWithinPartitions("__position").select(*columns)
 
 
