@@ -32,11 +32,11 @@ def layer_registry(groups: DataFrame) -> DataFrame:
 
 
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog file with all values as trimmed strings and a `row` number that starts at 2, as in the file."""
+    """Catalog files with all values as trimmed strings and a `row` number that starts at 2 in each file."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     named = raw.select(*[F.trim(F.col(f"`{c}`")).alias(c.lstrip("\ufeff").strip()) for c in raw.columns])
-    order = named.withColumn("__order", F.monotonically_increasing_id())
-    return order.withColumn("row", F.row_number().over(W.orderBy("__order")) + 1).drop("__order")
+    order = named.withColumn("__order", F.monotonically_increasing_id()).withColumn("__file", F.input_file_name())
+    return order.withColumn("row", F.row_number().over(W.partitionBy("__file").orderBy("__order")) + 1).drop("__order", "__file")
 
 
 def read_catalog_xlsx(spark: SparkSession, path: str) -> DataFrame:
