@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.functions import confidence, numbers, texts
+from mensura.functions import confidence, numbers, shapes, texts
 from mensura.operators import catalog, routes, spatial
 from mensura.plans import boq
 from mensura.plans.proxies import cte, view
-from mensura.sources import records, rules
+from mensura.sources import records, rules, schemas, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -520,6 +520,35 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "items").groupBy("l_orderkey").agg(F.countDistinct("layer").alias("layers"), untagged.alias("untagged"), F.when(poor, "degraded_vector").otherwise("layered_vector").alias("source_quality"))
 
 
+@registered("integrity_checks", "SELECT 'orders: key unique' AS rule, count(*) - count(DISTINCT o_orderkey) AS rows FROM orders UNION ALL SELECT 'part: name unique', count(*) - count(DISTINCT p_name) FROM part UNION ALL SELECT 'lineitem in orders', count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)) FROM lineitem UNION ALL SELECT 'labels in documents', count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id)) FROM labels l")
+def integrity_checks(spark: SparkSession, d: str) -> DataFrame:
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    checks = [schemas.repeated(t("orders"), ["o_orderkey"], "orders: key unique"), schemas.repeated(t("part"), ["p_name"], "part: name unique"), schemas.orphans(t("lineitem"), "l_orderkey", t("orders"), "o_orderkey", "lineitem in orders"), schemas.orphans(t("labels"), "doc_id", t("documents"), "doc_id", "labels in documents")]
+    return checks[0].union(checks[1]).union(checks[2]).union(checks[3])
+
+
+@registered("layer_classify", f"WITH {cte('items')} SELECT CASE WHEN layer IS NULL THEN 'unclassified' WHEN regexp_matches(layer, '(?i)light|switch|socket|power|^db$|^e-') THEN 'electrical' WHEN regexp_matches(layer, '(?i)tray|conduit') THEN 'containment' WHEN regexp_matches(layer, '(?i)access|security|^ac$') THEN 'security' WHEN regexp_matches(layer, '(?i)wall|door') THEN 'architecture' ELSE 'unclassified' END AS class, count(*) AS items FROM items GROUP BY 1")
+def layer_classify(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "items").groupBy(shapes.layer_class(F.col("layer")).alias("class")).agg(F.count(F.lit(1)).alias("items"))
+
+
+@registered("space_volume", f"""WITH {cte("vertices")}, lines AS (SELECT route_id, list(struct_pack(x := x, y := y) ORDER BY pos) AS p FROM vertices GROUP BY route_id),
+areas AS (SELECT route_id, CASE WHEN len(p) < 3 THEN 0.0 ELSE abs(list_reduce(list_transform(range(1, len(p) + 1), lambda k: p[k].x * p[k % len(p) + 1].y - p[k % len(p) + 1].x * p[k].y), lambda a, b: a + b)) / 2 END AS area FROM lines)
+SELECT route_id, area, CAST(printf('%.3f', area * 0.2::DOUBLE * (1 + 0.1::DOUBLE)) AS DOUBLE) AS volume FROM areas""")
+def space_volume(spark: SparkSession, d: str) -> DataFrame:
+    at = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    spaces = view(spark, d, "vertices").groupBy("route_id").agg(at.alias("p")).withColumn("area", shapes.area(F.col("p")))
+    return spaces.select("route_id", "area", numbers.correctly_rounded(shapes.volume(F.col("area"), F.lit(0.2), F.lit(0.1)), 3).alias("volume"))
+
+
+@registered("boq_json", _LINES + """ SELECT assembly_type, count(*) AS lines, count(*) FILTER (WHERE unpriced) AS unpriced, CAST(sum(CAST(total_cost AS DECIMAL(18,2))) AS DOUBLE) AS total_cost FROM priced GROUP BY assembly_type""")
+def boq_json(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as JSON and read back with the schema of a line."""
+    lines = _priced_items(spark, d).withColumn("confidence_status", F.lit("MEASURED")).withColumn("source_path_ids", F.array(F.col("item_id").cast("string")))
+    back = sinks.as_json(lines).select(F.from_json("value", "assembly_type string, total_cost double, unpriced boolean").alias("r")).select("r.*")
+    return back.groupBy("assembly_type").agg(F.count(F.lit(1)).alias("lines"), F.count_if("unpriced").alias("unpriced"), F.sum(F.col("total_cost").cast("decimal(18,2)")).cast("double").alias("total_cost"))
+
+
 @registered("e2e_boq")
 def e2e_boq(spark: SparkSession, d: str) -> DataFrame:
     paths = _points(spark, d).drop("cx", "cy").withColumn("points", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))

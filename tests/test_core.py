@@ -131,3 +131,21 @@ def test_oracles(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     plain = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False, name=None)))
     assert plain(got) == plain(want)
+
+
+def test_model_tables_and_keys(spark):
+    from mensura.sources import schemas
+
+    tables = {n: spark.createDataFrame([], c) for n, c in schemas.TABLES.items()}
+    assert {r["rows"] for r in schemas.violations(tables).collect()} == {0}
+    tables["prices"] = spark.createDataFrame([("1", "m", None, "USD", None, None)] * 2, schemas.TABLES["prices"])
+    got = {r["rule"]: r["rows"] for r in schemas.violations(tables).collect() if r["rows"]}
+    assert got == {"prices: id unique": 1, "prices.material_id in materials": 2}
+
+
+def test_boq_json_keeps_nulls(spark, tmp_path):
+    from mensura.sources import sinks
+
+    line = spark.createDataFrame([("switch", "switch", 1.0, None, 0.0, True, "MEASURED", ["p1"])], "assembly_type string, material_name string, quantity double, unit_price double, total_cost double, unpriced boolean, confidence_status string, source_path_ids array<string>")
+    sinks.write_boq(line, str(tmp_path / "boq"))
+    assert spark.read.text(str(tmp_path / "boq")).first()["value"] == '{"assembly_type":"switch","material_name":"switch","quantity":1.0,"unit_price":null,"total_cost":0.0,"unpriced":true,"confidence_status":"MEASURED","source_path_ids":["p1"]}'
