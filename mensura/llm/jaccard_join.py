@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import over_batches, stored, table
@@ -214,13 +215,13 @@ def join(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomina
         return _prefixes(size, numerator, denominator, shared_levels.value)()
 
     members = over_batches(texts.select("text"), "shingle long, one long, n long", emit).withColumn("band", _band(F.col("n"), ratio))
-    members = members.repartition("shingle", "band")  # dealt once: heads and members read the same exchange
-    heads = members.groupBy("shingle", "band").agg(F.min("one").alias("head"), F.max("one").alias("other"))
-    above = heads.select("shingle", (F.col("band") - 1).alias("band"), F.col("head").alias("next"))
-    crowded = heads.join(above, ["shingle", "band"], "left")
-    own = members.join(heads.filter("head != other").select("shingle", "band", "head"), ["shingle", "band"]).select(F.col("one").alias("a"), F.col("head").alias("b"))
-    across = crowded.filter("next IS NOT NULL").select(F.col("head").alias("a"), F.col("next").alias("b"))
-    blocks = components(own.filter("a != b").union(across)).select(F.col("node").alias("one"), F.col("component").alias("block"))
+    # one exchange: the smallest member of a row's own band, and that of the band above, from windows over its shingle
+    bands = W.partitionBy("shingle").orderBy("band")
+    head, above = F.min("one").over(bands.rangeBetween(0, 0)), F.min("one").over(bands.rangeBetween(1, 1))
+    headed = members.select("one", head.alias("head"), above.alias("above")).filter("one != head OR above IS NOT NULL")
+    edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    edges = headed.select(F.explode(F.array(edge("one", "head"), edge("head", "above"))).alias("e")).select("e.*").filter("a != b")
+    blocks = components(edges).select(F.col("node").alias("one"), F.col("component").alias("block"))
 
     # classes of a block, dealt to tasks: whole blocks where they are small, else pairs of sub-blocks of size bands
     placed = stored(classes.join(blocks, "one").withColumn("band", _band(F.col("n"), ratio)))
