@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of scales, strict (in order of precedence) and loose.
+# Patterns of scales, strict (in order of precedence), loose, and those that settle a sheet's scale.
 STRICT = [r"\bELECTRICAL\.SCALE\s+(1:\d+)\b", r"\bSCALE\s+1=(\d+)'''-0\"\b", r"\b(1:\d+)\b"]
 LOOSE = [r"\b(\d+\.\d+:\d+)\b", r"\b(\d+:\d+)\b", r"\b(1/4|1/2|1/8)\"=1'-0\"\b"]
+ARCHITECTURAL = [r"\b(1/4|1/2|1/8)\"=1'-0\"\b", r"\b(1:\d+)\b"]
 DEFAULT_SCALE = "1:100"
 # Words that make a text a legend candidate, and that rule a legend entry out.
 LEGEND_WORDS = ["legend", "symbol", "key", "table", "note", "scale"]
 NOT_ENTRIES = ["scale", "1:", "drawing", "project"]
 # Layers that mark a drawing as electrical.
-ELECTRICAL_LAYERS = ["E-lt-fix-nm-clg", "LIGHTING", "POWER", "SOCKET", "SWITCHES", "access control", "NORMAL TRAY", "CONDUIT"]
+ELECTRICAL_LAYERS = ["LIGHTING", "POWER", "SWITCHES", "CONDUIT", "CABLE_TRAY", "DISTRIBUTION_BOARD", "AC", "GROUND"]
 
 
 def first_scale(text: Column, patterns: list[str]) -> Column:
@@ -25,6 +26,15 @@ def first_scale(text: Column, patterns: list[str]) -> Column:
     return out
 
 
+def needs_review(text: Column, patterns: int = 3) -> Column:
+    """Over a group of texts: whether none settles the scale; empty and null texts don't."""
+    hits = [text.rlike(p) for p in ARCHITECTURAL[:patterns]]
+    found = hits[0]
+    for h in hits[1:]:
+        found = found | h
+    return ~F.coalesce(F.bool_or(found), F.lit(False))
+
+
 def scale_denominator(scale: Column) -> Column:
     """What follows the colon; 1 where there is no number."""
     return F.coalesce(F.try_element_at(F.split(scale, ":"), F.lit(2)).try_cast("double"), F.lit(1.0))

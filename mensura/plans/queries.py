@@ -221,8 +221,7 @@ def scale_detect_loose(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("scale_needs_review", f"WITH {cte('spans')} SELECT sheet, NOT bool_or(regexp_matches(text, '\\b1:\\d+\\b')) AS needs_review, count(*) FILTER (WHERE text = 'NO SCALE HERE') AS without FROM spans GROUP BY sheet")
 def scale_needs_review(spark: SparkSession, d: str) -> DataFrame:
-    hit = texts.first_scale(F.col("text"), texts.STRICT).isNotNull()
-    return view(spark, d, "spans").groupBy("sheet").agg((~F.bool_or(hit)).alias("needs_review"), F.count_if(F.col("text") == "NO SCALE HERE").alias("without"))
+    return view(spark, d, "spans").groupBy("sheet").agg(texts.needs_review(F.col("text")).alias("needs_review"), F.count_if(F.col("text") == "NO SCALE HERE").alias("without"))
 
 
 @registered("upload_classify", f"WITH {cte('uploads')}, counted AS (SELECT upload_id, CASE kind WHEN 0 THEN few ELSE drawings END AS drawings, images, has_text FROM uploads) SELECT upload_id, CASE WHEN drawings > 10000 AND has_text = 1 THEN 'vector' WHEN drawings < 100 AND images > 0 AND has_text = 0 THEN 'raster' ELSE 'vector' END AS status, NOT (drawings > 10000 AND has_text = 1 OR drawings < 100 AND images > 0 AND has_text = 0) AS ambiguous FROM counted")

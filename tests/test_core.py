@@ -36,6 +36,11 @@ def test_scales(spark, text, scale):
     assert (hit and hit["scale"]) == scale
 
 
+def test_scale_review(spark):
+    ask = lambda *t: spark.createDataFrame([(x,) for x in t], "text string").agg(texts.needs_review(F.col("text")).alias("x")).first()["x"]
+    assert ask("NO SCALE HERE", None, "") and not ask("x", "at 1:50") and ask() and not ask("1/4\"=1'-0\"x 1:20")
+
+
 def test_loose_scales_take_clock_times(spark):
     assert one(spark, texts.first_scale(F.lit("at 12:30"), texts.LOOSE))["scale"] == "12:30"
 
