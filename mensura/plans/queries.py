@@ -346,7 +346,7 @@ def _polylines(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("polyline_length", _LENGTHS + " SELECT route_id, points AS n_points, length_m FROM lengths")
 def polyline_length(spark: SparkSession, d: str) -> DataFrame:
-    return _polylines(spark, d).select("route_id", F.size("points").alias("n_points"), routes.length(F.col("points"), F.col("scale")).alias("length_m"))
+    return _polylines(spark, d).select("route_id", F.size("points").cast("long").alias("n_points"), routes.length(F.col("points"), F.col("scale")).alias("length_m"))
 
 
 _ROUTED = f"""{_LENGTHS}, {cte("items")}, firsts AS (SELECT l_orderkey AS route_id, layer FROM items WHERE pos = 1)
