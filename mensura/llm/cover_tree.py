@@ -26,7 +26,7 @@ from .common import stored, table
 
 K, QUERY_EVERY, SCALE = 5, 50, 256
 #: Candidates and queries of a block, points of a leaf, and the factor between the radii of two levels.
-BLOCK, QUERY_BLOCK, LEAF, SHRINK = 2048, 512, 32, 1.3
+BLOCK, QUERY_BLOCK, LEAF, SHRINK = 4096, 1024, 256, 1.3
 
 
 class Node:
@@ -75,8 +75,9 @@ class Search:
         order = np.lexsort((ids, group.ravel()))
         group, ids = group.ravel()[order], ids[order]
         starts = np.searchsorted(group, np.arange(len(distinct)))
-        # k + 1 rows of a point are enough when one of them may be the query's own; repeated ids may take more
         self.ids = [ids[a:b] for a, b in zip(starts, [*starts[1:], len(ids)])]
+        self.first = np.array([x[0] for x in self.ids], np.int64)
+        self.several = np.array([len(x) > 1 for x in self.ids], bool)
         self.points, self.queries, self.query_ids, self.k = distinct, queries, query_ids, k
         self.best = [np.zeros((0, 2), np.int64) for _ in query_ids]
         self.worst = np.full(len(query_ids), -np.inf)
@@ -103,18 +104,21 @@ class Search:
 
     def _score(self, rows: np.ndarray, members: np.ndarray) -> None:
         scores = self.queries[rows] @ self.points[members].T
-        for i, row in enumerate(rows):
-            own = self.query_ids[row]
-            good = np.flatnonzero(scores[i] >= self.worst[row])
-            if not len(good):
-                continue
-            found = [self.best[row]]
-            for j in good:
-                ids = self.ids[members[j]]
-                ids = ids[: self.k + 1] if ids[0] != ids[min(len(ids), self.k + 1) - 1] else ids
-                ids = ids[ids != own][: self.k] if own in ids else ids[: self.k]
-                found.append(np.column_stack([np.full(len(ids), int(scores[i, j])), ids]))
-            rows_of = np.concatenate(found)
+        for i in np.flatnonzero(scores.max(1) >= self.worst[rows]):
+            row, own = rows[i], self.query_ids[rows[i]]
+            least = self.worst[row]
+            if len(members) > self.k + 1:  # one of the k + 1 best points may hold the query's own row only
+                least = max(least, np.partition(scores[i], -self.k - 1)[-self.k - 1])
+            good = np.flatnonzero(scores[i] >= least)
+            names, values = self.first[members[good]], scores[i, good].astype(np.int64)
+            if self.several[members[good]].any():
+                held = [x[: self.k] if own not in x else x[x != own][: self.k] for x in (self.ids[m] for m in members[good])]
+                names, values = np.concatenate(held), np.repeat(values, [len(x) for x in held])
+            elif own in names:
+                names, values = names[names != own], values[names != own]
+            found = np.empty((len(names), 2), np.int64)
+            found[:, 0], found[:, 1] = values, names
+            rows_of = np.concatenate([self.best[row], found])
             rows_of = rows_of[np.lexsort((rows_of[:, 1], -rows_of[:, 0]))][: self.k]
             self.best[row] = rows_of
             if len(rows_of) == self.k:
