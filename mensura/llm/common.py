@@ -95,5 +95,17 @@ def smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(17)), key).limit(n)
 
 
+def range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below a value: counted among every w-th bound first, then within w of them,
+    so that thousands of ranges stay cheap for each row."""
+    if not bounds:
+        return F.lit(0)
+    width = max(1, int(len(bounds) ** 0.5))
+    every = F.lit(bounds[width - 1 :: width])
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < value))
+    coarse = below(every) * width
+    return coarse + below(F.slice(F.lit(bounds), coarse + 1, width))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import range_of, stored, table
 
 #: Slots in a period, rows in a block, and the power of a source's row count that gives its target weight.
 QUOTA, BLOCK_ROWS, POWER = 1000, 16, 0.5
@@ -75,7 +75,7 @@ def numbered(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     within ranges of doc_id and then shifted by what earlier ranges hold."""
     ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    place = range_of(F.col("doc_id"), bounds)
     placed = docs.withColumn("key", _key("source")).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place))
     counts = placed.groupBy("key", "range").agg(F.count(F.lit(1)).alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_batches, table
+from .common import over_batches, range_of, table
 from .shingles import mix
 
 KMER, TUPLE, BINS = 8, 2, 128
@@ -133,8 +133,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     ranges = 4 * max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)) or []))
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("key"))) if bounds else F.lit(0)
-    rows = rows.withColumn("range", place)
+    rows = rows.withColumn("range", range_of(F.col("key"), bounds))
     heads = sorted((r["range"], r["head"]) for r in rows.groupBy("range").agg(F.max("key").alias("head")).collect())  # one per range
     targets = [(head, heads[k + 1][0] if k + 1 < len(heads) else heads[0][0]) for k, (_, head) in enumerate(heads)]
     extra = F.broadcast(spark.createDataFrame(targets, "key long, target int"))
