@@ -167,12 +167,15 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
     """For one task: a spanning forest (a, b) of its links, and (a, null, degree) of every linked class."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, side, copies = frame["rep"].to_numpy(), frame["side"].to_numpy(), frame["copies"].to_numpy()
+        ids, side, copies = (frame[c].to_numpy() for c in ("rep", "side", "copies"))
         sets = [distinct(s).copy() for s in shingle_lists(frame["text"].tolist(), size)]
-        del frame
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        order = {0: left, 1: right}
-        found = _product([sets[i] for i in left], [sets[i] for i in right] if len(right) else None, numerator, denominator) if key[-1] != "across" or len(left) and len(right) else []
+        across = key[-1] == "across"
+        if across and not (len(left) and len(right)):
+            found, right = [], left
+        else:
+            found = _product([sets[k] for k in left], [sets[k] for k in right] if across else None, numerator, denominator)
+            right = right if across else left
         parent = list(range(len(ids)))
 
         def root(x: int) -> int:
@@ -183,7 +186,7 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
 
         forest, degree = [], np.zeros(len(ids), np.int64)
         for i, j in found:
-            x, y = order[0][i], order[1 if key[-1] == "across" else 0][j]
+            x, y = left[i], right[j]
             degree[x] += copies[y]
             degree[y] += copies[x]
             p, q = root(x), root(y)
