@@ -5,8 +5,9 @@ neighbours.  The field is trained on lines that carry their document's label; fo
 probability of being good, which is averaged over the document with line lengths as weights, and a logistic
 curve fitted on the same learning rows turns that average into the score.
 
-Learning uses at most MAX_LEARNING labelled documents (those whose ids hash smallest) and the first
-LINES_PER_DOCUMENT lines of each; scoring reads all lines of all texts.  Null, empty and blank texts count as one
+Learning uses at most MAX_LEARNING labelled documents (those whose ids hash smallest) with all their lines; of
+these, in hash order, a document whose lines would bring the sum over MAX_LINES is left out whole.  Scoring reads
+all lines of all texts.  Null, empty and blank texts count as one
 empty line.  Labels that are null or name no document are ignored; when a document has several labels the smallest
 counts.  Repeated rows get the same score; without labels every score is 1/2.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import fold, over_batches, scored, smallest_hashes, table
 
-MAX_LEARNING, LINES_PER_DOCUMENT = 6000, 40
+MAX_LEARNING, MAX_LINES = 6000, 240_000
 THRESHOLD = 0.3
 
 # Character classes of Latin-1 bytes: lower, upper, digit, space, line end, "!", "|", ".,", other punctuation, other.
@@ -88,23 +89,43 @@ def goodness(model: crf.Model, texts: list[str | None]) -> np.ndarray:
     return np.add.reduceat(good * weights, cuts) / np.add.reduceat(weights, cuts)
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, limit: int = MAX_LEARNING) -> tuple[crf.Model, np.ndarray]:
-    """The field and the score curve, from at most `limit` labelled documents outside the held-out fold."""
+def _within(sizes: list[tuple[int, int]], most: int) -> list[int]:
+    """The ids of (id, lines) that are taken, in the given order, while their lines add up to at most `most`."""
+    taken, total = [], 0
+    for doc_id, lines in sizes:
+        if total + lines <= most:
+            taken.append(doc_id)
+            total += lines
+    return taken
+
+
+def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int = 5, limit: int = MAX_LEARNING, most_lines: int = MAX_LINES) -> tuple[crf.Model, np.ndarray]:
+    """The field and the score curve, from at most `limit` labelled documents outside the held-out fold that have
+    at most `most_lines` lines together."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out_fold))
     usable = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = smallest_hashes(usable, "doc_id", limit)
-    learning = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    learning = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).persist()
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    sizes = learning.select("doc_id", lines.alias("lines"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("hash")).collect()
+    if sum(r["lines"] for r in sizes) > most_lines:
+        taken = _within([(r["doc_id"], r["lines"]) for r in sorted(sizes, key=lambda r: (r["hash"], r["doc_id"]))], most_lines)
+        kept = docs.sparkSession.createDataFrame([(k,) for k in taken], learning.select("doc_id").schema)
+        sample = learning.join(F.broadcast(kept), "doc_id", "left_semi")
+    else:
+        sample = learning
     schema = "doc_id long, quality int, lines int, x binary, w binary"
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
             for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["quality"]):
-                x, w = line_features(text)[:LINES_PER_DOCUMENT], _weights_of(text)[:LINES_PER_DOCUMENT]
+                x, w = line_features(text), _weights_of(text)
                 yield doc_id, label, len(x), x.astype(np.float32).tobytes(), w.tobytes()
 
         return work
 
-    rows = sorted(over_batches(learning.select(F.col("doc_id").cast("long"), "text", "quality"), schema, start).toLocalIterator())
+    rows = sorted(over_batches(sample.select(F.col("doc_id").cast("long"), "text", "quality"), schema, start).toLocalIterator())
+    learning.unpersist()
     if not rows:
         return crf.train(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0, int)), np.zeros(2)
     x = np.vstack([np.frombuffer(r[3], np.float32).reshape(-1, FEATURES) for r in rows]).astype(float)

@@ -173,6 +173,28 @@ def test_quality(spark, odd, nothing):
     assert {r["score"] for r in quality.score_documents(odd, unfitted).collect()} == {0.5}
 
 
+def test_quality_learns_from_lines_after_the_fortieth(spark):
+    rng, rows, labels = random.Random(15), [], []
+    clean = lambda: " ".join(rng.choices(WORDS, k=8)).capitalize() + "."
+    for k in range(120):
+        rows.append((k, "\n".join([clean() for _ in range(45)] + (["BUY!!! NOW!!!"] * 30 if k % 2 else [clean() for _ in range(30)])), "en", "a"))
+        labels.append((k, (k + 1) % 2, 0))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, curve = quality.fit(docs, marks)
+    junk, good = quality.goodness(model, ["\n".join(["BUY!!! NOW!!!"] * 30), "\n".join(clean() for _ in range(30))])
+    assert junk < 0.2 and good > junk + 0.3
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, (model, curve)).collect()}
+    assert all((got[k] >= 0.3) == (k % 2 == 0) for k in got)
+
+
+def test_quality_sample_drops_whole_documents(spark):
+    assert quality._within([(1, 3), (2, 9), (3, 4), (4, 2)], 8) == [1, 3]
+    docs = frame(spark, [(k, "\n".join(["a b"] * 10), "en", "a") for k in range(30)])
+    marks = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    assert len(quality.fit(docs, marks, most_lines=0)[0].mean) == quality.FEATURES
+    assert quality.fit(docs, marks, most_lines=95)[0].mean[0] > 0
+
+
 # --- Jaccard join ------------------------------------------------------------------------------------------------------
 
 
