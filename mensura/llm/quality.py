@@ -54,11 +54,12 @@ def line_features(text: str | None) -> np.ndarray:
     size = np.maximum(counts.sum(1) - counts[:, _LINE], 1)
     again = Counter(lines)
     own = np.zeros((len(lines), OWN))
+    notice = bool(_NOTICE.search(text))  # the pattern has no line end, so without it here no line has it
     for k, x in enumerate(lines):
         words = x.split()
         n = len(words)
         if n:
-            own[k, :8] = (n, len(set(words)) / n, sum(map(eq, words, words[1:])) / n, again[x], len(x) / n, x[0].isupper(), x.rstrip()[-1:] in ".!?:;\"”»", bool(_NOTICE.search(x)) if n < 60 else 0)
+            own[k, :8] = (n, len(set(words)) / n, sum(map(eq, words, words[1:])) / n, again[x], len(x) / n, x[0].isupper(), x.rstrip()[-1:] in ".!?:;\"”»", notice and bool(_NOTICE.search(x)))
         else:
             own[k, 3] = 1
     own[:, 0] = np.log1p(own[:, 0])

@@ -187,6 +187,12 @@ def test_quality_learns_from_lines_after_the_fortieth(spark):
     assert all((got[k] >= 0.3) == (k % 2 == 0) for k in got)
 
 
+def test_quality_sees_notices_in_lines_of_any_length():
+    words = ["stone"] * 200
+    assert [quality.line_features(" ".join(words[:n] + ["Copyright"] + words[:n]))[0, 7] for n in (1, 29, 30, 200)] == [1, 1, 1, 1]
+    assert quality.line_features(" ".join(words) + "\nall rights reserved\nclick\nhere")[:, 7].tolist() == [0, 1, 0, 0]
+
+
 def test_quality_sample_drops_whole_documents(spark):
     assert quality._within([(1, 3), (2, 9), (3, 4), (4, 2)], 8) == [1, 3]
     docs = frame(spark, [(k, "\n".join(["a b"] * 10), "en", "a") for k in range(30)])
