@@ -25,15 +25,15 @@ from pyspark.sql import functions as F
 
 from .common import fold, over_batches, table
 
-MAX_PER_LANGUAGE, MAX_LANGUAGES, MAX_WORDS = 400, 200, 60_000
-MAX_PIECE, PASSES = 12, 3
+MAX_PER_LANGUAGE, MAX_WORDS = 400, 60_000
+PASSES = 3
 #: Weight of the pieces of all languages in each language's own, and a character outside the vocabulary's probability.
 SMOOTHING, UNKNOWN = 0.02, 1e-7
 MAX_WORD = 64
-CACHE_WORDS = 400_000
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_WORDS_AT_ONCE = 4096
+#: Words at a time and words cached, for up to four languages; fewer with more, so that tables keep their size.
+_WORDS_AT_ONCE, CACHE_WORDS = 4096, 400_000
 
 
 def vocabulary(path: str) -> list[str]:
@@ -42,7 +42,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path)
     plain = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    return sorted({p.replace("▁", " ") for p in plain if 0 < len(p) <= MAX_PIECE})
+    return sorted({p.replace("▁", " ") for p in plain if p})
 
 
 class Pieces:
@@ -74,6 +74,10 @@ class Pieces:
         return [tuple(np.array(x, np.int32) for x in f) for f in found]  # type: ignore[misc]
 
 
+def _fewer(n: int, languages: int) -> int:
+    return max(1, 4 * n // max(4, languages))
+
+
 def spelled(word: str) -> str:
     """A word as it is cut: lower case, with a space in front; very long ones are given in parts by words_of."""
     return " " + word
@@ -114,8 +118,9 @@ class Unigrams:
     def log_likelihood(self, words: list[str]) -> np.ndarray:
         """words x languages."""
         out = np.empty((len(words), len(self.languages)))
-        for at in range(0, len(words), _WORDS_AT_ONCE):
-            part = [spelled(w) for w in words[at : at + _WORDS_AT_ONCE]]
+        step = _fewer(_WORDS_AT_ONCE, len(self.languages))
+        for at in range(0, len(words), step):
+            part = [spelled(w) for w in words[at : at + step]]
             alpha = self.forward(part, self.lookup.cuts(part))
             total = alpha[[len(w) for w in part], np.arange(len(part))]
             out[at : at + len(part)] = np.log(np.maximum(total, 1e-300))
@@ -142,16 +147,21 @@ class Unigrams:
 
 
 def learn(word_counts: dict[str, Counter], pieces: list[str], passes: int = PASSES) -> Unigrams:
-    """Expectation-maximisation from {language: word counts}."""
+    """Expectation-maximisation from {language: word counts}, one language at a time within a pass."""
     languages = sorted(word_counts)
-    words = sorted(set().union(*word_counts.values())) if word_counts else []
-    counts = np.array([[word_counts[x][w] for x in languages] for w in words], float).reshape(len(words), len(languages))
     start = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     start[-1] = UNKNOWN
     model = Unigrams(pieces, languages, start)
+    lookup = Pieces(pieces)
     for _ in range(passes):
-        found = model.expected(words, counts)[:-1] + 1e-3 / max(1, len(pieces))
-        own = found / found.sum(0)
+        own = np.empty((len(pieces), len(languages)))
+        for k, name in enumerate(languages):
+            single = Unigrams(pieces, [name], model.probability[:, [k]])
+            single._lookup = lookup
+            words = sorted(word_counts[name])
+            counts = np.array([word_counts[name][w] for w in words], float)[:, None]
+            own[:, k] = single.expected(words, counts)[:-1, 0] + 1e-3 / max(1, len(pieces))
+        own /= own.sum(0)
         everywhere = own.mean(1, keepdims=True)
         model.probability = np.vstack([(1 - SMOOTHING) * own + SMOOTHING * (0.9 * everywhere + 0.1 / len(pieces)), np.full((1, len(languages)), UNKNOWN)])
     return model
@@ -162,13 +172,13 @@ def fit(docs: DataFrame, pieces: list[str], held_out_fold: int = 0, folds: int =
     Word counts are summed by Spark; the driver gets the MAX_WORDS most frequent words of each language."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out_fold))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    known = [(r["lang"], r["n"]) for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    known = [(r["lang"], r["n"]) for r in sizes.orderBy("lang").collect()]
     if not known:
         return Unigrams(pieces, [], np.zeros((len(pieces) + 1, 0)))
     # a hash threshold that keeps about `limit` rows of each language, whatever its size
-    rates = F.create_map(*[F.lit(x) for name, n in known for x in (name, min(1.0, limit / n))])
+    rates = docs.sparkSession.createDataFrame([(name, min(1.0, limit / n)) for name, n in known], "lang string, rate double")
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    chosen = usable.filter(unit < F.element_at(rates, F.col("lang"))).select("text", "lang")
+    chosen = usable.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).select("text", "lang")
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
@@ -193,12 +203,13 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         row_of: dict[str, int] = {}
+        cached = _fewer(CACHE_WORDS, len(model.languages))
         likely = np.zeros((1024, max(1, len(model.languages))))
 
         def work(batch: dict[str, list]) -> Iterator[tuple]:
             nonlocal likely
             lists = [words_of(t) for t in batch["text"]]
-            if len(row_of) > CACHE_WORDS:
+            if len(row_of) > cached:
                 row_of.clear()
             new = sorted(set().union(*lists).difference(row_of)) if model.languages else []
             if new:

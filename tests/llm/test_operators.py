@@ -388,6 +388,21 @@ def test_languages(spark, odd, nothing):
     assert {r["lang_pred"] for r in language_id.score_documents(odd, none).collect()} == {"und"}
 
 
+def test_every_language_and_piece_is_used(spark):
+    rng = random.Random(18)
+    names = [f"l{k:03d}" for k in range(210)]
+    word = {name: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for name in names}
+    rows = [(k, " ".join([word[name]] * 5), name, "a") for k, name in enumerate(names * 8)]
+    docs = frame(spark, rows)
+    letters = sorted({w[a:b] for w in word.values() for a in range(6) for b in range(a + 1, 7)})
+    model = language_id.fit(docs, letters)
+    assert model.languages == names
+    got = language_id.score_documents(docs, model).join(docs, "doc_id")
+    assert got.filter("lang_pred = lang").count() == len(rows)
+    pieces = language_id.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert " international" in pieces and language_id.Pieces(pieces).longest == max(map(len, pieces)) > 12
+
+
 # --- mixing ------------------------------------------------------------------------------------------------------------
 
 
