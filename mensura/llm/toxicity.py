@@ -3,7 +3,9 @@
 A lexicon (seed terms and terms learned from labelled documents) forms a trie.  Levenshtein automata of the terms
 are intersected with it: a state is a set of (trie node, errors so far), determinised on demand, so a word is
 looked up in one pass and dies after a few characters when nothing is near.  Terms of 5 to 8 characters allow one
-error, longer ones two, shorter ones none.  Misspellings that clean learning documents use as words of their own
+error, longer ones two, shorter ones none.  A chunk between spaces is looked up whole and cut: into runs of letters
+and digits, and at all marks but those that stand for letters; stretches of scripts without spaces between words also give their
+runs of GRAMS characters.  Misspellings that clean learning documents use as words of their own
 are not taken for the term.
 
 Each hit is weighed by its window of WINDOW words to either side: quotation marks around it or words that report
@@ -18,6 +20,8 @@ counts) are no errors; without labels the seed terms and fixed weights are used.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,9 +48,30 @@ REPORTING = frozenset("said says say called calls call word words term terms quo
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dein ihr tu toi vous ton tú usted eres".split())
 _QUOTES = "\"'“”‘’«»„‹›`"
 _EDGES = _QUOTES + ".,;:!?()[]{}<>…-–—*_|/\\"
+_SIGNS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M")  # belong to the letter before
+_RUN = re.compile(rf"[^\W_](?:[^\W_]|[{_SIGNS}])*")
+_SOFT = re.compile(rf"(?:[^\W_]|[{_SIGNS}@$!*+|&'’])+")  # with marks that are written for letters
+_SPLITS = "-/_"
+#: Thai to Khmer, kana, Han: scripts without spaces between words, and the lengths of their candidate terms.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+GRAMS = (2, 3, 4)
 FEATURES = 7
 
 
+def _grams(chunk: str) -> list[str]:
+    return [] if chunk.isascii() else [x[k : k + n] for x in _UNSPACED.findall(chunk) for n in GRAMS for k in range(len(x) - n + 1)]
+
+
+def candidates(chunk: str) -> list[list[str]]:
+    """The ways of reading a chunk as words, finest first: runs, soft pieces, pieces between -, / and _, the whole."""
+    whole = chunk.strip(_EDGES)
+    if whole.isalnum() and whole.isascii():
+        return [[whole]]
+    ways = [_RUN.findall(chunk), [x.strip(_EDGES) for x in _SOFT.findall(chunk)]]
+    ways += [whole.split(s) for s in _SPLITS if s in whole]
+    return [_grams(chunk), *ways, [whole]]
+
+
 def allowed_errors(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -142,13 +167,15 @@ class Scanner:
     def __init__(self, matcher: Matcher):
         self.matcher = matcher
         self.clear: set[str] = set()
-        self.hits: dict[str, tuple[int, str]] = {}
+        self.hits: dict[str, list[tuple[int, str]]] = {}
 
     def _look(self, chunk: str) -> None:
-        pieces = [chunk.strip(_EDGES)]
-        if not pieces[0].isalnum():
-            pieces += [x for s in "-/_" if s in pieces[0] for x in pieces[0].split(s)]
-        found = min((m for p in pieces if len(p) > 2 and (m := self.matcher.match(p))), default=None)
+        """Keeps the hits of the reading with most of them, of those the one with the fewest errors."""
+        found: list[tuple[int, str]] = []
+        for way in candidates(chunk):
+            hits = [m for p in way if (len(p) > 2 or not p.isascii() and len(p) > 1) and (m := self.matcher.match(p))]
+            if hits and (len(hits), -sum(e for e, _ in hits)) > (len(found), -sum(e for e, _ in found)):
+                found = hits
         if found:
             self.hits[chunk] = found
         else:
@@ -165,11 +192,11 @@ class Scanner:
         if not distinct.isdisjoint(self.hits):
             for k, c in enumerate(chunks):
                 if c in self.hits:
-                    errors, term = self.hits[c]
                     before, after = chunks[max(0, k - WINDOW) : k], chunks[k + 1 : k + 1 + WINDOW]
                     marks = (c[0] in _QUOTES or any(x[0] in _QUOTES for x in before)) and (c[-1] in _QUOTES or any(x.rstrip(".,;:!?")[-1:] in _QUOTES and x.rstrip(".,;:!?") for x in [c, *after]))
-                    near = {x.strip(_EDGES) for x in before + after}
-                    out.append((k, term, errors, 0.5 * marks + 0.5 * (not REPORTING.isdisjoint(near)), float(not ADDRESS.isdisjoint(near))))
+                    near = {x.strip(_EDGES) for x in before + after}.union(*(_RUN.findall(x) for x in [*before, *after, *[c] * (not c.strip(_EDGES).isalnum())]))
+                    weights = 0.5 * marks + 0.5 * (not REPORTING.isdisjoint(near)), float(not ADDRESS.isdisjoint(near))
+                    out += [(k, term, errors, *weights) for errors, term in self.hits[c]]
         if len(self.clear) > CACHE_WORDS:
             self.clear.clear()
         if len(self.hits) > CACHE_WORDS:
@@ -184,7 +211,7 @@ class Scanner:
         fuzzy = sum((1 - q) for _, _, e, q, _ in spans if e)
         quoted = sum(q for *_, q, _ in spans)
         address = sum(a * (1 - q) for *_, q, a in spans)
-        words = len(text.split())
+        words = max(len(text.split()), len(_RUN.findall(text)), sum(len(x) for x in _UNSPACED.findall(text)) // 2)
         return tuple(map(float, (plain > 0, math.log1p(plain), math.log1p(fuzzy), math.log1p(quoted), math.log1p(address), len({t for _, t, *_ in spans}) > 1, min(1.0, 20 * (plain + fuzzy) / words))))
 
 
@@ -235,7 +262,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch["text"], batch["toxic"]):
-                counts[label].update({w for c in set((text or "").lower().split()) if 2 < len(w := c.strip(_EDGES)) < 40})
+                counts[label].update({w for c in set((text or "").lower().split()) for way in candidates(c) for w in way if (len(w) > 2 or not w.isascii() and len(w) > 1) and len(w) < 40})
             return ((w, counts[0][w], counts[1][w]) for w in counts[0].keys() | counts[1].keys())
 
         return work

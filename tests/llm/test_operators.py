@@ -105,6 +105,23 @@ def test_quotation_weighs_less_than_abuse():
     assert score(None) == score("") == score("a fine day")
 
 
+def test_terms_joined_to_their_neighbours_are_found():
+    scanner = toxicity.Fitted([*toxicity.SEED, "笨蛋"], [], np.zeros(8)).scanner()
+    terms = lambda t: [x for _, x, *_ in scanner.spans(t)]
+    for text, want in [("moron,go", ["moron"]), ("stop.idiot", ["idiot"]), ("scum—total", ["scum"]), ("<b>idiot</b>", ["idiot"]), ("a moron's", ["moron"]), ("idiot...moron", ["idiot", "moron"]), ("你是笨蛋吗", ["笨蛋"]), ("m@ron-go", ["moron"]), ("id!ot", ["idiot"]), ("a_moron/b", ["moron"])]:
+        assert terms(text) == want, text
+    assert terms("fine,good.day—here <b>stone</b> it's 你好") == []
+
+
+def test_toxicity_learns_glued_terms(spark):
+    docs, labels = labelled(spark)
+    glued = docs.withColumn("text", F.regexp_replace("text", " ?(grobnik|zlurpa) ?", ",$1."))
+    fitted = toxicity.fit(glued, labels)
+    assert {"grobnik", "zlurpa"} <= set(fitted.terms)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(glued, fitted).collect()}
+    assert all((got[k] >= 0.7) == (k % 3 == 0) for k in got)
+
+
 def labelled(spark, n=240):
     rng, rows, labels = random.Random(2), [], []
     for k, t in enumerate(texts(n, 3)):
