@@ -3,17 +3,23 @@
 Each source gets an integer share of a period of `quota` slots.  Block k of a source with share a is released at
 floor((k-1) * quota / a) and due at ceil(k * quota / a); an earliest-deadline-first pass over one period gives every
 slot to a released block.  As the shares add up to the period, each block lies inside its window, so at any slot a
-source deviates from its target by less than one block.  The schedule repeats every period; it has `quota` rows
-whatever the input's size.  Rows of a source are numbered by doc_id within ranges of doc_id, so that a source with
+source deviates from its share by less than one block.  The share is the target weight rounded to the period, with
+one slot at least: against the weight itself the deviation grows by up to that rounding every period.  The schedule
+repeats every period; it has `quota` rows whatever the input's size.  With more sources than `quota` the period
+grows to SLOTS_PER_SOURCE slots a source, and shares and schedule are made on the driver with a heap.  Rows of a source are numbered by doc_id within ranges of doc_id, so that a source with
 most of the rows is numbered by many tasks.
 
 No row is dropped or repeated.  Once a source has run out, its slots stay empty and the rest keep their relative
 weights.  A null source is a source of its own; a null doc_id comes first in its source; repeated rows keep
-their own places.  An empty table gives an empty result.  More sources than slots is an error.
+their own places.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +28,7 @@ from .common import range_of, stored, table
 
 #: Slots in a period, rows in a block, and the power of a source's row count that gives its target weight.
 QUOTA, BLOCK_ROWS, POWER = 1000, 16, 0.5
+SLOTS_PER_SOURCE = 16
 
 
 def _key(source: str) -> Column:
@@ -70,9 +77,50 @@ def schedule(shared: DataFrame, quota: int = QUOTA) -> DataFrame:
     return slots.select("key", "share", "k", "slot", release.alias("release"), deadline.alias("deadline"))
 
 
-def numbered(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def many_shares(rows: list[tuple[str, int]], period: int, power: float = POWER, weights: dict[str, float] | None = None) -> list[tuple[str, int]]:
+    """(key, share) as `shares` deals them, for (key, rows) on the driver, by key."""
+    rows = sorted(rows)
+    weight = [float(n) ** power for _, n in rows] if weights is None else [float(weights.get(key[1:], 0.0)) if key != "-" else 0.0 for key, _ in rows]
+    total = sum(sorted(weight))
+    exact = [(period - len(rows)) * (w / total) if total > 0 else 0.0 for w in weight]
+    share = [math.floor(x) + 1 for x in exact]
+    left = period - sum(share)
+    for rank, i in enumerate(sorted(range(len(rows)), key=lambda i: (math.floor(exact[i]) - exact[i], i))):
+        share[i] += left // len(rows) + (rank < left % len(rows))
+    return [(key, a) for (key, _), a in zip(rows, share)]
+
+
+def many_slots(shares: list[tuple[str, int]], period: int) -> list[int]:
+    """The number of the source of every slot of a period, as `schedule` picks it: released blocks wait in a heap by
+    deadline, the next block of a source in another by release."""
+    waiting = [(0, i) for i in range(len(shares))]
+    done, ready, picks = [0] * len(shares), [], []
+    for t in range(period):
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[i] + 1) * period // shares[i][1]), i))
+        i = heapq.heappop(ready)[1]
+        picks.append(i)
+        done[i] += 1
+        if done[i] < shares[i][1]:
+            heapq.heappush(waiting, (done[i] * period // shares[i][1], i))
+    return picks
+
+
+def many(spark: SparkSession, rows: list[tuple[str, int]], period: int, power: float = POWER, weights: dict[str, float] | None = None) -> DataFrame:
+    """What `schedule` returns, for more sources than slots."""
+    dealt = many_shares(rows, period, power, weights)
+    done, columns = [0] * len(dealt), {name: [] for name in ("key", "share", "k", "slot", "release", "deadline")}
+    for slot, i in enumerate(many_slots(dealt, period)):
+        (key, a), done[i] = dealt[i], done[i] + 1
+        for name, x in zip(columns, (key, a, done[i], slot, (done[i] - 1) * period // a, -(-done[i] * period // a))):
+            columns[name].append(x)
+    return spark.createDataFrame(pa.table(columns))
+
+
+def numbered(docs: DataFrame, ranges: int | None = None, few: bool = True) -> DataFrame:
     """The rows with `key` and `nth`, their number (from 0) within their source by doc_id.  Rows are numbered
-    within ranges of doc_id and then shifted by what earlier ranges hold."""
+    within ranges of doc_id and then shifted by what earlier ranges hold; with few sources the shifts are broadcast."""
     ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     place = range_of(F.col("doc_id"), bounds)
@@ -80,18 +128,27 @@ def numbered(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     counts = placed.groupBy("key", "range").agg(F.count(F.lit(1)).alias("held"))
     before = F.coalesce(F.sum("held").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(W.partitionBy("key", "range").orderBy(F.col("doc_id").asc_nulls_first())) - 1
-    shifts = F.broadcast(counts.select("key", "range", before.alias("before")))  # sources (at most one per slot) x ranges
+    shifts = counts.select("key", "range", before.alias("before"))  # sources x ranges
+    shifts = F.broadcast(shifts) if few else shifts
     return placed.withColumn("within", within).join(shifts, ["key", "range"]).withColumn("nth", F.col("before") + F.col("within")).drop("range", "before", "within")
 
 
 def mix(docs: DataFrame, quota: int = QUOTA, block_rows: int = BLOCK_ROWS, power: float = POWER, weights: dict[str, float] | None = None) -> DataFrame:
     """doc_id, source, share, block, slot, release, deadline, position of every row.  `position` orders the mixture:
     by slot, then by number within the block."""
-    plan = stored(schedule(shares(docs, quota, power, weights), quota))
-    rows = numbered(docs.select("doc_id", "source")).withColumn("block", F.floor(F.col("nth") / block_rows))
-    sized = F.broadcast(plan.select("key", "share").distinct())  # at most `quota` rows, as the next
+    counts = docs.groupBy(_key("source").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    few = counts.limit(quota + 1).count() <= quota
+    if few:
+        plan = stored(schedule(shares(docs, quota, power, weights), quota))
+    else:
+        held = [(r["key"], r["rows"]) for r in counts.collect()]
+        quota = SLOTS_PER_SOURCE * len(held)
+        plan = stored(many(docs.sparkSession, held, quota, power, weights))
+    small = F.broadcast if few else lambda df: df  # few: at most `quota` rows
+    rows = numbered(docs.select("doc_id", "source"), few=few).withColumn("block", F.floor(F.col("nth") / block_rows))
+    sized = small(plan.select("key", "share").distinct())
     rows = rows.join(sized, "key").withColumn("k", F.col("block") % F.col("share") + 1).withColumn("period", F.floor(F.col("block") / F.col("share")))
-    rows = rows.join(F.broadcast(plan.drop("share")), ["key", "k"])
+    rows = rows.join(small(plan.drop("share")), ["key", "k"])
     at = F.col("period") * quota
     slot = (at + F.col("slot")).alias("slot")
     position = (at + F.col("slot")) * block_rows + F.col("nth") % block_rows

@@ -451,6 +451,19 @@ def test_mixing_with_given_weights_and_odd_rows(odd, nothing):
     assert ordered.columns == odd.columns and ordered.count() == odd.count()
 
 
+def test_more_sources_than_slots(spark):
+    rows = [(k, "t", "en", f"s{k % 25:02d}" if k < 100 else "big") for k in range(400)] + [(None, "t", "en", None)]
+    docs = frame(spark, rows)
+    got = mixing.mix(docs, quota=10, block_rows=2).collect()
+    assert len(got) == len(rows) and len({r["position"] for r in got}) == len(rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    share = {r["source"]: r["share"] for r in got}
+    assert len(share) == 27 and sum(share.values()) == 27 * mixing.SLOTS_PER_SOURCE
+    same = mixing.schedule(mixing.shares(docs, 60), 60)
+    held = [(r["key"], r["rows"]) for r in mixing.shares(docs, 60).collect()]
+    assert sorted(map(tuple, mixing.many(spark, held, 60).select(same.columns).collect())) == sorted(map(tuple, same.collect()))
+
+
 # --- fingerprints ------------------------------------------------------------------------------------------------------
 
 
