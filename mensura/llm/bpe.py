@@ -3,12 +3,16 @@
 The vocabulary and the merge list come from a public tokenizer file (BPE with an end-of-word suffix); its path is
 a parameter.  From the merge list a *sufficient lookahead* K is computed: whether a merge fires depends only on a
 chain of overlapping merges of ever better rank to its right, and the longest such chain spans K symbols.  The
-encoder therefore holds back at most K symbols plus one token of a word, emits every token that ends before them,
-and restarts at the boundary, so that memory stays constant for words of any length.  Decoding is an incremental
-state machine: ids give token strings at once, and byte-level token strings give text as soon as their bytes form
-whole characters.
-
-Null and empty texts give no ids, and decode to the empty string.  Special tokens in a text are encoded as such.
+encoder reads symbols one by one, holds back at most 4 K of them, emits every token that ends before the last K, and
+restarts at the boundary, so that its memory is constant for words of any length.  Every word goes through it.
+Decoding is an incremental state machine over the bytes of the ids: it holds at most three bytes of an unfinished id
+(and, for readable text, of an unfinished character) and gives each token's text at once.  The decoded digest is made
+from the packed ids by that machine.
+
+Texts are worked off in segments cut at spaces.  Caches (words and chunks to packed ids) are bounded in bytes and
+emptied when full; words over CACHED_CHARS characters are not cached.  Null and empty texts give no ids, and decode to
+the empty string.  Special tokens in a text are encoded as such.  Rows with null or equal ids stay apart; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ import codecs
 import hashlib
 import json
 import struct
+import sys
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -27,8 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import over_batches, table
 
-#: Words kept in a task's cache; it is emptied when full.
-CACHE_WORDS = 300_000
+#: Bytes that each of a task's two caches may hold (an entry counts its key, its value and ENTRY bytes of objects), the
+#: longest word or chunk kept, and the characters of a text taken at a time.
+CACHE_BYTES, ENTRY, CACHED_CHARS, SEGMENT = 48_000_000, 200, 64, 1 << 16
 _NO_SPACE_FOR_THE_LIBRARY = "\x1c\x1d\x1e\x1f"
 
 
@@ -74,6 +81,7 @@ class Transducer:
         self.lookahead = sufficient_lookahead(merges, self._width)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.pieces = {i: b" " + t.encode("utf-8", "surrogatepass") for i, t in self.strings.items()}
         self.bytes = byte_alphabet()
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
@@ -117,11 +125,19 @@ class Transducer:
                 held = held[sum(map(self._width, stable)) :]
         yield from self.merged(held)
 
-    def word(self, word: str) -> list[str]:
+    def symbols(self, word: str) -> Iterator[str]:
+        """The symbols of one pre-tokenised word, the last with the end-of-word suffix."""
+        held = ""
+        for c in word:
+            for b in c.encode("utf-8", "surrogatepass"):
+                if held:
+                    yield held
+                held = self.bytes[b]
+        yield held + self.suffix
+
+    def word(self, word: str) -> Iterator[str]:
         """Token strings of one pre-tokenised word."""
-        symbols = list(word) if word.isascii() and word.isprintable() else [self.bytes[b] for b in word.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        return list(self.stream(symbols)) if len(symbols) > 4 * self.lookahead else self.merged(symbols)
+        return self.stream(self.symbols(word))
 
     def chunks(self, text: str) -> Iterator[str]:
         """The normalised text in pieces without white space; no word of the pre-tokeniser reaches over one."""
@@ -134,49 +150,90 @@ class Transducer:
 
     def parts(self, text: str | None) -> Iterator[str]:
         """Special tokens and normalised chunks of a text, in order."""
-        if not text:
-            return
-        if "<|" not in text:
-            yield from self.chunks(text)
-            return
-        for k, piece in enumerate(self.cuts.split(text)):
-            if k % 2:
-                yield piece
-            elif piece:
+        for piece in segments(text or ""):
+            if "<|" not in piece:
                 yield from self.chunks(piece)
+                continue
+            for k, part in enumerate(self.cuts.split(piece)):
+                if k % 2:
+                    yield part
+                elif part:
+                    yield from self.chunks(part)
 
-    def part_tokens(self, part: str) -> list[str]:
+    def part_tokens(self, part: str) -> Iterator[str]:
         if part in self.special:
-            return [part]
-        return [t for w in self.words.findall(part) for t in self.word(w)]
+            yield part
+        else:
+            for w in self.words.finditer(part):
+                yield from self.word(w[0])
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> Iterator[int]:
+        """Ids, each given once its token is stable."""
         known = self.ids | self.special
-        return [known[t] for p in self.parts(text) for t in self.part_tokens(p) if t in known]
-
-    def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """The pieces of the decoded text (token strings with a space between: the file names no decoder)."""
-        first = True
-        for i in ids:
-            token = self.strings.get(i)
-            if token is not None:
-                yield token if first else " " + token
-                first = False
-
-    def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text: bytes are turned into characters as they complete, word ends into spaces."""
-        to_byte = {c: b for b, c in enumerate(self.bytes)}
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            token = self.strings.get(i, "")
-            if token in self.special:
-                yield state.decode(b"", True) + token
-                state.reset()
-                continue
-            ends = bool(self.suffix) and token.endswith(self.suffix)
-            body = token[: -len(self.suffix)] if ends else token
-            yield state.decode(bytes(to_byte[c] for c in body), ends) + " " * ends
-        yield state.decode(b"", True)
+        return (known[t] for p in self.parts(text) for t in self.part_tokens(p) if t in known)
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text in runs of about SEGMENT characters, cut before a space or line end."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        cut = max(text.rfind(" ", at + 1, at + SEGMENT), text.rfind("\n", at + 1, at + SEGMENT))
+        if cut < 0:
+            ends = [x for x in (text.find(" ", at + SEGMENT), text.find("\n", at + SEGMENT)) if x >= 0]
+            if not ends:
+                break
+            cut = min(ends)
+        yield text[at:cut]
+        at = cut
+    if at < len(text):
+        yield text[at:]
+
+
+class Decoder:
+    """The decoding state machine: bytes of little-endian 32-bit ids in, in runs of any length, bytes of text out.
+
+    Plain decoding puts a space between token strings, as the library does for a file that names no decoder.  With
+    readable=True bytes become characters as they complete, and word ends become spaces.  Unknown ids give nothing."""
+
+    def __init__(self, t: Transducer, readable: bool = False):
+        self.strings, self.special, self.suffix = t.strings, t.special, t.suffix
+        self.to_byte = {c: b for b, c in enumerate(t.bytes)}
+        self.readable, self.pieces = readable, t.pieces
+        self.start()
+
+    def start(self) -> None:
+        """Forgets what was read, for a new text."""
+        self.rest, self.first = b"", True
+        self.characters = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, data: bytes) -> bytes:
+        data = self.rest + data if self.rest else data
+        whole = len(data) & ~3
+        self.rest, ids = data[whole:], array("I")
+        ids.frombytes(data[:whole])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        if self.readable:
+            return "".join(map(self._read, ids)).encode("utf-8", "surrogatepass")
+        out = b"".join([self.pieces.get(i, b"") for i in ids])
+        if self.first and out:
+            self.first = False
+            return out[1:]
+        return out
+
+    def _read(self, i: int) -> str:
+        token = self.strings.get(i, "")
+        if token in self.special:
+            return self.end() + token
+        ends = bool(self.suffix) and token.endswith(self.suffix)
+        body = token[: -len(self.suffix)] if ends else token
+        return self.characters.decode(bytes(self.to_byte[c] for c in body), ends) + " " * ends
+
+    def end(self) -> str:
+        """What an unfinished character at the end of a text gives."""
+        out = self.characters.decode(b"", True)
+        self.characters.reset()
+        return out
 
 
 @lru_cache(2)
@@ -185,39 +242,80 @@ def load(path: str) -> Transducer:
         return Transducer(json.load(f))
 
 
+class Cache:
+    """Packed ids by word or chunk, bounded in bytes; it is emptied when full."""
+
+    def __init__(self, limit: int = CACHE_BYTES):
+        self.limit, self.size, self.found = limit, 0, {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= CACHED_CHARS:
+            if self.size > self.limit:
+                self.found.clear()
+                self.size = 0
+            self.found[key] = value
+            self.size += ENTRY + 4 * len(key) + len(value)
+
+
+class Encoder:
+    """A task's encoder: packed little-endian ids of texts, run by run."""
+
+    def __init__(self, t: Transducer):
+        self.t, self.known = t, t.ids | t.special
+        self.words, self.chunks = Cache(), Cache()
+
+    def _pack(self, tokens: Iterable[str]) -> bytes:
+        packed = array("I", [self.known[x] for x in tokens if x in self.known])
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _chunk(self, part: str) -> bytes:
+        if part in self.t.special:
+            return self._pack([part])
+        out = []
+        for found in self.t.words.finditer(part):
+            word = found[0]
+            packed = self.words.found.get(word)
+            if packed is None:
+                packed = self._pack(self.t.word(word))
+                self.words.keep(word, packed)
+            out.append(packed)
+        packed = b"".join(out)
+        self.chunks.keep(part, packed)
+        return packed
+
+    def runs(self, text: str | None) -> Iterator[bytes]:
+        """The packed ids of a text in runs of a few thousand chunks."""
+        get, held = self.chunks.found.get, []
+        for part in self.t.parts(text):
+            packed = get(part)
+            held.append(self._chunk(part) if packed is None else packed)
+            if len(held) == 4096:
+                yield b"".join(held)
+                held.clear()
+        if held:
+            yield b"".join(held)
+
+
 def _encoder(path: str, keep: bool) -> Callable[[dict[str, list]], Iterable[tuple]]:
-    """A task's encoder, with caches from words, and from chunks, to packed ids and decoded bytes."""
+    """A task's encoder and decoder: the digests are made run by run, the decoded one from the packed ids."""
     t = load(path)
-    known = t.ids | t.special
-    words: dict[str, tuple[bytes, bytes]] = {}
-    ids: dict[str, bytes] = {}
-    said: dict[str, bytes] = {}
-
-    def learn(part: str) -> None:
-        packed, shown = b"", b""
-        for word in (part,) if part.isalpha() or part in t.special else t.words.findall(part):
-            if word not in words:
-                tokens = [x for x in ([word] if word in t.special else t.word(word)) if x in known]
-                packed_word = struct.pack(f"<{len(tokens)}I", *(known[x] for x in tokens))
-                words[word] = packed_word, "".join(" " + x for x in tokens).encode()
-            packed += words[word][0]
-            shown += words[word][1]
-        ids[part], said[part] = packed, shown
+    encoder, decoder = Encoder(t), Decoder(t)
 
     def work(batch: dict[str, list]) -> Iterator[tuple]:
         for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            parts = list(t.parts(text))
-            for p in set(parts).difference(ids):
-                learn(p)
-            packed = b"".join([ids[p] for p in parts])
-            decoded = b"".join([said[p] for p in parts])[1:]
-            row = (doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
-            yield (*row, list(struct.unpack(f"<{len(packed) // 4}I", packed)), decoded.decode()) if keep else row
-            for cache in (words, ids):
-                if len(cache) > CACHE_WORDS:
-                    cache.clear()
-            if not ids:
-                said.clear()
+            n, ids, said, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+            decoder.start()
+            for packed in encoder.runs(text):
+                shown = decoder.feed(packed)
+                n += len(packed) // 4
+                ids.update(packed)
+                said.update(shown)
+                if keep:
+                    kept.append((packed, shown))
+            row = (doc_id, n, ids.hexdigest(), said.hexdigest())
+            yield (*row, [i for p, _ in kept for (i,) in struct.iter_unpack("<I", p)], b"".join(x for _, x in kept).decode("utf-8", "surrogatepass")) if keep else row
 
     return work
 

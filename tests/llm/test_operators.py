@@ -333,16 +333,56 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_encoding_is_the_library_s(library):
     t, rng = bpe.load(PATH), random.Random(6)
-    alphabet = "aeinrst'é ñ日本語́\x1c\x85 ²½0١!_<|ΣİÅ\U0001f600"
+    decoder = bpe.Decoder(t)
+    alphabet = "aeinrst'é ñ日本語́\x1c\x85 ²½0١!_<|ΣİÅ\U0001f600"
     for k in range(1500):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
-        assert t.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text)
-    for text in ("a<|endoftext|>b <|startoftext|>", "we'll you'RE 's'T", "x" * 20_000, "haha" * 4000, "!" * 9000, "theanding" * 2000):
+        assert list(t.encode(text)) == library.encode(text, add_special_tokens=False).ids, repr(text)
+    for text in ("a<|endoftext|>b <|startoftext|>", "we'll you'RE 's'T", "x" * 20_000, "haha" * 4000, "!" * 9000, "theanding" * 2000, "ab 日本 " * 20_000):
         ids = library.encode(text, add_special_tokens=False).ids
-        assert t.encode(text) == ids
-        assert "".join(t.decode(ids)) == library.decode(ids, skip_special_tokens=False)
+        assert list(t.encode(text)) == ids
+        decoder.start()
+        data, out = packed(ids), b""
+        for at in range(0, len(data), 7):  # runs that cut ids
+            out += decoder.feed(data[at : at + 7])
+            assert len(decoder.rest) < 4
+        assert out.decode() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_segments_are_the_text(monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 10)
+    for text in ["", "a", "word " * 9, "x" * 35, "x" * 35 + " y", "  \n\n  " * 5, "ab cdefghijklmnop qr\nstuvwxyz0123"]:
+        parts = list(bpe.segments(text))
+        assert "".join(parts) == text and all(p[0] in " \n" for p in parts[1:])
+
+
+def test_every_word_and_id_goes_through_the_machines(spark, monkeypatch):
+    t = bpe.load(PATH)
+    seen, fed = [], []
+    stream, feed = bpe.Transducer.stream, bpe.Decoder.feed
+    monkeypatch.setattr(bpe.Transducer, "stream", lambda self, symbols: stream(self, (seen.append(x) or x for x in symbols)))
+    monkeypatch.setattr(bpe.Decoder, "feed", lambda self, data: fed.append(data) or feed(self, data))
+    rows = [" ".join(x) for x in (["stone", "cloud"], ["cloud", "river's"], ["nuage", "日本"])]
+    got = list(bpe._encoder(PATH, True)({"doc_id": [1, 2, 3], "text": rows}))
+    words = ["stone", "cloud", "river", "'s", "nuage", "日本"]  # each once: the rest comes from the cache
+    assert "".join(seen).count(t.suffix) == len(words) and len(seen) == sum(len(w.encode()) for w in words)
+    assert b"".join(fed) == b"".join(packed(r[4]) for r in got)
+
+
+def test_caches_are_bounded_in_bytes():
+    cache = bpe.Cache(limit=10_000)
+    for k in range(1000):
+        cache.keep(f"word{k}", b"12345678")
+        assert cache.size <= 10_000 + bpe.ENTRY + 400
+    size = cache.size
+    cache.keep("x" * (bpe.CACHED_CHARS + 1), b"1234")
+    assert cache.size == size
 
 
 def test_stream_holds_a_bounded_window():
@@ -356,7 +396,9 @@ def test_stream_holds_a_bounded_window():
 
 def test_readable_text_comes_back():
     t = bpe.load(PATH)
-    assert "".join(t.text(t.encode("naïve café 日本 ok"))).split() == ["naïve", "café", "日本", "ok"]
+    decoder = bpe.Decoder(t, readable=True)
+    out = b"".join(decoder.feed(bytes([b])) for b in packed(list(t.encode("naïve café 日本 ok"))))
+    assert (out.decode() + decoder.end()).split() == ["naïve", "café", "日本", "ok"]
 
 
 def test_encoding_of_odd_rows(library, odd, nothing):
