@@ -84,6 +84,11 @@ def fold(name: str | Column, k: int) -> Column:
     return F.crc32(F.col(name).cast("string") if isinstance(name, str) else name.cast("string")) % k
 
 
+def held_out(name: str, k: int, remainder: int) -> Column:
+    """Whether a row is held out; a row without an id is not."""
+    return F.coalesce(fold(name, k) == remainder, F.lit(False)).alias("held_out")
+
+
 def fold_of(doc_id: int, k: int) -> int:
     """The same in Python."""
     return zlib.crc32(str(doc_id).encode()) % k

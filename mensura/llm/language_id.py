@@ -2,14 +2,18 @@
 
 The pieces are those of a fixed public vocabulary (its path is a parameter).  Every language has its own piece
 probabilities; a word's likelihood is the sum over all ways of cutting it into pieces, by a forward algorithm, and a
-text's is the product over its words.  Probabilities are learned by expectation-maximisation: forward-backward
-counts over the words of labelled texts, smoothed towards the pieces of all languages.  Single characters outside
-the vocabulary get a small fixed probability, so every word has a segmentation.
-
-Learning uses about MAX_PER_LANGUAGE labelled documents of each language (those whose ids hash below a threshold set from
-the language's count) with all their text; scoring reads all words of all texts.  Null texts and texts without a letter get `und` and score 0.
-Null languages are not learned from; without learning rows every text is `und`.  Ties go to the smaller language
-name.  Repeated rows score alike.
+text's is the product over its words.  A word is a whole run of letters, however long.  The forward pass works with
+logarithms, of which it keeps as many positions as the longest piece has characters, so that no likelihood is lost
+to underflow and memory doesn't follow a word's length.  Probabilities are learned by expectation-maximisation:
+Spark sums forward-backward counts over the words of labelled texts, and the driver gets one number per language and
+piece; they are smoothed towards the pieces of all languages.  Single characters outside the vocabulary get a small
+fixed probability, so every word has a segmentation.
+
+Learning uses about MAX_PER_LANGUAGE labelled documents of each language (those whose ids hash below a threshold set
+from the language's count) with all their words; scoring reads all words of all texts.  Null texts and texts without a
+letter get `und` and score 0.  Null languages and null ids are not learned from (a null id counts as not held out);
+without learning rows every text is `und`.  Ties go to the smaller language name.  Repeated rows score alike; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,20 +24,19 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, over_batches, table
+from .common import fold, held_out, over_batches, stored, table
 
-MAX_PER_LANGUAGE, MAX_WORDS = 400, 60_000
+MAX_PER_LANGUAGE = 400
 PASSES = 3
 #: Weight of the pieces of all languages in each language's own, and a character outside the vocabulary's probability.
 SMOOTHING, UNKNOWN = 0.02, 1e-7
-MAX_WORD = 64
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words at a time and words cached, for up to four languages; fewer with more, so that tables keep their size.
-_WORDS_AT_ONCE, CACHE_WORDS = 4096, 400_000
+#: Characters of words worked on at a time, bytes that a task's cache of word likelihoods may hold, and the longest word kept there.
+_CHARS_AT_ONCE, CACHE_BYTES, ENTRY, CACHED_CHARS = 32_768, 96_000_000, 160, 64
+_INNER = -2
 
 
 def vocabulary(path: str) -> list[str]:
@@ -46,49 +49,70 @@ def vocabulary(path: str) -> list[str]:
 
 
 class Pieces:
-    """The vocabulary as a lookup from substrings to piece numbers, for many words at a time."""
+    """The vocabulary as a lookup from ends of words to piece numbers, for many words at a time."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: k for k, p in enumerate(pieces)}
+        self.count = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        self.ends = {p[k:]: _INNER for p in pieces for k in range(1, len(p))}
+        self.ends.update((p, k) for k, p in enumerate(pieces))
 
     def __len__(self) -> int:
-        return len(self.number)
-
-    def cuts(self, words: list[str]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """For every end position the (word rows, piece numbers, starts) of the pieces that end there; an unknown
-        character has number -1."""
-        found: list[list[list[int]]] = []
-        get = self.number.get
-        for row, word in enumerate(words):
-            while len(found) < len(word):
-                found.append([[], [], []])
-            for start in range(len(word)):
-                for end in range(start + 1, min(len(word), start + self.longest) + 1):
+        return self.count
+
+    def cuts(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For every end position of words given longest first, (word rows, piece numbers, starts) of the pieces that
+        end there, by row; an unknown character has number -1."""
+        get, running = self.ends.get, len(words)
+        for end in range(1, len(words[0]) + 1 if words else 1):
+            while len(words[running - 1]) < end:
+                running -= 1
+            rows: list[int] = []
+            pieces: list[int] = []
+            starts: list[int] = []
+            for row in range(running):
+                word = words[row]
+                for start in range(end - 1, -1, -1):
                     k = get(word[start:end])
-                    if k is not None or end == start + 1:
-                        at = found[end - 1]
-                        at[0].append(row)
-                        at[1].append(-1 if k is None else k)
-                        at[2].append(start)
-        return [tuple(np.array(x, np.int32) for x in f) for f in found]  # type: ignore[misc]
-
-
-def _fewer(n: int, languages: int) -> int:
-    return max(1, 4 * n // max(4, languages))
+                    if k is not None and k >= 0:
+                        rows.append(row)
+                        pieces.append(k)
+                        starts.append(start)
+                    else:
+                        if start == end - 1:
+                            rows.append(row)
+                            pieces.append(-1)
+                            starts.append(start)
+                        if k is None:
+                            break
+            yield np.array(rows, np.int64), np.array(pieces, np.int64), np.array(starts, np.int64)
 
 
 def spelled(word: str) -> str:
-    """A word as it is cut: lower case, with a space in front; very long ones are given in parts by words_of."""
+    """A word as it is cut: lower case, with a space in front."""
     return " " + word
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case letter runs; runs over MAX_WORD letters are cut, so that no table follows a word's length."""
-    words = _WORD.findall((text or "").lower())
-    if any(len(w) > MAX_WORD for w in set(words)):
-        words = [w[k : k + MAX_WORD] for w in words for k in range(0, len(w), MAX_WORD)]
-    return words
+    """Lower-case letter runs."""
+    return _WORD.findall((text or "").lower())
+
+
+def _batches(words: list[str], languages: int, most: int = _CHARS_AT_ONCE) -> Iterator[list[int]]:
+    """Numbers of words, longest first, in groups whose table of positions keeps its size; long words alone."""
+    order = sorted(range(len(words)), key=lambda k: -len(words[k]))
+    at = 0
+    while at < len(order):
+        step = max(1, 4 * most // (max(4, languages) * (len(words[order[at]]) + 1)))
+        yield order[at : at + step]
+        at += step
+
+
+def _step(log_p: np.ndarray, alpha: np.ndarray, slots: np.ndarray, rows: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+    """The logarithm of the summed probability of each word's prefix (words that run on x languages), from those of
+    shorter prefixes."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return np.logaddexp.reduceat(alpha[slots, rows] + log_p[pieces], first, axis=0)
 
 
 class Unigrams:
@@ -107,94 +131,111 @@ class Unigrams:
             self._lookup = Pieces(self.pieces)
         return self._lookup
 
-    def forward(self, words: list[str], cuts: list) -> np.ndarray:
-        """(positions + 1) x words x languages: the summed probability of all segmentations of each prefix."""
-        alpha = np.zeros((len(cuts) + 1, len(words), len(self.languages)))
-        alpha[0] = 1
-        for end, (rows, pieces, starts) in enumerate(cuts):
-            np.add.at(alpha[end + 1], rows, alpha[starts, rows] * self.probability[pieces])
-        return alpha
-
     def log_likelihood(self, words: list[str]) -> np.ndarray:
-        """words x languages."""
+        """words x languages: the logarithm of the summed probability of all segmentations."""
         out = np.empty((len(words), len(self.languages)))
-        step = _fewer(_WORDS_AT_ONCE, len(self.languages))
-        for at in range(0, len(words), step):
-            part = [spelled(w) for w in words[at : at + step]]
-            alpha = self.forward(part, self.lookup.cuts(part))
-            total = alpha[[len(w) for w in part], np.arange(len(part))]
-            out[at : at + len(part)] = np.log(np.maximum(total, 1e-300))
+        log_p, ring = np.log(self.probability), self.lookup.longest + 1
+        for numbers in _batches(words, len(self.languages)):
+            part = [spelled(words[k]) for k in numbers]
+            lengths = np.array([len(w) for w in part])
+            numbers_of = np.array(numbers)
+            alpha = np.zeros((min(ring, lengths[0] + 1), len(part), len(self.languages)))
+            for end, (rows, pieces, starts) in enumerate(self.lookup.cuts(part), 1):
+                now = _step(log_p, alpha, starts % len(alpha), rows, pieces)
+                alpha[end % len(alpha), : len(now)] = now
+                done = np.searchsorted(-lengths, -end, side="left"), len(now)
+                out[numbers_of[done[0] : done[1]]] = now[done[0] :]
         return out
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces + 1 x languages) given words and their counts (words x languages)."""
         out = np.zeros_like(self.probability)
-        for at in range(0, len(words), _WORDS_AT_ONCE):
-            part = [spelled(w) for w in words[at : at + _WORDS_AT_ONCE]]
-            weight = counts[at : at + len(part)]
-            cuts = self.lookup.cuts(part)
-            alpha = self.forward(part, cuts)
-            beta = np.zeros_like(alpha)
+        log_p = np.log(self.probability)
+        for numbers in _batches(words, len(self.languages)):
+            part = [spelled(words[k]) for k in numbers]
             lengths = np.array([len(w) for w in part])
-            beta[lengths, np.arange(len(part))] = 1
-            total = np.maximum(alpha[lengths, np.arange(len(part))], 1e-300)
-            for end in range(len(cuts) - 1, -1, -1):
-                rows, pieces, starts = cuts[end]
-                through = self.probability[pieces] * beta[end + 1][rows]
-                np.add.at(beta, (starts, rows), through)
-                np.add.at(out, pieces, alpha[starts, rows] * through / total[rows] * weight[rows])
+            weight = counts[numbers]
+            cuts = list(self.lookup.cuts(part))
+            alpha = np.zeros((len(cuts) + 1, len(part), len(self.languages)))
+            for end, (rows, pieces, starts) in enumerate(cuts, 1):
+                now = _step(log_p, alpha, starts, rows, pieces)
+                alpha[end, : len(now)] = now
+            # the posterior probability that a cut falls at a position, from the last one back
+            reached = np.zeros_like(alpha)
+            reached[lengths, np.arange(len(part))] = 1
+            for end in range(len(cuts), 0, -1):
+                rows, pieces, starts = cuts[end - 1]
+                share = np.exp(alpha[starts, rows] + log_p[pieces] - alpha[end][rows]) * reached[end][rows]
+                np.add.at(reached, (starts, rows), share)
+                np.add.at(out, pieces, share * weight[rows])
         return out
 
 
-def learn(word_counts: dict[str, Counter], pieces: list[str], passes: int = PASSES) -> Unigrams:
-    """Expectation-maximisation from {language: word counts}, one language at a time within a pass."""
-    languages = sorted(word_counts)
+def smoothed(counts: np.ndarray) -> np.ndarray:
+    """Probabilities (pieces + 1 x languages) from expected counts (pieces x languages)."""
+    own = counts + 1e-3 / max(1, len(counts))
+    own = own / own.sum(0)
+    everywhere = own.mean(1, keepdims=True)
+    return np.vstack([(1 - SMOOTHING) * own + SMOOTHING * (0.9 * everywhere + 0.1 / len(counts)), np.full((1, counts.shape[1]), UNKNOWN)])
+
+
+def learn(counted: DataFrame, languages: list[str], pieces: list[str], passes: int = PASSES) -> Unigrams:
+    """Expectation-maximisation from stored word counts (number of the language, word, n).  In every pass tasks give
+    expected counts of their words' pieces, Spark adds them up, and the driver gets at most pieces x languages sums."""
     start = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     start[-1] = UNKNOWN
     model = Unigrams(pieces, languages, start)
-    lookup = Pieces(pieces)
+    spark = counted.sparkSession
     for _ in range(passes):
-        own = np.empty((len(pieces), len(languages)))
-        for k, name in enumerate(languages):
-            single = Unigrams(pieces, [name], model.probability[:, [k]])
-            single._lookup = lookup
-            words = sorted(word_counts[name])
-            counts = np.array([word_counts[name][w] for w in words], float)[:, None]
-            own[:, k] = single.expected(words, counts)[:-1, 0] + 1e-3 / max(1, len(pieces))
-        own /= own.sum(0)
-        everywhere = own.mean(1, keepdims=True)
-        model.probability = np.vstack([(1 - SMOOTHING) * own + SMOOTHING * (0.9 * everywhere + 0.1 / len(pieces)), np.full((1, len(languages)), UNKNOWN)])
+        table_ = spark.sparkContext.broadcast(model.probability)  # pieces x languages, the model's own size
+
+        def begin(table_=table_) -> Callable[[dict[str, list]], Iterable[tuple]]:
+            lookup = Pieces(pieces)
+
+            def work(batch: dict[str, list]) -> Iterator[tuple]:
+                by_language: dict[int, list[tuple[str, int]]] = {}
+                for number, word, n in zip(batch["number"], batch["word"], batch["n"]):
+                    by_language.setdefault(number, []).append((word, n))
+                for number, rows in by_language.items():
+                    single = Unigrams(pieces, [languages[number]], table_.value[:, [number]])
+                    single._lookup = lookup
+                    sums = single.expected([w for w, _ in rows], np.array([[float(n)] for _, n in rows]))[:-1, 0]
+                    held = np.flatnonzero(sums)
+                    yield from zip([number] * len(held), held.tolist(), sums[held].tolist())
+
+            return work
+
+        sums = over_batches(counted, "number int, piece int, expected double", begin).groupBy("number", "piece").agg(F.sum("expected").alias("expected")).toArrow()
+        counts = np.zeros((len(pieces), len(languages)))
+        counts[sums["piece"].to_numpy(), sums["number"].to_numpy()] = sums["expected"].to_numpy()
+        model = Unigrams(pieces, languages, smoothed(counts))
+        table_.unpersist()
     return model
 
 
 def fit(docs: DataFrame, pieces: list[str], held_out_fold: int = 0, folds: int = 5, limit: int = MAX_PER_LANGUAGE) -> Unigrams:
-    """Piece probabilities of every language, from at most `limit` documents of each outside the held-out fold.
-    Word counts are summed by Spark; the driver gets the MAX_WORDS most frequent words of each language."""
+    """Piece probabilities of every language, from about `limit` documents of each outside the held-out fold."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out_fold))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    known = [(r["lang"], r["n"]) for r in sizes.orderBy("lang").collect()]
+    known = [(r["lang"], r["n"]) for r in sizes.orderBy("lang").collect()]  # one row per language
     if not known:
         return Unigrams(pieces, [], np.zeros((len(pieces) + 1, 0)))
     # a hash threshold that keeps about `limit` rows of each language, whatever its size
-    rates = docs.sparkSession.createDataFrame([(name, min(1.0, limit / n)) for name, n in known], "lang string, rate double")
+    rates = docs.sparkSession.createDataFrame([(name, k, min(1.0, limit / n)) for k, (name, n) in enumerate(known)], "lang string, number int, rate double")
     unit = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    chosen = usable.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).select("text", "lang")
+    chosen = usable.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").filter(unit < F.col("rate")).select("text", "number")
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
-            counts: dict[str, Counter] = {}
-            for text, lang in zip(batch["text"], batch["lang"]):
-                counts.setdefault(lang, Counter()).update(words_of(text))
-            return ((lang, w, n) for lang, c in counts.items() for w, n in c.items())
+            counts: dict[int, Counter] = {}
+            for text, number in zip(batch["text"], batch["number"]):
+                counts.setdefault(number, Counter()).update(words_of(text))
+            return ((number, w, n) for number, c in counts.items() for w, n in c.items())
 
         return work
 
-    counted = over_batches(chosen, "lang string, word string, n long", start).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= MAX_WORDS)
-    by_language: dict[str, Counter] = {name: Counter() for name, _ in known}
-    for row in top.toLocalIterator():
-        by_language[row["lang"]][row["word"]] = row["n"]
-    return learn(by_language, pieces)
+    counted = over_batches(chosen, "number int, word string, n long", start).groupBy("number", "word").agg(F.sum("n").alias("n"))
+    return learn(stored(counted), [name for name, _ in known], pieces)
 
 
 def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
@@ -203,21 +244,23 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         row_of: dict[str, int] = {}
-        cached = _fewer(CACHE_WORDS, len(model.languages))
+        cached = max(1, CACHE_BYTES // (ENTRY + 8 * max(1, len(model.languages))))
         likely = np.zeros((1024, max(1, len(model.languages))))
 
-        def work(batch: dict[str, list]) -> Iterator[tuple]:
+        def learn_words(new: list[str]) -> None:
             nonlocal likely
+            base = len(row_of)
+            if base + len(new) > len(likely):
+                likely = np.vstack([likely[:base], np.zeros((max(base, len(new)), likely.shape[1]))])
+            likely[base : base + len(new)] = model.log_likelihood(new)
+            row_of.update(zip(new, range(base, base + len(new))))
+
+        def work(batch: dict[str, list]) -> Iterator[tuple]:
             lists = [words_of(t) for t in batch["text"]]
             if len(row_of) > cached:
                 row_of.clear()
             new = sorted(set().union(*lists).difference(row_of)) if model.languages else []
-            if new:
-                base = len(row_of)
-                while base + len(new) > len(likely):
-                    likely = np.vstack([likely, np.zeros_like(likely)])
-                likely[base : base + len(new)] = model.log_likelihood(new)
-                row_of.update(zip(new, range(base, base + len(new))))
+            learn_words(new)
             for doc_id, words in zip(batch["doc_id"], lists):
                 if not words or not model.languages:
                     yield doc_id, UNDETERMINED, 0.0
@@ -226,6 +269,8 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
                 best = int(total.argmax())
                 posterior = np.exp((total - total[best]) / len(words) ** 0.5)
                 yield doc_id, model.languages[best], float(1 / posterior.sum())
+            if any(len(w) > CACHED_CHARS for w in new):
+                row_of.clear()  # long words are not kept
 
         return work
 
@@ -233,8 +278,10 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language.  A null text gives `und`, a null id is not held out, repeated rows stay apart, an empty
+    table gives no rows."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, vocabulary(public_tokenizers.path("piece_bpe_32k.model"))))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return scored.select("doc_id", held_out("doc_id", 5, 0), "lang_pred", "score")

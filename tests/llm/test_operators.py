@@ -429,6 +429,51 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(model.log_likelihood(words)), [[total(" " + w, k) for k in (0, 1)] for w in words])
 
 
+def plain_forward(model, word):
+    """Log likelihoods by exact sums over logarithms, position by position."""
+    word, out = " " + word, []
+    for k in range(len(model.languages)):
+        at = [0.0]
+        for end in range(1, len(word) + 1):
+            ways = [at[s] + np.log(model.probability[model.pieces.index(word[s:end]), k]) for s in range(end) if word[s:end] in model.pieces]
+            if word[end - 1 : end] not in model.pieces:
+                ways.append(at[end - 1] + np.log(model.probability[-1, k]))
+            at.append(np.logaddexp.reduce(ways))
+        out.append(at[-1])
+    return out
+
+
+def test_long_and_unknown_words_keep_their_likelihoods():
+    pieces = [" a", " ", "a", "b", "ab", "ba", " ab"]
+    p = np.column_stack([np.linspace(0.1, 0.8, 7), np.linspace(0.7, 0.05, 7)])
+    model = language_id.Unigrams(pieces, ["x", "y"], np.vstack([p, [[1e-7, 1e-7]]]))
+    words = ["ab" * 250, "日" * 50 + "ab", "日" * 50 + "b", "a" * 64, "a" * 65, "", "日本" * 300]
+    got = model.log_likelihood(words)
+    assert np.isfinite(got).all() and np.allclose(got, [plain_forward(model, w) for w in words])
+    assert abs(got[1, 0] - got[1, 1]) > 0.1 and abs(got[2, 0] - got[2, 1]) > 0.1  # evidence beside unknown characters counts
+
+
+def test_expected_counts_sum_over_segmentations():
+    pieces = [" a", " ", "a", "b", "ab", " ab"]
+    model = language_id.Unigrams(pieces, ["x"], np.vstack([np.linspace(0.1, 0.6, 6)[:, None], [[1e-7]]]))
+    words, weights = ["ab", "aab", "abc"], [2.0, 1.0, 3.0]
+
+    def ways(word):
+        if not word:
+            return [()]
+        cuts = [(pieces.index(word[:n]),) + w for n in range(1, len(word) + 1) if word[:n] in pieces for w in ways(word[n:])]
+        return cuts if word[0] in pieces else cuts + [(6,) + w for w in ways(word[1:])]
+
+    want = np.zeros(7)
+    for word, weight in zip(words, weights):
+        all_ = ways(" " + word)
+        total = sum(np.prod(model.probability[list(w), 0]) for w in all_)
+        for w in all_:
+            for k in w:
+                want[k] += weight * np.prod(model.probability[list(w), 0]) / total
+    assert np.allclose(model.expected(words, np.array(weights)[:, None])[:, 0], want)
+
+
 def test_languages(spark, odd, nothing):
     rng = random.Random(8)
     stems = {"de": ["ung", "heit", "schl", "auf", "ein"], "fr": ["eau", "tion", "oux", "ais", "ille"], "es": ["ción", "ado", "lla", "ñez", "mente"]}
@@ -443,13 +488,15 @@ def test_languages(spark, odd, nothing):
     told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.score_documents(odd, model).collect()}
     assert told[1] == told[2] == told[3] == ("und", 0.0) and told[5][0] in stems
     assert language_id.score_documents(nothing, model).count() == 0
+    run = frame(spark, [(1, "heit" * 125, "de", "a"), (2, "mente" * 100, "es", "a"), (3, "日" * 50 + " heitung", None, None)])
+    assert [r["lang_pred"] for r in language_id.score_documents(run, model).orderBy("doc_id").collect()] == ["de", "es", "de"]
     none = language_id.fit(nothing, ["a"])
     assert {r["lang_pred"] for r in language_id.score_documents(odd, none).collect()} == {"und"}
 
 
 def test_every_language_and_piece_is_used(spark):
     rng = random.Random(18)
-    names = [f"l{k:03d}" for k in range(210)]
+    names = [f"l{k:03d}" for k in range(300)]
     word = {name: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for name in names}
     rows = [(k, " ".join([word[name]] * 5), name, "a") for k, name in enumerate(names * 8)]
     docs = frame(spark, rows)
