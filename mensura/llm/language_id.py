@@ -260,7 +260,8 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
             if len(row_of) > cached:
                 row_of.clear()
             new = sorted(set().union(*lists).difference(row_of)) if model.languages else []
-            learn_words(new)
+            if new:
+                learn_words(new)
             for doc_id, words in zip(batch["doc_id"], lists):
                 if not words or not model.languages:
                     yield doc_id, UNDETERMINED, 0.0
