@@ -9,7 +9,8 @@ Learning uses at most MAX_LEARNING labelled documents (those whose ids hash smal
 these, in hash order, a document whose lines would bring the sum over MAX_LINES is left out whole.  Scoring reads
 all lines of all texts.  Null, empty and blank texts count as one
 empty line.  Labels that are null or name no document are ignored; when a document has several labels the smallest
-counts.  Repeated rows get the same score; without labels every score is 1/2.
+counts.  A null id is not held out and not learned from.  Repeated rows get the same score; without labels every
+score is 1/2; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, over_batches, scored, smallest_hashes, table
+from .common import fold, held_out, over_batches, scored, smallest_hashes, stored, table
 
 MAX_LEARNING, MAX_LINES = 6000, 240_000
 THRESHOLD = 0.3
@@ -106,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int =
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out_fold))
     usable = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = smallest_hashes(usable, "doc_id", limit)
-    learning = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).persist()
+    learning = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    learning = stored(learning)
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
     sizes = learning.select("doc_id", lines.alias("lines"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)).alias("hash")).collect()
     if sum(r["lines"] for r in sizes) > most_lines:
@@ -126,7 +128,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 0, folds: int =
         return work
 
     rows = sorted(over_batches(sample.select(F.col("doc_id").cast("long"), "text", "quality"), schema, start).toLocalIterator())
-    learning.unpersist()
     if not rows:
         return crf.train(np.zeros((0, FEATURES)), np.zeros(0, int), np.zeros(0, int)), np.zeros(2)
     x = np.vstack([np.frombuffer(r[3], np.float32).reshape(-1, FEATURES) for r in rows]).astype(float)
@@ -161,6 +162,8 @@ def accepted(docs: DataFrame, fitted: tuple[crf.Model, np.ndarray], threshold: f
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score.  Null and empty texts are one empty line, a null id is not held out, repeated rows stay
+    apart, an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     scores = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_share")
+    return scores.select("doc_id", held_out("doc_id", 5, 0), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "good_share")

@@ -11,10 +11,12 @@ are not taken for the term.
 Each hit is weighed by its window of WINDOW words to either side: quotation marks around it or words that report
 or define speech make it a quotation, words of address make it abuse.  A logistic regression over the hit features
 gives the score.  Lexicon and weights are learned from at most MAX_PER_LABEL documents of each label (those whose ids
-hash smallest); scoring reads all words of all texts.
+hash smallest); every word of these, of any length, that the likelihood ratio tells from clean words is a term, and
+Spark works the ratio out, so that the driver gets the terms only.  Scoring reads all words of all texts.
 
 Null and empty texts have no hits.  Null labels, labels of unknown documents and repeated labels (the largest
-counts) are no errors; without labels the seed terms and fixed weights are used.  Repeated rows score alike.
+counts) are no errors; without labels the seed terms and fixed weights are used.  A null id is not held out and not
+learned from.  Repeated rows score alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, over_batches, scored, smallest_hashes, table
+from .common import fold, held_out, over_batches, scored, smallest_hashes, stored, table
 from .shingles import mix, shingle_lists
 
-MAX_PER_LABEL, MAX_TERMS, MAX_VARIANTS = 3000, 600, 20_000
+MAX_PER_LABEL = 3000
 #: A learned term's least log-likelihood ratio against the labels, share of toxic documents, and document count.
 LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 20.0, 0.9, 3
 WINDOW = 6
@@ -173,7 +175,7 @@ class Scanner:
         """Keeps the hits of the reading with most of them, of those the one with the fewest errors."""
         found: list[tuple[int, str]] = []
         for way in candidates(chunk):
-            hits = [m for p in way if (len(p) > 2 or not p.isascii() and len(p) > 1) and (m := self.matcher.match(p))]
+            hits = [m for p in way if p and (m := self.matcher.match(p))]
             if hits and (len(hits), -sum(e for e, _ in hits)) > (len(found), -sum(e for e, _ in found)):
                 found = hits
         if found:
@@ -225,14 +227,16 @@ class Fitted:
         return Scanner(Matcher(self.terms, self.variants))
 
 
-def likelihood_ratio(with_term: tuple[int, int], totals: tuple[int, int]) -> float:
+def likelihood_ratio(clean: Column, toxic: Column, totals: tuple[int, int]) -> Column:
     """Dunning's G-squared of a term's document counts by label."""
-    out, n = 0.0, sum(totals)
-    for k, t in ((sum(with_term), with_term), (n - sum(with_term), (totals[0] - with_term[0], totals[1] - with_term[1]))):
-        for seen, of in zip(t, totals):
-            if seen:
-                out += seen * math.log(seen * n / (k * of))
-    return 2 * out
+    with_term, n = clean + toxic, sum(totals)
+
+    def part(seen: Column, row: Column, of: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * F.lit(float(n)) / (row * F.lit(float(of))))).otherwise(0.0)
+
+    without = F.lit(n) - with_term
+    held = part(clean, with_term, totals[0]) + part(toxic, with_term, totals[1])
+    return 2 * (held + part(totals[0] - clean, without, totals[0]) + part(totals[1] - toxic, without, totals[1]))
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
@@ -262,7 +266,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, label in zip(batch["text"], batch["toxic"]):
-                counts[label].update({w for c in set((text or "").lower().split()) for way in candidates(c) for w in way if (len(w) > 2 or not w.isascii() and len(w) > 1) and len(w) < 40})
+                counts[label].update({w for c in set((text or "").lower().split()) for way in candidates(c) for w in way if w})
             return ((w, counts[0][w], counts[1][w]) for w in counts[0].keys() | counts[1].keys())
 
         return work
@@ -277,18 +281,16 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int =
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = smallest_hashes(usable.filter("toxic = 0"), "doc_id", limit).unionByName(smallest_hashes(usable.filter("toxic = 1"), "doc_id", limit))
     learning = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    learning = without_copies(learning.select("doc_id", "text", "toxic")).persist()
+    learning = stored(without_copies(learning.select("doc_id", "text", "toxic")))
     held = {r["toxic"]: r["count"] for r in learning.groupBy("toxic").count().collect()}
     totals = (held.get(0, 0), held.get(1, 0))
     if not all(totals):
-        learning.unpersist()
         return Fitted(SEED, [], np.array([3.0, 0.5, 1.5, -1.0, 0.5, 1.0, 1.0, -2.5]))
-    counts = _word_counts(learning).persist()
+    counts = stored(_word_counts(learning))
     rates = F.col("toxic") / totals[1], F.col("clean") / totals[0]
     likely = counts.filter((F.col("toxic") >= LEAST_DOCS) & (rates[0] / (rates[0] + rates[1]) >= LEAST_SHARE))
-    rows = likely.orderBy(F.desc("toxic"), "clean", "word").limit(4 * MAX_TERMS).collect()
-    rated = sorted(((likelihood_ratio((r["clean"], r["toxic"]), totals), r["word"]) for r in rows), reverse=True)
-    terms = sorted(set(SEED) | {w for g, w in rated[:MAX_TERMS] if g >= LEAST_RATIO})
+    rows = likely.filter(likelihood_ratio(F.col("clean"), F.col("toxic"), totals) >= LEAST_RATIO).select("word").collect()  # words of the learning sample
+    terms = sorted(set(SEED) | {r["word"] for r in rows})
     matcher_terms = terms
 
     def near() -> Callable[[dict[str, list]], Iterable[tuple]]:
@@ -297,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int =
 
     fuzzy = over_batches(counts.filter("clean > 0"), "word string, clean long, toxic long", near)
     legitimate = fuzzy.filter(F.col("clean") * totals[1] * 4 >= F.col("toxic") * totals[0])
-    variants = [r["word"] for r in legitimate.orderBy(F.desc("clean"), "word").limit(MAX_VARIANTS).collect()]
+    variants = sorted(r["word"] for r in legitimate.select("word").collect())  # words of the learning sample
     fitted = Fitted(terms, variants, np.zeros(FEATURES + 1))
 
     def measure() -> Callable[[dict[str, list]], Iterable[tuple]]:
@@ -306,8 +308,6 @@ def fit(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int =
 
     measured = over_batches(learning, "toxic int, x array<double>", measure).collect()
     fitted.weights = crf.logistic(np.array([r["x"] for r in measured]), np.array([r["toxic"] for r in measured]))
-    counts.unpersist()
-    learning.unpersist()
     return fitted
 
 
@@ -340,6 +340,8 @@ def accepted(docs: DataFrame, fitted: Fitted, threshold: float = THRESHOLD) -> D
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score.  Null and empty texts have no hits, a null id is not held out, repeated rows stay apart, an
+    empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     scores = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return scores.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scores.select("doc_id", held_out("doc_id", 3, 1), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -150,6 +150,59 @@ def test_toxicity_learns_terms(spark, odd, nothing):
     assert toxicity.fit(docs, nulls).terms == toxicity.SEED
 
 
+def plain_toxicity(fitted, text):
+    """The score of a text by distances to all terms, without tries, automata or caches."""
+    words = (text or "").lower().split()
+    hits = []
+    for k, c in enumerate(words):
+        best = []
+        for way in toxicity.candidates(c):
+            found = []
+            for piece in way:
+                near = [(levenshtein(piece, t), t) for t in fitted.terms if levenshtein(piece, t) <= toxicity.allowed_errors(t)]
+                if piece and near and not (min(near)[0] and piece in fitted.variants):
+                    found.append(min(near))
+            if found and (len(found), -sum(e for e, _ in found)) > (len(best), -sum(e for e, _ in best)):
+                best = found
+        window = words[max(0, k - toxicity.WINDOW) : k + toxicity.WINDOW + 1]
+        quotes = "\"'“”‘’«»„‹›`"
+        opened = c[0] in quotes or any(w[0] in quotes for w in words[max(0, k - toxicity.WINDOW) : k])
+        closed = any(w.rstrip(".,;:!?")[-1:] in quotes and w.rstrip(".,;:!?") for w in words[k : k + toxicity.WINDOW + 1])
+        around = {w.strip(".,;:!?\"") for w in window if w is not c}
+        quoted = 0.5 * (opened and closed) + 0.5 * bool(around & toxicity.REPORTING)
+        hits += [(e, t, quoted, float(bool(around & toxicity.ADDRESS))) for e, t in best]
+    plain, fuzzy = sum(1 - q for e, _, q, _ in hits if not e), sum(1 - q for e, _, q, _ in hits if e)
+    x = [plain > 0, np.log1p(plain), np.log1p(fuzzy), np.log1p(sum(q for *_, q, _ in hits)), np.log1p(sum(a * (1 - q) for *_, q, a in hits)), len({t for _, t, *_ in hits}) > 1, min(1, 20 * (plain + fuzzy) / len(words)) if hits else 0]
+    return 1 / (1 + np.exp(-(np.dot(x, fitted.weights[:-1]) + fitted.weights[-1])))
+
+
+def test_toxicity_agrees_with_a_plain_version(spark):
+    docs, labels = labelled(spark)
+    fitted = toxicity.fit(docs, labels)
+    rng, rows = random.Random(31), []
+    spice = ["grobnik", "grobnlk", "zlurpa", "idi0t", "moron,", '"moron"', "said", "you", "word:", "scum-bag", "disgustng", "trash!", "xmoronx", "worthles"]
+    for k, t in enumerate(texts(150, 33, 30)):
+        words = t.split()
+        for _ in range(rng.randint(0, 5)):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(spice))
+        rows.append((k, " ".join(words), "en", "a"))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (None, "you moron", "en", "a")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(frame(spark, rows), fitted).collect()}
+    assert all(abs(got[i] - plain_toxicity(fitted, t)) < 1e-9 for i, t, *_ in rows)
+    assert len({round(x, 6) for x in got.values()}) > 20
+
+
+def test_terms_of_any_length_and_number_are_learned(spark):
+    rng, rows, labels = random.Random(41), [], []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    terms = ["".join(rng.choices(letters, k=9)) for _ in range(700)] + ["zq" * 30, "qx", "j"]
+    for k, t in enumerate(texts(400, 43, 60)):
+        rows.append((k, " ".join([*t.split(), *(rng.sample(terms, 300) if k % 2 else [])]), "en", "a"))
+        labels.append((k, 1, k % 2))
+    fitted = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(terms) <= set(fitted.terms)
+
+
 # --- fields and quality ----------------------------------------------------------------------------------------------
 
 
@@ -190,6 +243,31 @@ def test_quality(spark, odd, nothing):
     assert {r["score"] for r in quality.score_documents(odd, unfitted).collect()} == {0.5}
 
 
+def test_quality_agrees_with_a_plain_version(spark):
+    rng = random.Random(51)
+    rows, labels = [], []
+    for k in range(120):
+        lines = [rng.choice(["BUY!!! NOW!!!", "Copyright all rights reserved", " ".join(rng.choices(WORDS, k=rng.randint(1, 9))) + "."]) for _ in range(rng.randint(1, 6))]
+        rows.append((k, "\n".join(lines), "en", "a"))
+        labels.append((k, int(sum(x.endswith(".") for x in lines) * 2 >= len(lines)), 0))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (902, "\n \n", "en", "a")]
+    docs = frame(spark, rows)
+    model, curve = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, (model, curve)).collect()}
+    for i, t, *_ in rows:
+        x = quality.line_features(t)
+        emissions = (x - model.mean) / model.scale @ model.weights[:-1] + model.weights[-1]
+        marginal, _ = plain_chain(model, emissions)
+        weights = [len(line) + 1 for line in (t or "").split("\n")]
+        share = sum(w * m for w, m in zip(weights, marginal[:, 1])) / sum(weights)
+        assert abs(got[i] - 1 / (1 + np.exp(-(share * curve[0] + curve[1])))) < 1e-9
+
+
+def test_null_ids_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (3,)], "doc_id long").select(common.held_out("doc_id", 3, 1))
+    assert [r["held_out"] for r in rows.collect()] == [False, *(common.fold_of(k, 3) == 1 for k in (1, 2, 3))]
+
+
 def test_quality_learns_from_lines_after_the_fortieth(spark):
     rng, rows, labels = random.Random(15), [], []
     clean = lambda: " ".join(rng.choices(WORDS, k=8)).capitalize() + "."
