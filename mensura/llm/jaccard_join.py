@@ -1,25 +1,29 @@
 """Exact Jaccard join of documents by word n-grams: a blocked sparse matrix product with size-derived bounds.
 
-1. One pass hashes every text's shingles, identifies its shingle set by 128 bits, and counts shingles in a fixed
-   table (2**SKETCH_BITS counters, quantised), which serves only to order shingles from rare to frequent.
-2. Texts with the same set become one class.  Two sets that reach the threshold share one of the first
+1. One pass hashes every text's shingles, identifies its shingle set by 128 bits, and counts shingles in a table of
+   counters (quantised; its size follows the input's up to 2**MOST_BITS), which serves only to order shingles from rare
+   to frequent: results don't depend on it.
+2. Texts with the same set become one class, numbered.  Two sets that reach the threshold share one of the first
    n - ceil(t n) + 1 shingles of each in any fixed order, and their sizes differ by at most the threshold; so the
    rare-first prefixes, cut into size bands, put every pair that can link into one bucket or two buckets of
-   neighbouring bands.  Each bucket emits one edge per member (to its smallest member), never pairs; the connected
+   neighbouring bands.  A task links each member of a bucket to the first one that it has met itself, and only
+   such heads go through the exchange, where they are linked to the smallest head; never pairs.  The connected
    components of those edges are the blocks that the product can be restricted to.
-3. Classes of a block meet in one task, or, where a block is large, in tasks for pairs of sub-blocks of neighbouring
-   size bands.  A task multiplies the incidence matrix with its transpose in column strips, adding up overlaps, and
-   drops pairs whose overlap can no longer reach the bound that their sizes set.  It returns only a spanning forest of
-   its links and each class's number of links.
-4. Components of the forest give every document its class.
-
-Empty and null texts have no shingles and link with nothing; documents of the same id are rows of their own with the
-same class; exact copies link with each other.  Null ids are kept, without a class.  Sets are compared by 64-bit
-shingle hashes.
+3. Classes of a block meet in one task, or, where a block is large (by shingles, classes or bytes of text), in tasks for
+   pairs of sub-blocks of neighbouring size bands.  A task multiplies the incidence matrix with its transpose in
+   column strips, adding up overlaps as integers, and drops pairs whose overlap can no longer reach the bound that their
+   sizes set.  It returns only a spanning forest of its links and each class's number of links.
+4. Components of the forest give every class the smallest id of its component.
+
+Every row is a document of its own: repeated ids link by their texts only, so rows of one id with different texts can
+belong to different components.  Exact copies link with each other.  Empty, blank and null texts have no shingles
+and link with nothing.  A row without an id is kept, links with nothing and has no component.  An empty table gives
+an empty result; other columns are not read.  Sets are compared by 64-bit shingle hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -33,33 +37,44 @@ from .graph import components
 from .shingles import distinct, mix, shingle_lists
 
 SIZE, NUMERATOR, DENOMINATOR = 4, 85, 100
-SKETCH_BITS, SKETCH_PART = 23, 16
+#: Least and most counters (powers of two, one byte each where they are used), and counters of a part of the table.
+LEAST_BITS, MOST_BITS, SKETCH_PART = 18, 26, 18
 #: Only shingles in the lowest part of the hash range are counted; longer prefixes fall back on hash order.
 COUNTED = 4
-#: Shingles and classes of one side of a task, and columns of a strip of the product.
-BLOCK_SHINGLES, BLOCK_CLASSES, STRIP = 400_000, 1000, 4096
+#: Shingles (or BYTES_A_SHINGLE bytes of text each) and classes of one side of a task, and columns of a strip of the product.
+BLOCK_SHINGLES, BYTES_A_SHINGLE, BLOCK_CLASSES, STRIP = 400_000, 16, 1000, 4096
+#: Buckets whose head a task remembers, and sets that it knows; both are forgotten when full, which costs rows only.
+HEADS, KNOWN = 300_000, 300_000
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h << np.uint64(2)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(size_of_texts: int) -> int:
+    """About one counter for each counted shingle (six bytes of text have one)."""
+    return min(MOST_BITS, max(LEAST_BITS, (size_of_texts // (6 * COUNTED)).bit_length()))
 
 
-def _scan(size: int) -> Callable[[], Callable]:
+def _slot(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h << np.uint64(2)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _identity(s: np.ndarray, k: int) -> int:
+    return int(np.bitwise_xor.reduce(mix(s + np.uint64(k)))) - (1 << 63) if len(s) else 0
+
+
+def _scan(size: int, bits: int) -> Callable[[], Callable]:
     """Sets' identities of a batch, and at its end the counts of their low shingles, as parts of the table."""
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         def work(batch: dict[str, list]) -> Iterator[tuple]:
             low = []
-            for doc_id, runs in zip(batch["doc_id"], shingle_lists(batch["text"], size)):
+            for doc_id, key, held, runs in zip(batch["doc_id"], batch["key"], batch["bytes"], shingle_lists(batch["text"], size)):
                 s = distinct(runs)
-                one, two = (int(np.bitwise_xor.reduce(mix(s + np.uint64(k)))) if len(s) else 0 for k in (11, 23))
-                yield doc_id, len(s), one - (1 << 63), two - (1 << 63), None, None
+                yield doc_id, key, held, len(s), _identity(s, 11), _identity(s, 23), None, None
                 low.append(s[s < np.uint64((1 << 64) // COUNTED)])
-            slots = _slot(np.concatenate(low)) if low else np.empty(0, np.int64)
+            slots = _slot(np.concatenate(low), bits) if low else np.empty(0, np.int64)
             parts, inside = slots >> SKETCH_PART, slots & ((1 << SKETCH_PART) - 1)
             for part in np.unique(parts):
                 found, n = np.unique(inside[parts == part], return_counts=True)
-                yield None, None, None, None, int(part), found.astype(np.uint16).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes()
+                yield None, None, None, None, None, None, int(part), found.astype(np.uint32).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes()
 
         return work
 
@@ -72,8 +87,8 @@ def _summed(parts: DataFrame, spread: int) -> DataFrame:
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SKETCH_PART, np.int64)
         for data in frame["counts"]:
-            pairs = np.frombuffer(data, np.uint16).reshape(2, -1)
-            total[pairs[0]] += pairs[1]
+            n = len(data) // 6
+            total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.uint16, n, 4 * n)
         return pd.DataFrame({"part": [key[0]], "total": [total.tobytes()]})
 
     def again(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -95,17 +110,23 @@ def prefix_length(n: int, numerator: int, denominator: int) -> int:
 
 
 def _prefixes(size: int, numerator: int, denominator: int, levels: np.ndarray) -> Callable[[], Callable]:
-    """(shingle, set, n) of every prefix; a task that has seen a set does not emit it again."""
+    """(shingle, set, band, null) of the first set that a task meets in a bucket, and (any, set, -1, head) for every
+    further one; a task that has seen a set does not emit it again."""
+    bits = len(levels).bit_length() - 1
+    width = -math.log(numerator / denominator)
 
     def start() -> Callable[[dict[str, list]], Iterable[tuple]]:
         seen: set[int] = set()
+        heads: dict[int, dict[int, int]] = {}
+        count = 0
 
         def work(batch: dict[str, list]) -> Iterator[tuple]:
+            nonlocal count
             for runs in shingle_lists(batch["text"], size):
                 s = distinct(runs)
                 if not len(s):
                     continue
-                one = int(np.bitwise_xor.reduce(mix(s + np.uint64(11)))) - (1 << 63)
+                one = _identity(s, 11)
                 if one in seen:
                     continue
                 seen.add(one)
@@ -113,12 +134,25 @@ def _prefixes(size: int, numerator: int, denominator: int, levels: np.ndarray) -
                 low = s[: np.searchsorted(s, np.uint64((1 << 64) // COUNTED))]
                 # low shingles come before the others, so a prefix of them alone is a prefix of the whole order
                 if len(low) >= p:
-                    key = (levels[_slot(low)].astype(np.uint64) << np.uint64(56)) | (low >> np.uint64(8))
+                    key = (levels[_slot(low, bits)].astype(np.uint64) << np.uint64(56)) | (low >> np.uint64(8))
                     chosen = low[np.argpartition(key, p - 1)[:p]]
                 else:
                     chosen = s[:p]
-                yield from zip(chosen.view(np.int64).tolist(), [one] * p, [len(s)] * p)
-            if len(seen) > 500_000:
+                band = int(math.log(len(s)) / width + 1e-9)
+                mine, near = heads.setdefault(band, {}), set()
+                for shingle in chosen.view(np.int64).tolist():
+                    head = mine.setdefault(shingle, one)
+                    if head == one:
+                        count += 1
+                        yield shingle, one, band, None
+                    else:
+                        near.add(head)
+                for head in near:
+                    yield one, one, -1, head
+                if count > HEADS:
+                    heads.clear()
+                    count = 0
+            if len(seen) > KNOWN:
                 seen.clear()
 
         return work
@@ -147,7 +181,7 @@ def _product(a: list[np.ndarray], b: list[np.ndarray] | None, numerator: int, de
     if b is None:
         live &= np.triu(np.ones((m, m), bool), 1)
     left = np.bincount(rows, minlength=len(sets)).astype(np.int64)
-    overlap = np.zeros(live.shape, np.float32)
+    overlap = np.zeros(live.shape, np.int32)
     for at in range(0, len(shared), STRIP):
         lo, hi = np.searchsorted(columns, [at, at + STRIP])
         la, lb = left[:m], (left[m:] if b is not None else left)
@@ -157,7 +191,8 @@ def _product(a: list[np.ndarray], b: list[np.ndarray] | None, numerator: int, de
             return []
         strip = np.zeros((len(sets), min(STRIP, len(shared) - at)), np.float32)
         strip[rows[lo:hi], columns[lo:hi] - at] = 1
-        overlap[np.ix_(ia, ib)] += strip[:m][ia] @ (strip[m:] if b is not None else strip)[ib].T
+        # at most STRIP ones meet in a strip, which float32 holds exactly
+        overlap[np.ix_(ia, ib)] += (strip[:m][ia] @ (strip[m:] if b is not None else strip)[ib].T).astype(np.int32)
         left -= np.bincount(rows[lo:hi], minlength=len(sets))
     linked = live & (overlap >= need)
     return list(zip(*(x.tolist() for x in np.nonzero(linked))))
@@ -167,7 +202,7 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
     """For one task: a spanning forest (a, b) of its links, and (a, null, degree) of every linked class."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ids, side, copies = (frame[c].to_numpy() for c in ("rep", "side", "copies"))
+        ids, side, copies = (frame[c].to_numpy() for c in ("class", "side", "copies"))
         sets = [distinct(s).copy() for s in shingle_lists(frame["text"].tolist(), size)]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         across = key[-1] == "across"
@@ -199,43 +234,50 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
     return run
 
 
-def join(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links of every document; linked when denominator * overlap >= numerator *
-    union."""
+def linked(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, key (the text's hash), n_shingles, component_id, n_links of every row; linked when denominator * overlap >=
+    numerator * union."""
     spark = docs.sparkSession
     ratio = numerator / denominator
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    scanned = stored(over_batches(texts, "doc_id long, n long, one long, two long, part int, counts binary", _scan(size)))
-    rows = scanned.filter("n IS NOT NULL").select("doc_id", "n", "one", "two")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    held = F.octet_length("text").alias("bytes")
+    bits = sketch_bits(texts.select(held).agg(F.sum("bytes")).first()[0] or 0)
+    scanned = stored(over_batches(texts.select("doc_id", "text", "key", held), "doc_id long, key long, bytes long, n long, one long, two long, part int, counts binary", _scan(size, bits)))
+    rows = scanned.filter("n IS NOT NULL").select("doc_id", "key", "bytes", "n", "one", "two")
     spread = max(1, scanned.rdd.getNumPartitions() // 32)
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in _summed(scanned.filter("part IS NOT NULL").select("part", "counts"), spread).toLocalIterator():  # a table of fixed size
+    levels = np.zeros(1 << bits, np.uint8)
+    for r in _summed(scanned.filter("part IS NOT NULL").select("part", "counts"), spread).toLocalIterator():  # a table of at most 2**MOST_BITS bytes
         levels[r["part"] << SKETCH_PART : (r["part"] + 1) << SKETCH_PART] = np.frombuffer(r["level"], np.uint8)
     shared_levels = spark.sparkContext.broadcast(levels)
-    classes = stored(rows.filter("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # a class's text is that of the row with the smallest id
+    first, weight = F.min(F.struct("doc_id", "key", "bytes")).alias("first"), F.greatest("n", F.ceil(F.col("first.bytes") / BYTES_A_SHINGLE))
+    classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(first, F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "one", "two", "n", F.col("first.doc_id").alias("rep"), F.col("first.key").alias("key"), weight.alias("weight"), "copies"))
 
     def emit() -> Callable:
         return _prefixes(size, numerator, denominator, shared_levels.value)()
 
-    members = over_batches(texts.select("text"), "shingle long, one long, n long", emit).withColumn("band", _band(F.col("n"), ratio))
-    # one exchange: the smallest member of a row's own band, and that of the band above, from windows over its shingle
+    members = over_batches(texts.filter("doc_id IS NOT NULL").select("text"), "shingle long, one long, band int, head long", emit)
+    # one exchange: the smallest head of a row's own band, and that of the band above, from windows over its shingle; edges
+    # that tasks have found pass by as band -1
     bands = W.partitionBy("shingle").orderBy("band")
-    head, above = F.min("one").over(bands.rangeBetween(0, 0)), F.min("one").over(bands.rangeBetween(1, 1))
-    headed = members.select("one", head.alias("head"), above.alias("above")).filter("one != head OR above IS NOT NULL")
+    lowest, above = F.min("one").over(bands.rangeBetween(0, 0)), F.min("one").over(bands.rangeBetween(1, 1))
+    headed = members.select("one", "head", lowest.alias("lowest"), above.alias("above")).filter("head IS NOT NULL OR one != lowest OR above IS NOT NULL")
     edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    edges = headed.select(F.explode(F.array(edge("one", "head"), edge("head", "above"))).alias("e")).select("e.*").filter("a != b")
+    found = F.when(F.col("head").isNotNull(), F.array(edge("one", "head"))).otherwise(F.array(edge("one", "lowest"), edge("lowest", "above")))
+    edges = headed.select(F.explode(found).alias("e")).select("e.*").filter("a != b")
     blocks = components(edges).select(F.col("node").alias("one"), F.col("component").alias("block"))
 
     # classes of a block, dealt to tasks: whole blocks where they are small, else pairs of sub-blocks of size bands
     placed = stored(classes.join(blocks, "one").withColumn("band", _band(F.col("n"), ratio)))
-    whole = placed.groupBy("block").agg(F.sum("n").alias("weight"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    banded = placed.groupBy("block", "band").agg(F.sum("n").alias("band_weight"), F.count(F.lit(1)).alias("band_members"))
+    whole = placed.groupBy("block").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    banded = placed.groupBy("block", "band").agg(F.sum("weight").alias("band_weight"), F.count(F.lit(1)).alias("band_members"))
     cuts = F.greatest(F.ceil(F.col("band_weight") / BLOCK_SHINGLES), F.ceil(F.col("band_members") / BLOCK_CLASSES))
     banded = banded.select("block", "band", cuts.cast("int").alias("cuts"))
     near = banded.select("block", (F.col("band") - 1).alias("band"), F.col("cuts").alias("cuts_above"))
     near_below = banded.select("block", (F.col("band") + 1).alias("band"), F.col("cuts").alias("cuts_below"))
     banded = banded.join(near, ["block", "band"], "left").join(near_below, ["block", "band"], "left").join(whole, "block")
-    dealt = placed.join(banded, ["block", "band"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    dealt = placed.drop("weight").join(banded, ["block", "band"]).withColumn("cut", F.pmod(F.xxhash64("class"), F.col("cuts")).cast("int"))
     task = lambda low, i, high, j, side, kind: F.struct(F.col("block"), low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"), F.lit(side).alias("side"), F.lit(kind).alias("kind"))
     zero, b, cut, up = F.lit(0), F.col("band"), F.col("cut"), F.col("band") + 1
     upto = lambda n: F.when(n > 0, F.sequence(zero, n - 1)).otherwise(F.array().cast("array<int>"))
@@ -248,26 +290,36 @@ def join(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomina
     )
     small = (F.col("weight") <= BLOCK_SHINGLES) & (F.col("members") <= BLOCK_CLASSES)
     tasks = F.when(small, F.array(task(zero, zero, zero, zero, 0, "within"))).otherwise(pairs)
-    dealt = dealt.select("rep", "copies", F.explode(tasks).alias("t")).select("rep", "copies", "t.*")
-    wanted = dealt.select("rep").distinct().join(texts.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"])
-    grouped = dealt.join(wanted, "rep").groupBy("block", "low", "i", "high", "j", "kind")
+    wanted = dealt.select("class", F.col("rep").alias("doc_id"), "key")
+    wanted = wanted.join(texts, ["doc_id", "key"]).dropDuplicates(["class"]).select("class", "text")
+    dealt = dealt.select("class", "copies", F.explode(tasks).alias("t")).select("class", "copies", "t.*")
+    grouped = dealt.join(wanted, "class").groupBy("block", "low", "i", "high", "j", "kind")
     links = stored(grouped.applyInPandas(_links(size, numerator, denominator), "a long, b long, degree long"))
 
-    merged = components(links.filter("a != b").select("a", "b")).select(F.col("node").alias("rep"), "component")
-    degrees = links.groupBy(F.col("a").alias("rep")).agg(F.sum("degree").alias("degree"))
-    told = classes.join(merged, "rep", "left").join(degrees, "rep", "left")
-    told = told.select("one", "two", "n", F.coalesce("component", "rep").alias("class"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    merged = components(links.filter("a != b").select("a", "b")).select(F.col("node").alias("class"), "component")
+    smallest = merged.join(classes.select("class", "rep"), "class").groupBy("component").agg(F.min("rep").alias("least"))
+    degrees = links.groupBy(F.col("a").alias("class")).agg(F.sum("degree").alias("degree"))
+    told = classes.join(merged, "class", "left").join(smallest, "component", "left").join(degrees, "class", "left")
+    told = told.select("one", "two", "n", F.coalesce("least", "rep").alias("least"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("links"))
     full = rows.join(told, ["one", "two", "n"], "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    named = lambda c, none: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, none)).otherwise(none)
+    return full.select("doc_id", "key", F.col("n").alias("n_shingles"), named("least", F.col("doc_id")).alias("component_id"), named("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row."""
+    return linked(docs, **options).drop("key")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that link, directly or through others, with one of a smaller id."""
-    gone = join(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows without those that link, directly or through others, with one of a smaller id; equal rows stay together."""
+    gone = linked(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component.  Null and empty texts link with nothing, a row without an id has no component, an empty
+    table gives no rows."""
     return join(table(spark, sf_dir, "documents"))
 
 

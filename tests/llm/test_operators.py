@@ -343,7 +343,7 @@ def test_jaccard_join_is_exact(spark, monkeypatch, size, numerator, block):
         monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", block)
         monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 7)
     docs = frame(spark, [(i, t, "en", "a") for i, t in rows]).repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs, size, numerator, 100).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs, size=size, numerator=numerator, denominator=100).collect()}
     assert got == plain_join(rows, size, numerator, 100)
 
 
@@ -354,6 +354,36 @@ def test_jaccard_join_of_odd_rows(odd, nothing):
     assert jaccard_join.join(nothing).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (7, a), (7, "c " + b), (9, " ".join("xyzuvw")), (None, a), (None, a)]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in rows])
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.join(docs.repartition(3)).collect())
+    assert got == [(0, 37, None, 0), (0, 37, None, 0), (1, 37, 1, 2), (1, 37, 1, 2), (2, 38, 1, 2), (3, 38, 1, 2), (7, 37, 1, 2), (7, 38, 1, 2), (9, 3, 9, 0)]
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in jaccard_join.representatives(docs).collect())
+    assert left == sorted([(0, a), (0, a), (1, a), (1, b), (9, rows[6][1])])
+    # one of two rows with an id goes, the other stays
+    docs = frame(spark, [(1, a, "en", "a"), (7, a, "en", "a"), (7, b, "en", "a")])
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard_join.representatives(docs).collect()) == [(1, a), (7, b)]
+
+
+def test_many_near_copies_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEADS", 500)  # tasks forget their heads many times
+    words = [f"w{k}" for k in range(60)]
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(" ".join(words)), F.concat(F.lit("v"), F.col("id") % 700)).alias("text"))
+    got = jaccard_join.join(docs.repartition(12))
+    assert [tuple(r) for r in got.groupBy("component_id", "n_links").count().collect()] == [(0, 49_999, 50_000)]
+
+
+def test_overlaps_are_counted_as_integers(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STRIP", 8)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 200, 120).astype(np.uint64)) for _ in range(12)]
+    want = [(i, j) for i in range(12) for j in range(i + 1, 12) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 30 * len(np.union1d(sets[i], sets[j]))]
+    assert sorted(jaccard_join._product(sets, None, 30, 100)) == want
+    assert jaccard_join.sketch_bits(0) == jaccard_join.LEAST_BITS and jaccard_join.sketch_bits(10**14) == jaccard_join.MOST_BITS and 22 <= jaccard_join.sketch_bits(10**8) <= 24
+
+
 def test_word_hashes_do_not_depend_on_segments(monkeypatch):
     t = " ".join(texts(40, 3))
     whole = shingles.shingle_set(t, 3)
