@@ -715,6 +715,57 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert cover_tree.top_k(usable.limit(0), usable.limit(0)).count() == 0
 
 
+def plain_top_k(queries, candidates, k=5):
+    """By Python integers, from (vec_id, list) rows of usable()."""
+    out = collections.defaultdict(list)
+    for q, x in queries:
+        out[q] += [(sum(map(int.__mul__, x, y)), c) for c, y in candidates if c != q and len(x) == len(y)]
+    return {q: [(c, s) for s, c in sorted(v, key=lambda x: (-x[0], x[1]))[:k]] for q, v in out.items() if v}
+
+
+def searched(spark, rows):
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("dims", F.size("v"))
+    got = collections.defaultdict(list)
+    for r in cover_tree.top_k(vectors.filter("vec_id % 50 = 0"), vectors).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return got, plain_top_k([r for r in rows if r[0] % 50 == 0], rows)
+
+
+@pytest.mark.parametrize("low,high", [(10**8, 2 * 10**8), (-(10**6), 10**6), (-8 * 10**8, 8 * 10**8)])
+def test_top_k_is_exact_above_double_precision(spark, monkeypatch, low, high):
+    monkeypatch.setattr(cover_tree, "BLOCK", 100)
+    rng = random.Random(low)
+    got, want = searched(spark, [(k, [rng.randint(low, high) for _ in range(16)]) for k in range(400)])
+    assert got == want
+
+
+def test_a_score_that_is_no_long_is_an_error(spark):
+    big = cover_tree.Block(np.full((1, 4), 1 << 61), np.array([1]), False)
+    with pytest.raises(OverflowError):
+        cover_tree.Search(big, cover_tree.Block(np.full((1, 4), 1 << 61), np.array([2]), True), 1)
+
+
+def test_top_k_of_repeated_ids(spark):
+    rng = random.Random(9)
+    rows = [(k % 60, [rng.randint(-5, 5) for _ in range(3)]) for k in range(180)] + [(0, [1, 2, 3])] * 2 + [(100, [1, 2])]
+    got, want = searched(spark, rows)
+    assert got == want and 100 not in got
+
+
+def test_blocks_that_cannot_reach_are_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 60)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 4)
+    rng, rows = np.random.default_rng(6), []
+    centres = rng.normal(size=(20, 8)) * 400
+    for k in range(2000):
+        rows.append((k, [int(x) for x in centres[k * 7 % 20] + rng.normal(size=8) * 4]))
+    got, want = searched(spark, rows)
+    assert got == want
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>").withColumn("dims", F.size("v"))
+    pairs, rest, _ = cover_tree.plan(vectors.filter("vec_id % 50 = 0"), vectors)
+    assert rest.count() < pairs.count() / 2
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------------------
 
 
