@@ -24,6 +24,7 @@ an empty result; other columns are not read.  Sets are compared by 64-bit shingl
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -60,6 +61,17 @@ def _identity(s: np.ndarray, k: int) -> int:
     return int(np.bitwise_xor.reduce(mix(s + np.uint64(k)))) - (1 << 63) if len(s) else 0
 
 
+def _coded(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending slots and their counts (255 at most: they order shingles only), compressed."""
+    return zlib.compress(np.diff(slots, prepend=0).astype(np.uint32).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = zlib.decompress(data)
+    n = len(data) // 5
+    return np.cumsum(np.frombuffer(data, np.uint32, n)), np.frombuffer(data, np.uint8, n, 4 * n)
+
+
 def _scan(size: int, bits: int) -> Callable[[], Callable]:
     """Sets' identities of a batch, and at its end the counts of their low shingles, as parts of the table."""
 
@@ -74,7 +86,7 @@ def _scan(size: int, bits: int) -> Callable[[], Callable]:
             parts, inside = slots >> SKETCH_PART, slots & ((1 << SKETCH_PART) - 1)
             for part in np.unique(parts):
                 found, n = np.unique(inside[parts == part], return_counts=True)
-                yield None, None, None, None, None, None, int(part), found.astype(np.uint32).tobytes() + np.minimum(n, 65535).astype(np.uint16).tobytes()
+                yield None, None, None, None, None, None, int(part), _coded(found, n)
 
         return work
 
@@ -87,12 +99,12 @@ def _summed(parts: DataFrame, spread: int) -> DataFrame:
     def add(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(1 << SKETCH_PART, np.int64)
         for data in frame["counts"]:
-            n = len(data) // 6
-            total[np.frombuffer(data, np.uint32, n)] += np.frombuffer(data, np.uint16, n, 4 * n)
-        return pd.DataFrame({"part": [key[0]], "total": [total.tobytes()]})
+            slots, counts = _decoded(data)
+            total[slots] += counts
+        return pd.DataFrame({"part": [key[0]], "total": [zlib.compress(total.tobytes(), 1)]})
 
     def again(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(data, np.int64) for data in frame["total"])
+        total = sum(np.frombuffer(zlib.decompress(data), np.int64) for data in frame["total"])
         level = np.minimum(2 * np.log2(total + 1), 255).astype(np.uint8)
         return pd.DataFrame({"part": [key[0]], "level": [level.tobytes()]})
 
