@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import over_batches, table
+from .common import over_batches, scored, table
 
 #: Bytes that each of a task's two caches may hold (an entry counts its key, its value and ENTRY bytes of objects), the
 #: longest word or chunk kept, and the characters of a text taken at a time.
@@ -328,7 +328,19 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     return over_batches(docs.select(F.col("doc_id").cast("long"), "text"), schema, lambda: _encoder(path, keep_ids))
 
 
+def token_count(path: str, text: str = "text") -> Column:
+    """The number of tokens of a text column; 0 for null."""
+
+    def start() -> Callable[[list], Iterable[float]]:
+        encoder = Encoder(load(path))
+        return lambda texts: (float(sum(len(p) // 4 for p in encoder.runs(t))) for t in texts)
+
+    return scored(text, start).cast("long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and digests.  Null and empty texts have no tokens, rows of null or equal ids stay apart, an
+    empty table gives no rows."""
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

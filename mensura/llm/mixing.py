@@ -29,6 +29,8 @@ from .common import range_of, stored, table
 #: Slots in a period, rows in a block, and the power of a source's row count that gives its target weight.
 QUOTA, BLOCK_ROWS, POWER = 1000, 16, 0.5
 SLOTS_PER_SOURCE = 16
+#: Rows of sources x ranges that are broadcast at most; beyond, they are joined by an exchange.
+MOST_SHIFTS = 200_000
 
 
 def _key(source: str) -> Column:
@@ -129,7 +131,7 @@ def numbered(docs: DataFrame, ranges: int | None = None, few: bool = True) -> Da
     before = F.coalesce(F.sum("held").over(W.partitionBy("key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(W.partitionBy("key", "range").orderBy(F.col("doc_id").asc_nulls_first())) - 1
     shifts = counts.select("key", "range", before.alias("before"))  # sources x ranges
-    shifts = F.broadcast(shifts) if few else shifts
+    shifts = F.broadcast(shifts) if few and ranges <= MOST_SHIFTS // QUOTA else shifts  # few: at most QUOTA sources
     return placed.withColumn("within", within).join(shifts, ["key", "range"]).withColumn("nth", F.col("before") + F.col("within")).drop("range", "before", "within")
 
 
@@ -155,15 +157,24 @@ def mix(docs: DataFrame, quota: int = QUOTA, block_rows: int = BLOCK_ROWS, power
     return rows.select("doc_id", "source", "share", (F.col("block") + 1).alias("block"), slot, (at + F.col("release")).alias("release"), (at + F.col("deadline")).alias("deadline"), position.alias("position"))
 
 
+def places(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, position: the first place of every id in the mixture."""
+    return mix(docs, **options).groupBy("doc_id").agg(F.min("position").alias("position"))
+
+
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves in the mixture's order: range-partitioned and sorted by position."""
-    columns = docs.columns
-    places = mix(docs, **options).groupBy(F.col("doc_id").alias("__id")).agg(F.min("position").alias("__position"))
-    placed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return placed.repartitionByRange("__position").sortWithinPartitions("__position").select(*columns)
+    """The documents themselves, with all their columns, in the mixture's order: range-partitioned and sorted by position.
+    Rows of one id stand at the first of their places."""
+    columns = [docs[c] for c in docs.columns]
+    taken = {c.lower() for c in docs.columns}
+    own, place = (next(n for n in (name + "_" * k for k in range(len(taken) + 1)) if n not in taken) for name in ("mixed_id", "mixed_position"))
+    placed = docs.join(places(docs, **options).toDF(own, place), docs["doc_id"].eqNullSafe(F.col(own)), "left")
+    return placed.repartitionByRange(place).sortWithinPartitions(place).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's place.  A null source is a source, null ids come first in theirs, repeated rows have places of their
+    own, an empty table gives no rows."""
     return mix(table(spark, sf_dir, "documents"))
 
 

@@ -2,7 +2,7 @@
 
 Every k-mer of a text (KMER code points) is numbered by its occurrence, so that repeats count.  The numbered k-mers
 are hashed once; one half of the hash deals them to BINS bins, and each bin keeps its TUPLE smallest (one-permutation
-hashing).  The kept k-mers are put back into text order and hashed as a tuple; one byte of that hash per bin is the
+hashing).  The kept k-mers are put back into text order and hashed as a tuple; two bytes of that hash per bin are the
 signature.  Texts with few k-mers have empty bins, which take over the nearest filled bin to their right.  Two
 signatures agree in a bin when the same k-mers were kept in the same order; the share of agreeing bins, less what
 agrees by chance, to the power 1/TUPLE, estimates the shared part of the texts in a way that moved text lowers.
@@ -30,9 +30,9 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def signature(text: str | None) -> np.ndarray:
-    """BINS bytes."""
+    """BINS numbers of 16 bits."""
     if not text:
-        return np.zeros(BINS, np.uint8)
+        return np.zeros(BINS, np.uint16)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     k = min(KMER, len(points))
     count = len(points) - k + 1
@@ -67,14 +67,14 @@ def signature(text: str | None) -> np.ndarray:
     for j in range(where.shape[1]):
         # a bin with fewer k-mers than TUPLE has -1 in front
         tuples = mix(tuples * _STEP + np.where(where[:, j] < 0, np.uint64(0), kmers[where[:, j]]))
-    out = np.zeros(BINS, np.uint8)
-    values = (tuples >> np.uint64(40)).astype(np.uint8)
+    out = np.zeros(BINS, np.uint16)
+    values = (tuples >> np.uint64(40)).astype(np.uint16)
     if filled:
         out[bins] = values
     else:
         nearest = np.searchsorted(bins, np.arange(BINS)) % len(bins)
         away = (bins[nearest] - np.arange(BINS)) % BINS
-        out[:] = (mix(tuples[nearest] + away.astype(np.uint64) * _STEP) >> np.uint64(40)).astype(np.uint8)
+        out[:] = (mix(tuples[nearest] + away.astype(np.uint64) * _STEP) >> np.uint64(40)).astype(np.uint16)
         out[bins] = values
     return out
 
@@ -108,12 +108,16 @@ def _partly(numbered: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.nda
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1; 1 for equal signatures."""
     share = float(np.count_nonzero(a == b)) / BINS
-    chance = 1 / 256
+    chance = 2.0**-16
     return max(0.0, (share - chance) / (1 - chance)) ** (1 / TUPLE)
 
 
+def _shown(text: str | None, sign: np.ndarray) -> str:
+    return ("" if text else "-") + sign.astype("<u2").tobytes().hex()
+
+
 def fingerprint(text: str | None) -> str:
-    return ("" if text else "-") + signature(text).tobytes().hex()
+    return _shown(text, signature(text))
 
 
 def _alike(a: str | None, sa: np.ndarray, b: str | None, sb: np.ndarray) -> float:
@@ -160,8 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     changed = edited(held[1], text)
                     other = signature(changed)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    mark = lambda t, s: ("" if t else "-") + s.tobytes().hex()
-                    yield held[0], len(held[1]), sha, mark(held[1], held[3]), mark(changed, other), _alike(held[1], held[3], changed, other), _alike(held[1], held[3], text, sign)
+                    yield held[0], len(held[1]), sha, _shown(held[1], held[3]), _shown(changed, other), _alike(held[1], held[3], changed, other), _alike(held[1], held[3], text, sign)
                 held = None if peek else (doc_id, text, place, signature(text) if sign is None else sign)
 
         return work
@@ -171,4 +174,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprints.  Null and empty texts have one of their own, null ids come last, rows of equal ids
+    follow one another, an empty table gives no rows."""
     return fingerprints(table(spark, sf_dir, "documents"))

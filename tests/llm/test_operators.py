@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import struct
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 
 from mensura.llm import bpe, common, cover_tree, crf, graph, html_text, jaccard_join, language_id, mixing, order_minhash, quality, shingles, token_counts, toxicity
 
+sys.path.insert(0, os.path.dirname(__file__))
+from pages_by_hand import PAGES  # noqa: E402
+
 WORDS = "der die und the and house river stone cloud maison pierre nuage agua piedra nube casa".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,6 +45,16 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
 # --- token counts --------------------------------------------------------------------------------------------------
 
 
@@ -65,6 +80,24 @@ def test_an_incomplete_batch_is_written_again(spark, tmp_path):
     assert rollup.totals().first()["tokens"] == 10
 
 
+def test_totals_leave_out_unfinished_batches(spark, tmp_path):
+    counts = spark.createDataFrame([("a", "en", "v1", 10, 50)], "source string, lang string, tokenizer string, tokens long, chars long")
+    rollup = token_counts.Rollup(spark, str(tmp_path / "r"))
+    assert rollup.totals().count() == 0
+    rollup.commit("1", token_counts.changes(after=counts))
+    rollup.commit("2", token_counts.changes(after=counts))
+    (tmp_path / "r" / "batch=2" / "_SUCCESS").unlink()
+    assert rollup.totals().first()["tokens"] == 10 and len(rollup.committed()) == 1
+
+
+def test_token_counts_by_the_bpe_vocabulary(spark, odd, library):
+    got = {(r["source"], r["lang"]): r["t"] for r in token_counts.counted(odd, "bpe-49k", bpe.token_count(PATH)).groupBy("source", "lang").agg(F.sum("tokens").alias("t")).collect()}
+    want = collections.Counter()
+    for r in odd.collect():
+        want[r["source"], r["lang"]] += len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+    assert got == dict(want)
+
+
 def test_token_counts_of_odd_rows(odd, nothing):
     got = {(r["source"], r["lang"]): r for r in token_counts.counted(odd, "space-1").groupBy("source", "lang").agg(F.sum("tokens").alias("t")).collect()}
     assert got["a", "en"]["t"] == 4 and got[None, None]["t"] == 0
@@ -420,6 +453,18 @@ def test_extraction_of_a_page_with_everything():
     assert html_text.extract(html_text.default_model(), [html]) == ["Fish & chips\nSome long first paragraph with enough words to be read, and more.\nUnclosed bold text that goes on for a while."]
 
 
+@pytest.mark.parametrize("number", range(len(PAGES)))
+def test_extraction_of_pages_by_hand(number):
+    html, text = PAGES[number]
+    assert html_text.extract(html_text.default_model(), [html]) == [text]
+
+
+def test_references_end_with_their_run_of_text():
+    texts_ = lambda html: [b.text for b in html_text.blocks(html)]
+    assert texts_("<p>a &<b>lt;</b>c") == ["a &lt;c"]
+    assert texts_("<p>&lt;b&gt; &amp;amp; &#x41;&#66; x&nbsp;y &am<!-- -->p; z") == ["<b> &amp; AB x y &amp; z"]
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<"), (3, "u", "<"), (4, "u", "<p"), (5, "u", "<!-- open"), (6, "u", "<div>" * 3000 + "x"), (None, None, "<script>never closed")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -431,16 +476,6 @@ def test_extraction_of_odd_pages(spark):
 # --- BPE -------------------------------------------------------------------------------------------------------------
 
 
-PATH = public_tokenizers.path("word_bpe_49k.json")
-
-
-@pytest.fixture(scope="module")
-def library():
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(PATH)
-
-
 def packed(ids):
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -644,8 +679,10 @@ def test_mixing_with_given_weights_and_odd_rows(odd, nothing):
     got = mixing.mix(odd, quota=10, block_rows=1, weights={"a": 3, "b": 1}).collect()
     assert len(got) == odd.count() and sum({r["source"]: r["share"] for r in got}.values()) == 10
     assert mixing.mix(nothing).count() == 0
-    ordered = mixing.mixed_order(odd)
-    assert ordered.columns == odd.columns and ordered.count() == odd.count()
+    clash = odd.withColumns({"mixed_id": F.lit("x"), "Mixed_Position": F.lit("y"), "__id": F.lit("z")})
+    ordered = mixing.mixed_order(clash)
+    assert ordered.columns == clash.columns and ordered.count() == odd.count()
+    assert {(r["mixed_id"], r["Mixed_Position"], r["__id"]) for r in ordered.collect()} == {("x", "y", "z")}
 
 
 def test_more_sources_than_slots(spark):
@@ -680,6 +717,59 @@ def test_fingerprints_follow_ids(spark, odd, nothing):
     assert single["near_next"] == 1.0 and single["n_chars"] == 3
 
 
+def plain_signature(text):
+    """Order MinHash by Python integers: numbered k-mers, the TUPLE smallest of every bin, in text order, hashed."""
+    full = (1 << 64) - 1
+    step = 0x9E3779B97F4A7C15
+
+    def mixed(h):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = ((h ^ (h >> 33)) * factor) & full
+        return h ^ (h >> 33)
+
+    k = min(order_minhash.KMER, len(text))
+    kmers = []
+    for at in range(len(text) - k + 1):
+        h = 0
+        for c in text[at : at + k]:
+            h = (h * step + ord(c) + 1) & full
+        kmers.append(mixed(h))
+    seen, bins = collections.Counter(), collections.defaultdict(list)
+    for place, h in enumerate(kmers):
+        numbered = mixed(h) if not seen[h] else mixed((mixed(h) + seen[h] * step) & full)
+        seen[h] += 1
+        bins[numbered % order_minhash.BINS].append((numbered, place))
+    tuples = {}
+    for number, found in bins.items():
+        h = 0
+        kept = sorted(place for _, place in sorted(found)[: order_minhash.TUPLE])
+        for place in kept:
+            h = mixed((h * step + kmers[place]) & full)
+        # a bin with too few k-mers is filled up in front
+        tuples[number] = h if len(kept) == order_minhash.TUPLE else mixed((mixed(0) * step + kmers[kept[0]]) & full)
+    out = []
+    for number in range(order_minhash.BINS):
+        away = next(d for d in range(order_minhash.BINS) if (number + d) % order_minhash.BINS in tuples)
+        h = tuples[(number + away) % order_minhash.BINS]
+        out.append((mixed((h + away * step) & full) if away else h) >> 40 & 0xFFFF)
+    return out
+
+
+def test_signatures_agree_with_a_plain_version():
+    rng = random.Random(61)
+    made = [*texts(12, 62, 400), "a", "ab" * 40, "x" * 700, "日本語 " * 90, "abcdefgh", "q" * 9, "".join(rng.choices("ab", k=3000)), "\U0001f600" * 20]
+    for t in made:
+        assert order_minhash.signature(t).tolist() == plain_signature(t), t[:40]
+
+
+def test_likeness_follows_the_shared_part():
+    t = " ".join(texts(60, 63))
+    other = " ".join(texts(60, 64))
+    sign = order_minhash.signature
+    near = [order_minhash.likeness(sign(t), sign(t[: len(t) * k // 10] + other[: len(t) * (10 - k) // 10])) for k in (10, 9, 7, 5, 2, 0)]
+    assert near[0] == 1.0 and near == sorted(near, reverse=True) and near[-1] < 0.15
+
+
 def test_fingerprints_feel_edits_and_order():
     t = " ".join(texts(30, 13))
     sign = order_minhash.signature
@@ -784,4 +874,27 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "ngram_jaccard_join":
             rows = [(r["doc_id"], r["text"]) for r in now.collect()]
             assert all(c == i for i, (_, c, _) in plain_join(rows, 5, 80, 100).items())
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    ended = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(now).collect()}
+    assert {r["doc_id"]: r["position"] for r in ended} == place and len(ended) == now.count()
+    assert [r["doc_id"] for r in now.collect()] == sorted(place, key=place.get)
+    fitted = quality.fit(docs.filter("doc_id % 3 != 0"), labels)
+    kept = {r["doc_id"] for r in quality.accepted(docs.filter("doc_id % 3 != 0"), fitted).collect()}
+    assert {r["doc_id"] for r in ended} <= kept
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, 1, 0), (None, None, None), (99, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] or 0 for r in got) == [0, 1, 2, 3, 4, 5, 5, 7] and all(r["position"] is not None for r in got)
