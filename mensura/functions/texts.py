@@ -45,6 +45,21 @@ def unit_of(material: Column) -> Column:
     return F.when(F.lower(material).contains("cable") | F.lower(material).contains("conduit"), "m").otherwise("ea")
 
 
+# Shapes of schedule entries: a label with a unit and a value, a slope with a run, a block's letter and number.
+SCHEDULE_SHAPES = {"labelled": r"([^():%]+?)\s*\(([^()]+)\)\s*:\s*(\S+)", "slope": r"%\s*(\d+(?:\.\d+)?)()\s*-\s*(\d+(?:\.\d+)?)\s*cm", "numbered": r"\b([A-Z]+)-([A-Z])(\d{2})\b"}
+
+
+def schedule_entry(text: Column) -> Column:
+    """struct(shape, label, unit, value) of the first shape that a schedule text has, else null: what no shape fits is left
+    for a reviewer.  A slope's label is its per cent and its unit cm; a numbered one's unit is its letter."""
+    out = F.lit(None)
+    for shape, pattern in reversed(SCHEDULE_SHAPES.items()):
+        part = lambda k, p=pattern: F.trim(F.regexp_extract(text, p, k))
+        unit = F.lit("cm") if shape == "slope" else part(2)
+        out = F.when(text.rlike(pattern), F.struct(F.lit(shape).alias("shape"), part(1).alias("label"), unit.alias("unit"), part(3).alias("value"))).otherwise(out)
+    return out
+
+
 def is_symbol_name(text: Column) -> Column:
     return text.rlike(r"^[\p{L}\p{N}_]{2,40}$")
 

@@ -37,12 +37,13 @@ def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str
     """Lengths of clusters (cluster_id, ord, scale, members: array<string>) over paths (id, layer, points).  The first
     member's layer must be a route layer; all members' points are pooled and sorted; of clusters with the same
     members the first counts."""
-    member = clusters.filter(~((F.col("cluster_id") == -1) & (F.size("members") <= 1))).select("cluster_id", "ord", "scale", "members", F.posexplode("members").alias("pos", "id"))
-    joined = member.join(paths.select("id", "layer", "points"), "id", "left")
-    pooled = joined.groupBy("ord").agg(
-        F.first("cluster_id").alias("cluster_id"), F.first("scale").alias("scale"), F.first("members").alias("members"),
-        F.min_by("layer", "pos").alias("layer"), F.array_sort(F.flatten(F.collect_list(F.coalesce("points", F.array().cast("array<struct<x:double,y:double>>"))))).alias("points"),
-    )
-    routes = pooled.filter(F.col("layer").isin(route_layers) & (F.size("points") >= 2))
+    counted = clusters.filter(~((F.col("cluster_id") == -1) & (F.size("members") <= 1)))
+    known = paths.select("id", "layer", "points")
+    # the first member's layer decides, before any points move
+    first = counted.select("ord", F.try_element_at("members", F.lit(1)).alias("id")).join(known.select("id", "layer"), "id").filter(F.col("layer").isin(route_layers)).select("ord", "layer")
+    chosen = counted.join(first, "ord")
+    joined = chosen.select("ord", F.explode("members").alias("id")).join(known.select("id", "points"), "id").select("ord", F.explode("points").alias("p"))
+    pooled = joined.groupBy("ord").agg(F.array_sort(F.collect_list("p")).alias("points"))
+    routes = chosen.join(pooled, "ord").filter(F.size("points") >= 2).select(*[c for c in clusters.columns], "layer", "points")
     measured = routes.withColumn("length_m", length(F.col("points"), F.col("scale")))
     return keep_first(measured, F.array_join(F.array_sort("members"), ","), [F.col("ord")])

@@ -36,6 +36,45 @@ def near(points: DataFrame, eps: float, group: str = "layer") -> DataFrame:
     return pairs.select(F.col("g").alias(group), "a", "b")
 
 
+def links(points: DataFrame, eps: float, group: str = "layer") -> DataFrame:
+    """Edges a, b (both ways) that connect what pairs within eps of each other connect, in number linear in the points:
+    those of a cell with diagonal eps are all linked to its first one, and of the pairs across two cells one is kept."""
+    side = eps / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = points.select(F.col(group).alias("g"), "ord", "cx", "cy", cell("cx").alias("x"), cell("cy").alias("y"))
+    first = placed.groupBy("g", "x", "y").agg(F.min("ord").alias("b"))
+    inside = placed.join(first, ["g", "x", "y"]).filter("ord != b").select(F.col("ord").alias("a"), "b")
+    # half of the cells around: each pair of cells is met once
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)])
+    other = placed.select("g", F.col("ord").alias("o"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.explode(around).alias("d"), "x", "y")
+    other = other.select("g", "o", "ox", "oy", "d", (F.col("x") - F.col("d.dx")).alias("x"), (F.col("y") - F.col("d.dy")).alias("y"))
+    gap = (F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))
+    across = placed.join(other, ["g", "x", "y"]).filter(gap <= eps * eps).groupBy("g", "x", "y", "d").agg(F.min("ord").alias("a"), F.min("o").alias("b")).select("a", "b")
+    one_way = inside.unionByName(across)
+    return one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def near_boxes(boxes: DataFrame, reach: float, group: str = "layer") -> DataFrame:
+    """group, a, b for all ordered pairs of boxes (group, ord, x0..y1) of a group whose gap is at most reach.  A box stands in
+    every cell that it covers when it is widened by half the reach; a pair counts in the smallest cell that both have."""
+    side, wide = max(reach, 1e-9) * 4, reach / 2
+    low, high = lambda c: F.floor((F.col(c) - wide) / side).cast("long"), lambda c: F.floor((F.col(c) + wide) / side).cast("long")
+    spread = boxes.select(F.col(group).alias("g"), "ord", "x0", "y0", "x1", "y1", low("x0").alias("lx"), low("y0").alias("ly"), F.explode(F.sequence(low("x0"), high("x1"))).alias("x"))
+    spread = spread.withColumn("y", F.explode(F.sequence(low("y0"), high("y1"))))
+    other = spread.select("g", "x", "y", *[F.col(c).alias(f"o_{c}") for c in ("ord", "x0", "y0", "x1", "y1", "lx", "ly")])
+    met = spread.join(other, ["g", "x", "y"]).filter("ord != o_ord").filter((F.col("x") == F.greatest("lx", "o_lx")) & (F.col("y") == F.greatest("ly", "o_ly")))
+    apart = lambda a, b: F.greatest(F.col(f"o_{a}") - F.col(b), F.col(a) - F.col(f"o_{b}"), F.lit(0.0))
+    dx, dy = apart("x0", "x1"), apart("y0", "y1")
+    return met.filter(dx * dx + dy * dy <= reach * reach).select(F.col("g").alias(group), F.col("ord").alias("a"), F.col("o_ord").alias("b"))
+
+
+def box_clusters(boxes: DataFrame, reach: float, group: str = "layer") -> DataFrame:
+    """The boxes with `label`: the smallest ord of those that chains of gaps of at most reach connect; its own for one
+    that stands alone."""
+    found = components(near_boxes(boxes, reach, group).select("a", "b"))
+    return boxes.join(found, boxes["ord"] == found["node"], "left").select(boxes["*"], F.coalesce("component", "ord").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for edges (a, b) given both ways: labels fall to the smallest of the
     neighbours' and jump to their own label's label until nothing changes."""
@@ -55,7 +94,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def dbscan(points: DataFrame, eps: float, min_pts: int = 2, group: str = "layer") -> DataFrame:
     """The points with `label`: the smallest core point of their cluster, -1 for noise.  A border point belongs to the
-    cluster of the smallest label among its core neighbours."""
+    cluster of the smallest label among its core neighbours.  With min_pts of 2 every point with a neighbour is a core
+    point, so that linear links do; else neighbours are counted over all pairs."""
+    if min_pts <= 2:
+        labels = components(links(points, eps, group))
+        return points.join(labels, points["ord"] == labels["node"], "left").select(points["*"], F.coalesce("component", F.lit(-1)).alias("label"))
     pairs = kept(near(points, eps, group).select("a", "b"))
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     core = kept(degree.filter(F.col("n") + 1 >= min_pts).select(F.col("a").alias("core")))
@@ -70,14 +113,15 @@ def dbscan(points: DataFrame, eps: float, min_pts: int = 2, group: str = "layer"
 def cluster_records(labelled: DataFrame, noise: str = "aggregate", group: str = "layer", min_pts: int = 2) -> DataFrame:
     """One record per cluster: members in input order, their box, the first member's centre.  Noise points are a
     record each and, unless noise='singletons', also one record together; groups of fewer than min_pts points have
-    single records only."""
+    single records only.  A record holds the ids of its members, so a group should be one layer of one sheet."""
     members = F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda m: m["id"])
     first = lambda c: F.min_by(c, "ord").alias(c)
     box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
     made = lambda df, *by: df.groupBy(group, *by).agg(F.count(F.lit(1)).alias("num_paths"), members.alias("members"), first("cx"), first("cy"), *box, F.min("ord").alias("first_ord"))
-    sized = labelled.withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(group)))
-    grouped = made(sized.filter((F.col("__n") >= min_pts) & ((F.col("label") >= 0) | F.lit(noise == "aggregate"))), "label")
-    single = made(sized.filter("label < 0"), "label", "ord").drop("ord")
+    large = labelled.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_pts).select(F.col(group).alias("__large"))
+    sized = labelled.join(large, F.col(group) == F.col("__large"), "left_semi")
+    grouped = made(sized.filter((F.col("label") >= 0) | F.lit(noise == "aggregate")), "label")
+    single = made(labelled.filter("label < 0"), "label", "ord").drop("ord")
     return grouped.withColumn("single", F.lit(False)).unionByName(single.withColumn("single", F.lit(True)))
 
 
@@ -92,6 +136,11 @@ def components_counted(records: DataFrame, layers: DataFrame) -> DataFrame:
     return keep_first(named, F.array_join(F.array_sort("members"), ","), [F.col("single"), F.col("first_ord")]).withColumn("count", F.lit(1))
 
 
+def on_layer(paths: DataFrame, layers: list[str], default: str = "default") -> DataFrame:
+    """The paths on some layers; a path without a layer is on the default one."""
+    return paths.filter(F.coalesce("layer", F.lit(default)).isin(layers))
+
+
 def nearest(texts: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     """text_id, target_id, distance: the nearest target within reach of each text, ties to the smaller target."""
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mensura.functions import texts
 from mensura.operators import catalog, routes, spatial
 from mensura.sources import rules
 
@@ -16,22 +17,33 @@ def counted_lines(spark: SparkSession, items: DataFrame, prices: DataFrame) -> D
     return catalog.priced(lines, catalog.latest_price(prices.filter("material_name IS NOT NULL")))
 
 
-def run(spark: SparkSession, paths: DataFrame, spans: DataFrame, prices: DataFrame, eps: float = 5.0) -> DataFrame:
-    """The whole dataflow over paths (ord, id, layer, x0..y1, points) and text spans (ord, text): clusters, routes at
-    the detected scale, counted components, materials, prices.  Layers of runs count both ways."""
-    from mensura.functions import texts
+def sheet_scales(spans: DataFrame) -> DataFrame:
+    """sheet, scale: what the first text that names a scale says, by page and place on it; else the default."""
+    page = F.coalesce("page_number", F.lit(0)) if "page_number" in spans.columns else F.lit(0)
+    hit = texts.first_scale(F.col("text"), texts.STRICT)
+    placed = spans.select("sheet", F.struct(page.alias("page"), "ord").alias("at"), hit.alias("hit"))
+    found = F.min_by("hit.scale", F.when(F.col("hit").isNotNull(), F.col("at")))
+    return placed.groupBy("sheet").agg(F.coalesce(found, F.lit(texts.DEFAULT_SCALE)).alias("scale"))
+
 
+def run(spark: SparkSession, paths: DataFrame, spans: DataFrame, prices: DataFrame, eps: float = 5.0) -> DataFrame:
+    """The whole dataflow over paths (sheet, ord, id, layer, x0..y1, points) and text spans (sheet, page_number, ord, text):
+    each sheet's clusters by layer, its routes at its own scale, its counted components, then materials and prices.  Layers of
+    runs count both ways.  Paths of a sheet without texts are measured at the default scale; ids are unique."""
     layers = rules.layers(spark)
     mapped = paths.join(F.broadcast(layers.select("layer")), "layer", "left_semi")
     cx, cy = spatial.centroid(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    records = spatial.kept(spatial.cluster_records(spatial.dbscan(mapped.withColumn("cx", cx).withColumn("cy", cy), eps)))
-    hit = spans.select("ord", texts.first_scale(F.col("text"), texts.STRICT).alias("hit")).filter("hit IS NOT NULL")
-    scale = hit.agg(F.coalesce(F.min_by("hit.scale", F.struct("ord", "hit.rank")), F.lit(texts.DEFAULT_SCALE)).alias("scale"))
+    place = F.to_json(F.struct("sheet", "layer"))
+    clustered = spatial.dbscan(mapped.withColumn("cx", cx).withColumn("cy", cy).withColumn("place", place), eps, group="place")
+    placed = F.from_json("place", "sheet string, layer string")
+    records = spatial.kept(spatial.cluster_records(clustered, group="place").withColumn("p", placed).select("*", "p.sheet", "p.layer").drop("p", "place"))
+    clusters = records.join(sheet_scales(spans), "sheet", "left").withColumn("scale", F.coalesce("scale", F.lit(texts.DEFAULT_SCALE)))
+    clusters = clusters.drop("layer").withColumn("cluster_id", F.when(F.col("label") < 0, -1).otherwise(0)).withColumn("ord", F.col("first_ord") * 2 + F.col("single").cast("int"))
     route_layers = [n for n, a in rules.layer_rows() if a in rules.ROUTE_ASSEMBLIES]
-    clusters = records.join(F.broadcast(scale)).withColumn("cluster_id", F.when(F.col("label") < 0, -1).otherwise(0)).withColumn("ord", F.col("first_ord") * 2 + F.col("single").cast("int"))
     measured = routes.measure_routes(clusters, mapped, route_layers).join(F.broadcast(layers), "layer")
-    runs = measured.select("assembly_type", F.col("length_m").alias("amount"), "members", F.lit("route").alias("origin"))
-    counted = spatial.components_counted(records, layers).select("assembly_type", F.col("count").cast("double").alias("amount"), "members", F.lit("component").alias("origin"))
+    runs = measured.select("sheet", "ord", "assembly_type", F.col("length_m").alias("amount"), "members", F.lit("route").alias("origin"))
+    counted = spatial.components_counted(records, layers)
+    counted = counted.select("sheet", (F.col("first_ord") * 2 + F.col("single").cast("int")).alias("ord"), "assembly_type", F.col("count").cast("double").alias("amount"), "members", F.lit("component").alias("origin"))
     lines = catalog.expanded(runs.unionByName(counted), rules.bom(spark))
     out = catalog.priced(lines, catalog.latest_price(prices.filter("material_name IS NOT NULL")))
-    return out.select("origin", "assembly_type", "material_name", "quantity", "unit_price", "total_cost", "unpriced", F.lit("MEASURED").alias("confidence_status"), F.array_join("members", ",").alias("source_path_ids"))
+    return out.select("sheet", "origin", F.col("ord").alias("line_order"), "position", "assembly_type", "material_name", "quantity", "unit_price", "total_cost", "unpriced", F.lit("MEASURED").alias("confidence_status"), F.array_join("members", ",").alias("source_path_ids"))

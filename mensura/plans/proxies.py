@@ -23,12 +23,20 @@ VIEWS = {
     # counted items on layers, some unmapped, some without a layer
     "items": f"SELECT l_orderkey * 10 + l_linenumber AS item_id, {_choice(f'(l_suppkey % {len(_LAYERS)})', _LAYERS)} AS layer, l_quantity AS amount, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS pos FROM {{lineitem}}",
     "paths": f"SELECT vec_id AS ord, 'p' || CAST(vec_id AS STRING) AS id, {_choice('label', _LAYERS)} AS layer, CAST(embedding[@1] AS DOUBLE) * 1000 - 2.5 AS x0, CAST(embedding[@2] AS DOUBLE) * 1000 - 1.5 AS y0, CAST(embedding[@1] AS DOUBLE) * 1000 + 2.5 AS x1, CAST(embedding[@2] AS DOUBLE) * 1000 + 1.5 AS y1 FROM {{embeddings}}".replace("{{", "{").replace("}}", "}"),
-    "spans": "SELECT p_brand AS sheet, p_partkey AS ord, CASE p_size % 6 WHEN 0 THEN 'ELECTRICAL.SCALE 1:' || CAST(p_size AS STRING) WHEN 1 THEN 'DRAWING.SCALE 1:' || CAST(p_size AS STRING) WHEN 2 THEN 'at 12:' || CAST(p_size AS STRING) || ' h' WHEN 3 THEN p_name WHEN 4 THEN 'ratio 2.5:' || CAST(p_size AS STRING) ELSE 'NO SCALE HERE' END AS text FROM {part}",
+    "spans": "SELECT p_brand AS sheet, p_partkey AS ord, CASE WHEN p_partkey % 13 = 5 THEN 'SCALE 1=' || CAST(p_size AS STRING) || REPEAT(CHR(39), 3) || '-0' || CHR(34) || 'x' WHEN p_partkey % 13 = 6 THEN 'at 1/4' || CHR(34) || '=1' || CHR(39) || '-0' || CHR(34) || 'x' ELSE CASE p_size % 6 WHEN 0 THEN 'ELECTRICAL.SCALE 1:' || CAST(p_size AS STRING) WHEN 1 THEN 'DRAWING.SCALE 1:' || CAST(p_size AS STRING) WHEN 2 THEN 'at 12:' || CAST(p_size AS STRING) || ' h' WHEN 3 THEN p_name WHEN 4 THEN 'ratio 2.5:' || CAST(p_size AS STRING) ELSE 'NO SCALE HERE' END END AS text FROM {part}",
     "prices": f"SELECT {_choice(f'(p_partkey % {len(_MATERIALS) + 3})', _MATERIALS)} AS material_name, CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) AS unit_price, CASE WHEN p_size % 9 = 0 THEN CAST(NULL AS DATE) ELSE CAST('20' || CAST(10 + p_size % 13 AS STRING) || '-0' || CAST(1 + p_size % 9 AS STRING) || '-15' AS DATE) END AS effective_from, CASE WHEN p_partkey % 7 = 0 THEN 'EUR' ELSE 'USD' END AS currency, p_partkey AS seq FROM {{part}}".replace("{{", "{").replace("}}", "}"),
     "labor": "SELECT s_suppkey AS seq, 'rate ' || CAST(s_suppkey % 40 AS STRING) AS name, CAST(s_suppkey % 7 AS DOUBLE) AS productivity_rate, CAST(CAST(abs(s_acctbal) AS DECIMAL(10,2)) AS DOUBLE) AS hourly_rate, CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN CAST(NULL AS STRING) ELSE 'crew ' || CAST(s_nationkey AS STRING) END AS category FROM {supplier}",
     "vertices": "SELECT o.o_orderkey AS route_id, '1:' || CAST(50 * (1 + o.o_custkey % 4) AS STRING) AS scale, l.l_quantity AS x, CAST(l.l_linenumber AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS pos FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey",
     "measured": "SELECT event_id, CASE event_type WHEN 'view' THEN 'vector' WHEN 'click' THEN 'raster' WHEN 'purchase' THEN 'assembly_rule' WHEN 'signup' THEN 'formula' ELSE 'default' END AS source, CASE event_id % 4 WHEN 0 THEN '1.0.0' WHEN 1 THEN '2.1.0' WHEN 2 THEN '' ELSE CAST(NULL AS STRING) END AS rule_version, user_id, ts FROM {events}",
     "imported": "SELECT CAST(p_partkey + 1 AS BIGINT) AS row, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS material_name, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'ea' END AS unit, CASE WHEN p_partkey % 11 = 0 AND p_partkey % 2 = 0 THEN '' WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN '' ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END AS unit_price, '' AS rate_name, '' AS productivity_rate, '' AS hourly_rate FROM {part} UNION ALL SELECT CAST(1000000 + s_suppkey AS BIGINT), '', '', '', CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END, CASE WHEN s_suppkey % 7 = 0 THEN 'fast' ELSE CAST(s_suppkey AS STRING) END, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '45' END FROM {supplier}",
+    # catalog files: one of materials, one of labor rates, with numbers and dates that are none
+    "imported_materials": "SELECT CAST(p_partkey + 1 AS BIGINT) AS row, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'material ' || CAST(p_partkey % 50 AS STRING) END AS material_name, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'ea' END AS unit, CASE WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN '12d' WHEN p_partkey % 29 = 0 THEN '1.5f' WHEN p_partkey % 31 = 0 THEN '1_000' WHEN p_partkey % 37 = 0 THEN 'nan' WHEN p_partkey % 41 = 0 THEN '+2.5e1' WHEN p_partkey % 43 = 0 THEN '.5' ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END AS unit_price, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-02-30' WHEN 2 THEN 'soon' ELSE '20' || CAST(10 + p_size % 13 AS STRING) || '-07-15' END AS effective_from, CASE WHEN p_size % 3 = 0 THEN '2031-01-31' ELSE '' END AS effective_to FROM {part}",
+    "imported_labor": "SELECT CAST(1 + s_suppkey AS BIGINT) AS row, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'crew ' || CAST(s_suppkey % 20 AS STRING) END AS rate_name, CASE WHEN s_suppkey % 7 = 0 THEN 'fast' ELSE CAST(s_suppkey AS STRING) END AS productivity_rate, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 8 = 0 THEN '4 5' ELSE '45' END AS hourly_rate, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'c' || CAST(s_nationkey AS STRING) END AS category, CASE WHEN s_suppkey % 4 = 1 THEN '2024-05-0' || CAST(1 + s_suppkey % 9 AS STRING) ELSE 'never' END AS effective_from FROM {supplier}",
+    "requests": f"SELECT p_partkey AS request_id, {_choice('(p_partkey % 10)', ['access_control_door', 'cable_tray', 'conduit', 'distribution_board', 'lighting_outlet', 'power_outlet', 'socket_outlet', 'switch', 'fountain', None])} AS component_type, CASE p_size % 4 WHEN 0 THEN 'switch' WHEN 1 THEN 'no_such_rule' WHEN 2 THEN '' ELSE CAST(NULL AS STRING) END AS rule_name FROM {{part}}".replace("{{", "{").replace("}}", "}"),
+    "stored_rules": f"SELECT coalesce({_choice('n_nationkey', ['access_control_door', 'cable_tray', 'conduit', 'switch'])}, 'own ' || n_name) AS name, CASE n_nationkey % 2 WHEN 0 THEN '1.0.0' ELSE '0.9.0' END AS rule_version, CAST(n_nationkey + 1 AS DOUBLE) AS old_quantity FROM {{nation}}".replace("{{", "{").replace("}}", "}"),
+    "sheet_paths": f"SELECT vec_id AS ord, 'p' || CAST(vec_id AS STRING) AS id, CASE vec_id % 2 WHEN 0 THEN 'Brand#11' ELSE 'Brand#12' END AS sheet, {_choice('label', _LAYERS)} AS layer, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 AS x0, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 AS y0, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 + 1 AS x1, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 + 2 AS y1 FROM {{embeddings}}".replace("{{", "{").replace("}}", "}"),
+    "overlays": "SELECT 'p' || CAST(p_partkey % 400 AS STRING) AS id, p_partkey AS ord, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 2 AS DOUBLE) END AS y, CAST(10 AS DOUBLE) AS width, CAST(p_size % 3 AS DOUBLE) AS height FROM {part}",
+    "schedules": "SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'Load (kg): ' || CAST(p_size * 10 AS STRING) WHEN 1 THEN 'ramp %' || CAST(p_size % 9 AS STRING) || '.5 - ' || CAST(p_size AS STRING) || 'cm' WHEN 2 THEN 'slot PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(10 + p_size % 80 AS STRING) WHEN 3 THEN p_name ELSE CAST(NULL AS STRING) END AS text FROM {part}",
     "ocr": "SELECT p_partkey AS ord, p_brand AS page, CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || ': ' || p_type WHEN 1 THEN p_type || ' (' || replace(p_name, ' ', '_') || ')' WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN 'Scale 1:' || CAST(p_size AS STRING) WHEN 4 THEN 'Legend of ' || p_name ELSE p_name END AS text, CAST(p_size * 20 AS DOUBLE) AS y0, CAST(p_partkey % 101 AS DOUBLE) AS confidence FROM {part}",
     "uploads": "SELECT o.o_orderkey AS upload_id, count(*) * 4000 AS drawings, CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS images, count(*) * 40 AS few, max(CASE WHEN l.l_linestatus = 'O' THEN 1 ELSE 0 END) AS has_text, max(o.o_custkey % 3) AS kind FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderkey",
     "layer_groups": "SELECT p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'ON' ELSE 'OFF' END AS status, CAST(p_size AS BIGINT) AS count, p_partkey AS ordinal FROM {part}",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.functions import confidence, numbers, shapes, texts
+from mensura.functions import confidence, numbers, review, shapes, texts
 from mensura.operators import catalog, routes, spatial
 from mensura.plans import boq
 from mensura.plans.proxies import cte, view
@@ -139,23 +139,124 @@ def labor_listing(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "labor").select("seq", "name", none("productivity_rate"), none("hourly_rate")).orderBy("name")
 
 
-_CHECKED = f"""WITH {cte("imported")}, kinds AS (SELECT *, CASE WHEN rate_name <> '' OR productivity_rate <> '' THEN 'labor' WHEN material_name <> '' OR unit_price <> '' THEN 'material' END AS kind FROM imported),
-checked AS (SELECT *, CASE WHEN kind IS NULL THEN 'could not determine row type — expected material_name or rate_name column'
-  WHEN kind = 'material' AND material_name = '' THEN 'missing material_name' WHEN kind = 'material' AND unit = '' THEN 'missing unit' WHEN kind = 'material' AND unit_price = '' THEN 'missing unit_price'
-  WHEN kind = 'material' AND try_cast(unit_price AS DOUBLE) IS NULL THEN 'invalid unit_price format: ''' || unit_price || ''''
-  WHEN kind = 'labor' AND rate_name = '' THEN 'missing rate_name' WHEN kind = 'labor' AND productivity_rate = '' THEN 'missing productivity_rate' WHEN kind = 'labor' AND hourly_rate = '' THEN 'missing hourly_rate'
-  WHEN kind = 'labor' AND try_cast(productivity_rate AS DOUBLE) IS NULL THEN 'invalid productivity_rate format: ''' || productivity_rate || ''''
-  WHEN kind = 'labor' AND try_cast(hourly_rate AS DOUBLE) IS NULL THEN 'invalid hourly_rate format: ''' || hourly_rate || '''' END AS reason FROM kinds)"""
+_NUMBER = r"[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
 
 
-@registered("import_report", _CHECKED + " SELECT count(*) FILTER (WHERE reason IS NULL) AS successful, count(*) FILTER (WHERE reason IS NOT NULL) AS failed FROM checked")
+def _reason(kind: str, needed: list[str], numbers: list[str]) -> str:
+    """The WHEN branches of one kind of rows."""
+    out = [f"WHEN kind = '{kind}' AND {c} = '' THEN 'missing {c}'" for c in needed]
+    for c in numbers:
+        out.append(f"WHEN kind = '{kind}' AND regexp_full_match({c}, '(?i)[+-]?(inf|infinity|nan)') THEN ' unexpected error: {c} out of range: ' || {c}")
+        out.append(f"WHEN kind = '{kind}' AND NOT regexp_full_match({c}, '{_NUMBER}') THEN 'invalid {c} format: ''' || {c} || ''''")
+    return " ".join(out)
+
+
+_MATERIAL, _LABOR = _reason("material", ["material_name", "unit", "unit_price"], ["unit_price"]), _reason("labor", ["rate_name", "productivity_rate", "hourly_rate"], ["productivity_rate", "hourly_rate"])
+_FILES = f"""WITH {cte("imported_materials", "imported_labor")}, materials AS (SELECT *, CASE {_MATERIAL} END AS reason FROM (SELECT *, 'material' AS kind FROM imported_materials)),
+labor AS (SELECT *, CASE {_LABOR} END AS reason FROM (SELECT *, 'labor' AS kind FROM imported_labor)), checked AS (SELECT kind, row, reason FROM materials UNION ALL SELECT kind, row, reason FROM labor)"""
+_MIXED = f"""WITH {cte("imported")}, kinds AS (SELECT *, CASE WHEN rate_name <> '' OR productivity_rate <> '' THEN 'labor' WHEN material_name <> '' OR unit_price <> '' THEN 'material' END AS kind FROM imported),
+checked AS (SELECT *, CASE WHEN kind IS NULL THEN 'could not determine row type — expected material_name or rate_name column' {_MATERIAL} {_LABOR} END AS reason FROM kinds)"""
+_REPORT = " SELECT count(*) FILTER (WHERE reason IS NULL) AS successful, count(*) FILTER (WHERE reason IS NOT NULL) AS failed FROM checked"
+_DAY = "CASE WHEN regexp_full_match({0}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN try_cast({0} AS DATE) END"
+_GOOD = f"good AS (SELECT material_name, 'USD' AS currency, CAST(replace(unit_price, '_', '') AS DOUBLE) AS unit_price, {_DAY.format('effective_from')} AS effective_from, {_DAY.format('effective_to')} AS effective_to, row AS seq FROM materials WHERE reason IS NULL)"
+
+
+def _checked_files(spark: SparkSession, d: str) -> DataFrame:
+    """Both files, each checked by its own header."""
+    both = [catalog.validated(view(spark, d, name)) for name in ("imported_materials", "imported_labor")]
+    return both[0].unionByName(both[1], allowMissingColumns=True)
+
+
+@registered("import_report", _FILES + _REPORT)
 def import_report(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.import_report(catalog.validated(view(spark, d, "imported")))
+    return catalog.import_report(_checked_files(spark, d))
 
 
-@registered("import_errors", _CHECKED + " SELECT row, reason FROM checked WHERE reason IS NOT NULL")
+@registered("import_errors", _FILES + " SELECT kind, row, reason FROM checked WHERE reason IS NOT NULL")
 def import_errors(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.validated(view(spark, d, "imported")).filter("reason IS NOT NULL").select("row", "reason")
+    return _checked_files(spark, d).filter("reason IS NOT NULL").select("kind", "row", "reason")
+
+
+@registered("import_report_by_cells", _MIXED + _REPORT)
+def import_report_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.import_report(catalog.validated(view(spark, d, "imported"), by="cells"))
+
+
+@registered("import_errors_by_cells", _MIXED + " SELECT row, reason FROM checked WHERE reason IS NOT NULL")
+def import_errors_by_cells(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.validated(view(spark, d, "imported"), by="cells").filter("reason IS NOT NULL").select("row", "reason")
+
+
+_KNOWN = "known AS (SELECT 'material ' || CAST(p_partkey % 90 AS VARCHAR) AS material_name, 'USD' AS currency, min_by(CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE), p_partkey) AS unit_price FROM part GROUP BY ALL)"
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog before the import: some of its materials come again in the file."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    name = F.concat(F.lit("material "), (F.col("p_partkey") % 90).cast("string"))
+    price = F.min_by(F.col("p_retailprice").cast("decimal(10,2)").cast("double"), "p_partkey").alias("unit_price")
+    rows = part.groupBy(name.alias("material_name")).agg(price).withColumn("currency", F.lit("USD"))
+    return rows.withColumns({c: F.lit(None).cast("date") for c in ("effective_from", "effective_to")}).withColumn("seq", F.lit(0).cast("long"))
+
+
+def _imported(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.upsert_prices(_known(spark, d), catalog.accepted_prices(catalog.validated(view(spark, d, "imported_materials"))))
+
+
+@registered("import_upsert", f"{_FILES}, {_GOOD}, {_KNOWN}, last AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY material_name, currency ORDER BY seq DESC) = 1) SELECT coalesce(l.material_name, k.material_name) AS material_name, coalesce(l.currency, k.currency) AS currency, coalesce(l.unit_price, k.unit_price) AS unit_price, CAST(l.effective_from AS VARCHAR) AS effective_from, CAST(l.effective_to AS VARCHAR) AS effective_to FROM known k FULL JOIN last l ON k.material_name = l.material_name AND k.currency = l.currency")
+def import_upsert(spark: SparkSession, d: str) -> DataFrame:
+    text = {c: F.col(c).cast("string") for c in ("effective_from", "effective_to")}
+    return _imported(spark, d).withColumns(text)
+
+
+@registered("import_listing", f"{_FILES}, {_GOOD}, {_KNOWN}, last AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY material_name ORDER BY seq DESC) = 1), names AS (SELECT material_name FROM known UNION SELECT material_name FROM good) SELECT sha256('material|' || n.material_name) AS id, n.material_name AS name, 'ea' AS unit, CAST(NULL AS VARCHAR) AS category, coalesce(l.unit_price, k.unit_price) AS latest_unit_price FROM names n LEFT JOIN known k ON k.material_name = n.material_name LEFT JOIN last l ON l.material_name = n.material_name")
+def import_listing(spark: SparkSession, d: str) -> DataFrame:
+    prices = _imported(spark, d).withColumn("seq", F.lit(0))
+    materials = prices.select(F.col("material_name").alias("name"), F.lit("ea").alias("unit"), F.lit(None).cast("string").alias("category")).distinct()
+    return catalog.listing(materials, prices)
+
+
+@registered("import_labor", f"{_FILES} SELECT rate_name AS name, max_by(CAST(productivity_rate AS DOUBLE), row) AS productivity_rate, max_by(CAST(hourly_rate AS DOUBLE), row) AS hourly_rate, max_by(category, row) FILTER (WHERE category <> '') AS category, CAST(max_by({_DAY.format('effective_from')}, row) FILTER (WHERE {_DAY.format('effective_from')} IS NOT NULL) AS VARCHAR) AS effective_from, CAST(NULL AS VARCHAR) AS effective_to FROM labor WHERE reason IS NULL GROUP BY rate_name")
+def import_labor(spark: SparkSession, d: str) -> DataFrame:
+    rates = catalog.upsert_labor(catalog.accepted_labor(catalog.validated(view(spark, d, "imported_labor"))))
+    return rates.withColumns({c: F.col(c).cast("string") for c in ("effective_from", "effective_to")})
+
+
+@registered("price_sets", f"WITH {cte('prices')} SELECT material_name, currency, unit_price FROM prices WHERE material_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY material_name, currency ORDER BY effective_from DESC NULLS LAST, seq DESC) = 1")
+def price_sets(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.latest_price(view(spark, d, "prices").filter("material_name IS NOT NULL"), "currency")
+
+
+@registered("apply_assembly", f"""WITH {cte("requests")}, asked AS (SELECT *, CASE WHEN coalesce(rule_name, '') <> '' THEN rule_name ELSE component_type END AS wanted FROM requests),
+parts AS (SELECT assembly_type, string_agg(material_name || '/' || {_UNIT.format(m="material_name")}, ',' ORDER BY position) AS materials, sum(bom_quantity) AS quantity FROM {_BOM} GROUP BY assembly_type)
+SELECT request_id, component_type, rule_name, coalesce(p.materials, '') AS materials, round(coalesce(p.quantity, 0), 6) AS quantity, coalesce(r.installation_hours, 0.0) AS labor_hours, coalesce(r.waste_factor, 0.10)::DOUBLE AS waste_factor, coalesce(r.rule_version, 'unknown') AS rule_version,
+  CASE WHEN r.assembly_type IS NULL THEN 'Assembly rule ''' || coalesce(rule_name, '') || ''' not found' END AS error FROM asked a LEFT JOIN {_RULES} r ON r.assembly_type = a.wanted LEFT JOIN parts p ON p.assembly_type = a.wanted""")
+def apply_assembly(spark: SparkSession, d: str) -> DataFrame:
+    out = catalog.assembly_outcomes(view(spark, d, "requests"), rules.rules(spark), rules.bom(spark))
+    shown = F.array_join(F.transform("materials", lambda m: F.concat(m["material_name"], F.lit("/"), m["unit"])), ",")
+    quantity = F.round(F.aggregate("materials", F.lit(0.0), lambda n, m: n + m["quantity"]), 6)
+    return out.withColumn("quantity", quantity).withColumn("materials", shown)
+
+
+@registered("rule_persist_versions", f"""WITH {cte("stored_rules")}, parts AS (SELECT assembly_type, count(*) AS n, sum(bom_quantity) AS q FROM {_BOM} GROUP BY assembly_type)
+SELECT coalesce(s.name, r.assembly_type) AS name, coalesce(r.rule_version, s.rule_version) AS rule_version, CASE WHEN r.rule_version IS DISTINCT FROM s.rule_version AND r.rule_version IS NOT NULL THEN p.n ELSE 1 END AS materials,
+  round(CASE WHEN r.rule_version IS DISTINCT FROM s.rule_version AND r.rule_version IS NOT NULL THEN p.q ELSE s.old_quantity END, 6) AS quantity FROM stored_rules s FULL JOIN {_RULES} r ON r.assembly_type = s.name LEFT JOIN parts p ON p.assembly_type = r.assembly_type""")
+def rule_persist_versions(spark: SparkSession, d: str) -> DataFrame:
+    stored = view(spark, d, "stored_rules").select("name", "rule_version", F.create_map(F.lit("old_part"), F.col("old_quantity")).alias("formula_or_bom"))
+    after = catalog.persisted_rules(stored, rules.rules(spark), rules.bom(spark))
+    values = F.map_values("formula_or_bom")
+    return after.select("name", "rule_version", F.size("formula_or_bom").cast("long").alias("materials"), F.round(F.aggregate(values, F.lit(0.0), lambda n, x: n + x), 6).alias("quantity"))
+
+
+@registered("assembly_material_links", f"WITH links AS (SELECT assembly_type, material_name, bom_quantity AS quantity, {_UNIT.format(m='material_name')} AS unit FROM {_BOM} UNION ALL SELECT assembly_type, 'Labor', installation_hours, 'hr' FROM {_RULES} WHERE hourly_rate IS NOT NULL) SELECT assembly_type AS assembly, material_name AS material, unit, quantity FROM links")
+def assembly_material_links(spark: SparkSession, d: str) -> DataFrame:
+    """The M:N tables (assemblies, assembly_materials, materials) filled from the rules, and joined."""
+    key = lambda kind, c: F.sha2(F.concat(F.lit(kind), F.col(c)), 256)
+    links = catalog.rule_links(rules.rules(spark), rules.bom(spark), spark.createDataFrame([], "assembly_type string, material_name string"))
+    assemblies = links.select(key("a", "assembly_type").alias("id"), F.col("assembly_type").alias("name")).distinct()
+    materials = links.select(key("m", "material_name").alias("id"), F.col("material_name").alias("name"), "unit").distinct()
+    table = links.select(key("a", "assembly_type").alias("assembly_id"), key("m", "material_name").alias("material_id"), "quantity")
+    return catalog.assembly_materials(assemblies, table, materials)
 
 
 @registered("unit_inference", f"SELECT name, {_UNIT.format(m='name')} AS unit, count(*) AS uses FROM (SELECT p_name AS name FROM part UNION ALL SELECT material_name FROM {_BOM}) GROUP BY name")
@@ -207,23 +308,33 @@ def _first_in_order(spark: SparkSession, d: str, patterns: list[str]) -> DataFra
 
 
 _HIT = "SELECT sheet, coalesce(min_by(s, ord) FILTER (WHERE s <> ''), '1:100') AS scale, bool_or(s <> '') AS detected FROM hits GROUP BY sheet"
+# the strict patterns, the loose ones, and those that settle a sheet's scale, in DuckDB's quoting
+_FEET = "\\bSCALE\\s+1=(\\d+)''''''-0\"\\b"
+_INCHES = "\\b(1/4|1/2|1/8)\"=1''-0\"\\b"
+_STRICT_HITS = f"hits AS (SELECT sheet, ord, coalesce(nullif(regexp_extract(text, '\\bELECTRICAL\\.SCALE\\s+(1:\\d+)\\b', 1), ''), nullif(regexp_extract(text, '{_FEET}', 1), ''), regexp_extract(text, '\\b(1:\\d+)\\b', 1)) AS s FROM spans)"
+_LOOSE_HITS = f"hits AS (SELECT sheet, ord, coalesce(nullif(regexp_extract(text, '\\b(\\d+\\.\\d+:\\d+)\\b', 1), ''), nullif(regexp_extract(text, '\\b(\\d+:\\d+)\\b', 1), ''), regexp_extract(text, '{_INCHES}', 1)) AS s FROM spans)"
 
 
-@registered("scale_detect", f"WITH {cte('spans')}, hits AS (SELECT sheet, ord, coalesce(nullif(regexp_extract(text, '\\bELECTRICAL\\.SCALE\\s+(1:\\d+)\\b', 1), ''), regexp_extract(text, '\\b(1:\\d+)\\b', 1)) AS s FROM spans) {_HIT}")
+@registered("scale_detect", f"WITH {cte('spans')}, {_STRICT_HITS} {_HIT}")
 def scale_detect(spark: SparkSession, d: str) -> DataFrame:
     return _first_in_order(spark, d, texts.STRICT)
 
 
-@registered("scale_detect_loose", f"WITH {cte('spans')}, hits AS (SELECT sheet, ord, coalesce(nullif(regexp_extract(text, '\\b(\\d+\\.\\d+:\\d+)\\b', 1), ''), regexp_extract(text, '\\b(\\d+:\\d+)\\b', 1)) AS s FROM spans) {_HIT}")
+@registered("scale_detect_loose", f"WITH {cte('spans')}, {_LOOSE_HITS} {_HIT}")
 def scale_detect_loose(spark: SparkSession, d: str) -> DataFrame:
     return _first_in_order(spark, d, texts.LOOSE)
 
 
-@registered("scale_needs_review", f"WITH {cte('spans')} SELECT sheet, NOT bool_or(regexp_matches(text, '\\b1:\\d+\\b')) AS needs_review, count(*) FILTER (WHERE text = 'NO SCALE HERE') AS without FROM spans GROUP BY sheet")
+@registered("scale_needs_review", f"WITH {cte('spans')} SELECT sheet, NOT bool_or(regexp_matches(text, '{_INCHES}') OR regexp_matches(text, '\\b1:\\d+\\b')) AS needs_review, count(*) FILTER (WHERE text = 'NO SCALE HERE') AS without FROM spans GROUP BY sheet")
 def scale_needs_review(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "spans").groupBy("sheet").agg(texts.needs_review(F.col("text")).alias("needs_review"), F.count_if(F.col("text") == "NO SCALE HERE").alias("without"))
 
 
+@registered("schedule_entries", f"WITH {cte('schedules')} SELECT ord, CASE ord % 5 WHEN 0 THEN 'labelled' WHEN 1 THEN 'slope' ELSE 'numbered' END AS shape, CASE ord % 5 WHEN 0 THEN 'Load' WHEN 1 THEN regexp_extract(text, '%([0-9.]+) ', 1) ELSE 'PK' END AS label, CASE ord % 5 WHEN 0 THEN 'kg' WHEN 1 THEN 'cm' ELSE regexp_extract(text, '-([A-Z])', 1) END AS unit, regexp_extract(text, '([0-9]+)(cm)?$', 1) AS value FROM schedules WHERE ord % 5 < 3")
+def schedule_entries(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "schedules").select("ord", texts.schedule_entry(F.col("text")).alias("e")).filter("e IS NOT NULL").select("ord", "e.*")
+
+
 @registered("upload_classify", f"WITH {cte('uploads')}, counted AS (SELECT upload_id, CASE kind WHEN 0 THEN few ELSE drawings END AS drawings, images, has_text FROM uploads) SELECT upload_id, CASE WHEN drawings > 10000 AND has_text = 1 THEN 'vector' WHEN drawings < 100 AND images > 0 AND has_text = 0 THEN 'raster' ELSE 'vector' END AS status, NOT (drawings > 10000 AND has_text = 1 OR drawings < 100 AND images > 0 AND has_text = 0) AS ambiguous FROM counted")
 def upload_classify(spark: SparkSession, d: str) -> DataFrame:
     u = view(spark, d, "uploads").withColumn("n", F.when(F.col("kind") == 0, F.col("few")).otherwise(F.col("drawings")))
@@ -242,6 +353,19 @@ def electrical_layers(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("l_orderkey").agg(F.array_join(ordered, ",").alias("layers"))
 
 
+_ALL_LAYERS = ", ".join(f"({k}, '{n}')" for k, n in enumerate([*[n for names in rules.LAYERS.values() for n in names], *rules.OLDER_LAYERS]))
+
+
+@registered("mapped_layer_list", f"SELECT CAST(row_number() OVER (ORDER BY min(k)) - 1 AS INTEGER) AS position, layer FROM (VALUES {_ALL_LAYERS}) AS t(k, layer) GROUP BY layer")
+def mapped_layer_list(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(rules.clustered_layers())), "position int, layer string")
+
+
+@registered("layer_filter", f"WITH {cte('paths')} SELECT id, coalesce(layer, 'default') AS layer FROM paths WHERE coalesce(layer, 'default') IN ('default', 'POWER')")
+def layer_filter(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.on_layer(view(spark, d, "paths"), ["default", "POWER"]).select("id", F.coalesce("layer", F.lit("default")).alias("layer"))
+
+
 @registered("layer_registry", f"WITH {cte('layer_groups')}, last AS (SELECT name, max_by(status, ordinal) AS status, max_by(count, ordinal) AS count FROM layer_groups GROUP BY name) SELECT * FROM last UNION ALL SELECT 'default', 'ON', 0 WHERE NOT EXISTS (SELECT 1 FROM last WHERE name = 'default')")
 def layer_registry(spark: SparkSession, d: str) -> DataFrame:
     return records.layer_registry(view(spark, d, "layer_groups"))
@@ -336,6 +460,14 @@ def shape_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spatial.dbscan(shapes, 30.0).select("ord", "label")
 
 
+@registered("box_clusters", f"""WITH RECURSIVE {cte("sheet_paths")}, near AS (SELECT p.ord AS a, q.ord AS b FROM sheet_paths p JOIN sheet_paths q ON p.sheet = q.sheet AND p.ord <> q.ord
+  AND greatest(p.x0 - q.x1, q.x0 - p.x1, 0) ** 2 + greatest(p.y0 - q.y1, q.y0 - p.y1, 0) ** 2 <= 36),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a)
+SELECT p.sheet, p.ord, least(p.ord, coalesce((SELECT min(b) FROM reach r WHERE r.a = p.ord), p.ord)) AS label FROM sheet_paths p""")
+def box_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return spatial.box_clusters(view(spark, d, "sheet_paths"), 6.0, group="sheet").select("sheet", "ord", "label")
+
+
 _LENGTHS = f"""WITH {cte("vertices")}, lines AS (SELECT route_id, scale, list(struct_pack(x := x, y := y) ORDER BY x, y) AS p FROM vertices GROUP BY route_id, scale),
 lengths AS (SELECT route_id, scale, len(p) AS points, CASE WHEN len(p) < 2 THEN 0.0 ELSE CAST(printf('%.3f', list_reduce(list_transform(range(2, len(p) + 1), lambda k: sqrt((p[k].x - p[k-1].x) * (p[k].x - p[k-1].x) + (p[k].y - p[k-1].y) * (p[k].y - p[k-1].y))), lambda a, b: a + b) * CAST(split_part(scale, ':', 2) AS DOUBLE)) AS DOUBLE) END AS length_m FROM lines)"""
 
@@ -413,6 +545,17 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
     return _tiers(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), n("MEASURED").alias("measured"), n("DERIVED").alias("derived"), n("ASSUMED").alias("assumed"), (n("ASSUMED") > 0).alias("bulk_enabled"))
 
 
+@registered("overlay_lookup", f"WITH {cte('paths', 'overlays')}, first AS (SELECT * FROM overlays QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1) SELECT p.id, coalesce(x, 0) AS x, coalesce(y, 0) AS y, coalesce(width, 0) AS width, coalesce(height, 0) AS height FROM (SELECT id FROM paths) p LEFT JOIN first f ON f.id = p.id")
+def overlay_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return review.overlay_of(view(spark, d, "paths").select("id"), view(spark, d, "overlays"))
+
+
+@registered("review_actions", _STATUS + " SELECT event_id, status IS DISTINCT FROM 'MEASURED' AS can_reject, CASE WHEN event_id % 5 - 2 > 0 THEN event_id % 5 - 2 ELSE 100 END AS quantity FROM tiers")
+def review_actions(spark: SparkSession, d: str) -> DataFrame:
+    new = F.col("event_id") % 5 - 2
+    return _tiers(spark, d).select("event_id", review.can_reject(F.col("status")).alias("can_reject"), review.corrected(F.lit(100).cast("long"), new).alias("quantity"))
+
+
 # --- scanned sheets -----------------------------------------------------------------------------------------------
 
 _VALID = "regexp_full_match({0}, '[\\p{{L}}\\p{{N}}_]{{2,40}}')"
@@ -548,7 +691,29 @@ def boq_json(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("assembly_type").agg(F.count(F.lit(1)).alias("lines"), F.count_if("unpriced").alias("unpriced"), F.sum(F.col("total_cost").cast("decimal(18,2)")).cast("double").alias("total_cost"))
 
 
-@registered("e2e_boq")
+_E2E = f"""WITH RECURSIVE {cte("sheet_paths", "spans", "prices")}, {_LATEST}, {_STRICT_HITS}, scales AS ({_HIT}),
+points AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM sheet_paths WHERE layer IN (SELECT layer FROM {_LAYERS})),
+near AS (SELECT p.ord AS a, q.ord AS b FROM points p JOIN points q ON p.sheet = q.sheet AND p.layer = q.layer AND p.ord <> q.ord AND (p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy) <= 100),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+labelled AS (SELECT p.*, coalesce((SELECT CASE WHEN count(*) > 0 THEN least(min(b), p.ord) END FROM reach r WHERE r.a = p.ord), -1) AS label, count(*) OVER (PARTITION BY sheet, layer) AS n FROM points p),
+records AS (SELECT sheet, layer, label, list(id ORDER BY ord) AS members, string_agg(id, ',' ORDER BY id) AS member_key, min(ord) * 2 AS line_order, false AS single FROM labelled WHERE n >= 2 GROUP BY sheet, layer, label
+  UNION ALL SELECT sheet, layer, label, [id], id, ord * 2 + 1, true FROM labelled WHERE label < 0),
+members AS (SELECT line_order, unnest(members) AS id FROM records WHERE NOT (label < 0 AND len(members) <= 1)),
+corners AS (SELECT line_order, unnest([struct_pack(x := x0, y := y0), struct_pack(x := x1, y := y1)]) AS v FROM members JOIN points USING (id)),
+drawn AS (SELECT line_order, list(v ORDER BY v.x, v.y) AS p FROM corners GROUP BY line_order),
+lengths AS (SELECT line_order, list_reduce(list_transform(range(2, len(p) + 1), lambda k: sqrt((p[k].x - p[k-1].x) * (p[k].x - p[k-1].x) + (p[k].y - p[k-1].y) * (p[k].y - p[k-1].y))), lambda a, b: a + b) AS raw FROM drawn),
+routed AS (SELECT r.*, m.assembly_type, CAST(printf('%.3f', raw * coalesce(try_cast(split_part(coalesce(s.scale, '1:100'), ':', 2) AS DOUBLE), 1.0)) AS DOUBLE) AS amount FROM records r JOIN lengths l ON l.line_order = r.line_order JOIN {_LAYERS} m ON m.layer = r.layer LEFT JOIN scales s ON s.sheet = r.sheet WHERE m.assembly_type IN ('cable_tray', 'conduit')
+  QUALIFY row_number() OVER (PARTITION BY member_key ORDER BY r.line_order) = 1),
+counted AS (SELECT r.*, m.assembly_type, 1.0::DOUBLE AS amount FROM records r JOIN {_LAYERS} m ON m.layer = r.layer QUALIFY row_number() OVER (PARTITION BY member_key ORDER BY single, line_order) = 1),
+measured AS (SELECT 'route' AS origin, * FROM routed UNION ALL SELECT 'component', * FROM counted),
+lines AS (SELECT t.*, b.position, b.material_name, b.bom_quantity * t.amount AS raw FROM measured t JOIN {_BOM} b ON b.assembly_type = t.assembly_type)
+SELECT sheet, origin, line_order, position, assembly_type, lines.material_name, CAST(printf('%.3f', raw) AS DOUBLE) AS quantity, unit_price, CASE WHEN unit_price IS NULL THEN 0.0 ELSE {_COST.format(q="raw", p="unit_price")} END AS total_cost,
+  unit_price IS NULL AS unpriced, 'MEASURED' AS confidence_status, array_to_string(members, ',') AS source_path_ids FROM lines LEFT JOIN latest ON latest.material_name = lines.material_name"""
+
+
+@registered("e2e_boq", _E2E)
 def e2e_boq(spark: SparkSession, d: str) -> DataFrame:
-    paths = _points(spark, d).drop("cx", "cy").withColumn("points", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
-    return boq.run(spark, paths, view(spark, d, "spans"), view(spark, d, "prices"), EPS)
+    """Two sheets of different scale."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    paths = view(spark, d, "sheet_paths").withColumn("points", F.array(at("x0", "y0"), at("x1", "y1")))
+    return boq.run(spark, paths, view(spark, d, "spans"), view(spark, d, "prices"), 10.0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,8 @@ LAYERS: dict[str, list[str]] = {
     "conduit": ["CONDUIT", "CONDUIT_RUN"],
 }
 ROUTE_ASSEMBLIES = ("cable_tray", "conduit")
+# Older names of access-control layers, which are clustered too.
+OLDER_LAYERS = ["AC", "ACCESS_CONTROL", "SECURITY", "CARD_READER"]
 
 BOM_SCHEMA = "assembly_type string, position int, material_name string, bom_quantity double"
 RULE_SCHEMA = "assembly_type string, rule_version string, installation_hours double, hourly_rate double, waste_factor double"
@@ -45,11 +48,7 @@ def rule_rows() -> list[tuple]:
 
 
 def layer_rows() -> list[tuple[str, str]]:
-    first: dict[str, str] = {}
-    for assembly, names in LAYERS.items():
-        for n in names:
-            first.setdefault(n, assembly)
-    return list(first.items())
+    return [(n, a) for _, n, a in _first_entries(list(LAYERS.items())) if a]
 
 
 def bom(spark: SparkSession) -> DataFrame:
@@ -64,24 +63,49 @@ def layers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(layer_rows(), LAYER_SCHEMA)
 
 
-def read_yaml_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(rules, bom) of a folder with one YAML file per assembly, with defaults for what a file leaves out.  Rule
-    folders are small and edited by hand, so the driver reads them."""
+def _documents(spark: SparkSession, path: str) -> list[tuple[str, dict]]:
+    """(file name, content) of the YAML files at a path, by name, through Spark's reader, so that any store will do.  Rule
+    files are edited by hand and few, so the driver parses them."""
     import yaml
 
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}").load(path).select("path", "content").collect()
+    name = lambda path: os.path.splitext(os.path.basename(unquote(path)))[0]
+    return sorted(((name(r["path"]), yaml.safe_load(bytes(r["content"]).decode()) or {}) for r in files), key=lambda x: x[0])
+
+
+def read_yaml_rules(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rules, bom) of a folder with one YAML file per assembly, with defaults for what a file leaves out; a file without a
+    byte is no rule."""
     heads, lines = [], []
-    for name in sorted(os.listdir(folder)):
-        if name.endswith((".yaml", ".yml")):
-            with open(os.path.join(folder, name), encoding="utf-8") as f:
-                rule = yaml.safe_load(f) or {}
-            key = os.path.splitext(name)[0]
-            labor = rule.get("labor") or {}
-            number = lambda x: None if x is None else float(x)
-            heads.append((rule.get("name", key), str(rule.get("rule_version", "unknown")), number(labor.get("installation_hours", 0.0)), number(labor.get("hourly_rate")), float(rule.get("waste_factor", 0.10))))
-            lines += [(rule.get("name", key), k, m, float(q)) for k, (m, q) in enumerate((rule.get("bom") or {}).items())]
+    number = lambda x: None if x is None else float(x)
+    for key, rule in _documents(spark, folder):
+        name, labor = rule.get("name", key), rule.get("labor") or {}
+        heads.append((name, str(rule.get("rule_version", "unknown")), number(labor.get("installation_hours", 0.0)), number(labor.get("hourly_rate")), float(rule.get("waste_factor", 0.10))))
+        lines += [(name, k, m, float(q)) for k, (m, q) in enumerate((rule.get("bom") or {}).items())]
     return spark.createDataFrame(heads, RULE_SCHEMA), spark.createDataFrame(lines, BOM_SCHEMA)
 
 
+def read_yaml_layers(spark: SparkSession, path: str) -> DataFrame:
+    """position, layer, assembly_type of a layer map (a list `layer_mapping` of assembly and layers): a layer's first entry
+    counts; an empty file has none."""
+    entries = [e for _, content in _documents(spark, path) for e in content.get("layer_mapping") or []]
+    return spark.createDataFrame(_first_entries([(e.get("assembly"), e.get("layers") or []) for e in entries]), f"position int, {LAYER_SCHEMA}")
+
+
+def _first_entries(entries: list[tuple[str | None, list[str]]]) -> list[tuple[int, str, str | None]]:
+    """position, layer, assembly of entries in order; later entries of a layer are left out."""
+    first: dict[str, str | None] = {}
+    for assembly, names in entries:
+        for n in names:
+            first.setdefault(n, assembly)
+    return [(k, n, a) for k, (n, a) in enumerate(first.items())]
+
+
+def clustered_layers() -> list[str]:
+    """The layers that are clustered, in order: those of the map, then older names of access control, each once."""
+    return [n for _, n, _ in _first_entries([*LAYERS.items(), (None, OLDER_LAYERS)])]
+
+
 def values_sql(rows: list[tuple], names: list[str]) -> str:
     """The rows as a SQL subquery."""
     lit = lambda x: "NULL" if x is None else f"CAST({x!r} AS DOUBLE)" if isinstance(x, float) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
