@@ -18,8 +18,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the edges (a, b: long).
 
     Alternates large-star and small-star steps (each node's neighbours are linked to its smallest one), which
-    need O(log^2 n) rounds for any shape.  No step emits more rows than there are edges, and each is stored in
-    the shared checkpoint folder."""
+    need O(log^2 n) rounds for any shape (more than MAX_ROUNDS are an error).  No step emits more rows than there are
+    edges, and each is stored in the shared checkpoint folder.  Smallest neighbours are partial minima first; the joins
+    that bring them back are sort-merge joins, whose partition of a large star's centre Spark splits (adaptive skew join)."""
     def mark(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("b", "a"))).first())
 

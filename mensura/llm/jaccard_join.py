@@ -261,6 +261,7 @@ def linked(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomi
     for r in _summed(scanned.filter("part IS NOT NULL").select("part", "counts"), spread).toLocalIterator():  # a table of at most 2**MOST_BITS bytes
         levels[r["part"] << SKETCH_PART : (r["part"] + 1) << SKETCH_PART] = np.frombuffer(r["level"], np.uint8)
     shared_levels = spark.sparkContext.broadcast(levels)
+    del levels  # the driver keeps a file of it only
     # a class's text is that of the row with the smallest id
     first, weight = F.min(F.struct("doc_id", "key", "bytes")).alias("first"), F.greatest("n", F.ceil(F.col("first.bytes") / BYTES_A_SHINGLE))
     classes = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(first, F.count(F.lit(1)).alias("copies"))
