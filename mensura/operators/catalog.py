@@ -134,6 +134,13 @@ def listing(materials: DataFrame, prices: DataFrame) -> DataFrame:
     return listed.select("id", "name", "unit", "category", F.col("unit_price").alias("latest_unit_price")).orderBy("name")
 
 
+def labor_listing(rates: DataFrame) -> DataFrame:
+    """id, name, productivity_rate, hourly_rate (null where they are 0), category, effective_from (ISO text) of all rates, by name."""
+    none = lambda c: F.nullif(F.col(c), F.lit(0.0)).alias(c)
+    key = F.sha2(F.concat(F.lit("labor|"), "name"), 256).alias("id")
+    return rates.select(key, "name", none("productivity_rate"), none("hourly_rate"), "category", F.col("effective_from").cast("string").alias("effective_from")).orderBy("name")
+
+
 def persisted_rules(existing: DataFrame, rules: DataFrame, bom: DataFrame) -> DataFrame:
     """Assemblies (name, rule_version, formula_or_bom) after rules have been stored: new ones are added, and where the
     version differs version and bill of materials are replaced; all others stay as they are."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.functions import confidence, numbers, review, shapes, texts
+from mensura.functions import confidence, numbers, review, shapes, texts, uploads
 from mensura.operators import catalog, routes, spatial
 from mensura.plans import boq
 from mensura.plans.proxies import cte, view
@@ -222,6 +222,11 @@ def import_labor(spark: SparkSession, d: str) -> DataFrame:
     return rates.withColumns({c: F.col(c).cast("string") for c in ("effective_from", "effective_to")})
 
 
+@registered("labor_catalog", f"{_FILES}, rates AS (SELECT rate_name AS name, max_by(CAST(productivity_rate AS DOUBLE), row) AS productivity_rate, max_by(CAST(hourly_rate AS DOUBLE), row) AS hourly_rate, max_by(category, row) FILTER (WHERE category <> '') AS category, CAST(max_by({_DAY.format('effective_from')}, row) FILTER (WHERE {_DAY.format('effective_from')} IS NOT NULL) AS VARCHAR) AS effective_from FROM labor WHERE reason IS NULL GROUP BY rate_name) SELECT sha256('labor|' || name) AS id, name, nullif(productivity_rate, 0) AS productivity_rate, nullif(hourly_rate, 0) AS hourly_rate, category, effective_from FROM rates")
+def labor_catalog(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.labor_listing(catalog.upsert_labor(catalog.accepted_labor(catalog.validated(view(spark, d, "imported_labor")))))
+
+
 @registered("price_sets", f"WITH {cte('prices')} SELECT material_name, currency, unit_price FROM prices WHERE material_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY material_name, currency ORDER BY effective_from DESC NULLS LAST, seq DESC) = 1")
 def price_sets(spark: SparkSession, d: str) -> DataFrame:
     return catalog.latest_price(view(spark, d, "prices").filter("material_name IS NOT NULL"), "currency")
@@ -338,9 +343,27 @@ def schedule_entries(spark: SparkSession, d: str) -> DataFrame:
 @registered("upload_classify", f"WITH {cte('uploads')}, counted AS (SELECT upload_id, CASE kind WHEN 0 THEN few ELSE drawings END AS drawings, images, has_text FROM uploads) SELECT upload_id, CASE WHEN drawings > 10000 AND has_text = 1 THEN 'vector' WHEN drawings < 100 AND images > 0 AND has_text = 0 THEN 'raster' ELSE 'vector' END AS status, NOT (drawings > 10000 AND has_text = 1 OR drawings < 100 AND images > 0 AND has_text = 0) AS ambiguous FROM counted")
 def upload_classify(spark: SparkSession, d: str) -> DataFrame:
     u = view(spark, d, "uploads").withColumn("n", F.when(F.col("kind") == 0, F.col("few")).otherwise(F.col("drawings")))
-    vector = (F.col("n") > 10_000) & (F.col("has_text") == 1)
-    raster = (F.col("n") < 100) & (F.col("images") > 0) & (F.col("has_text") == 0)
-    return u.select("upload_id", F.when(vector, "vector").when(raster, "raster").otherwise("vector").alias("status"), (~(vector | raster)).alias("ambiguous"))
+    facts = F.col("n"), F.col("images"), F.col("has_text") == 1
+    return u.select("upload_id", uploads.status(*facts).alias("status"), uploads.ambiguous(*facts).alias("ambiguous"))
+
+
+@registered("upload_unread", f"WITH {cte('uploads')}, counted AS (SELECT upload_id, CASE WHEN upload_id % 7 = 0 THEN NULL WHEN kind = 0 THEN few ELSE drawings END AS drawings, images, has_text FROM uploads) SELECT upload_id, CASE WHEN drawings IS NULL OR (drawings < 100 AND images > 0 AND has_text = 0) THEN 'raster' ELSE 'vector' END AS status FROM counted")
+def upload_unread(spark: SparkSession, d: str) -> DataFrame:
+    """Every seventh file could not be read."""
+    u = view(spark, d, "uploads").withColumn("n", F.when(F.col("upload_id") % 7 != 0, F.when(F.col("kind") == 0, F.col("few")).otherwise(F.col("drawings"))))
+    return u.select("upload_id", uploads.status(F.col("n"), F.col("images"), F.col("has_text") == 1).alias("status"))
+
+
+@registered("pages_in_order", f"WITH {cte('spans')} SELECT sheet, page_number, ordinal, CAST(row_number() OVER (PARTITION BY sheet ORDER BY page_number, ordinal) - 1 AS INTEGER) AS position FROM (SELECT sheet, ord % 3 + 1 AS page_number, ord AS ordinal FROM spans)")
+def pages_in_order(spark: SparkSession, d: str) -> DataFrame:
+    paged = view(spark, d, "spans").select("sheet", (F.col("ord") % 3 + 1).alias("page_number"), F.col("ord").alias("ordinal"))
+    return records.in_page_order(paged)
+
+
+@registered("layer_status", f"WITH {cte('items')} SELECT layer, status, count(*) AS items FROM (SELECT coalesce(i.layer, 'default') AS layer, coalesce(m.assembly_type, 'UNMAPPED') AS status FROM items i LEFT JOIN {_LAYERS} m ON i.layer = m.layer) GROUP BY layer, status")
+def layer_status(spark: SparkSession, d: str) -> DataFrame:
+    named = view(spark, d, "items").join(F.broadcast(rules.layers(spark)), "layer", "left")
+    return named.groupBy(F.coalesce("layer", F.lit("default")).alias("layer"), F.coalesce("assembly_type", F.lit("UNMAPPED")).alias("status")).agg(F.count(F.lit(1)).alias("items"))
 
 
 _ELECTRICAL = ", ".join(f"'{x}'" for x in texts.ELECTRICAL_LAYERS)
@@ -655,6 +678,13 @@ def review_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _tiers(spark, d).groupBy("user_id", F.coalesce("status", F.lit("none")).alias("tier")).agg(F.count(F.lit(1)).alias("reviewed"), (F.max(us) - F.min(us)).alias("span_us"))
 
 
+@registered("review_pace", _STATUS + " SELECT user_id, count(*) AS reviewed, CASE WHEN count(*) > 1 THEN (max(epoch_us(ts)) - min(epoch_us(ts))) / (count(*) - 1) END::DOUBLE AS mean_us FROM tiers GROUP BY user_id")
+def review_pace(spark: SparkSession, d: str) -> DataFrame:
+    """The mean time between a reviewer's decisions."""
+    us, n = F.unix_micros(F.col("ts").cast("timestamp")), F.count(F.lit(1))
+    return _tiers(spark, d).groupBy("user_id").agg(n.alias("reviewed"), F.when(n > 1, (F.max(us) - F.min(us)) / F.when(n > 1, n - 1)).alias("mean_us"))
+
+
 @registered("quality_gate", f"WITH {cte('items')} SELECT l_orderkey, count(DISTINCT layer) AS layers, count(*) FILTER (WHERE layer IS NULL) AS untagged, CASE WHEN count(DISTINCT layer) < 3 OR count(*) FILTER (WHERE layer IS NULL) > 0.9 * count(*) THEN 'degraded_vector' ELSE 'layered_vector' END AS source_quality FROM items GROUP BY l_orderkey")
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     untagged, n = F.count_if(F.col("layer").isNull()), F.count(F.lit(1))

@@ -39,6 +39,22 @@ def layer_registry(groups: DataFrame) -> DataFrame:
     return last.unionByName(default.join(last.select("name"), "name", "left_anti"))
 
 
+def in_page_order(records: DataFrame) -> DataFrame:
+    """Records (sheet, page_number, ordinal) with `position`, their number (from 0) within their sheet, page by page.  A sheet
+    is one file, so a window holds no more than a file did."""
+    order = W.partitionBy("sheet").orderBy("page_number", "ordinal")
+    return records.withColumn("position", F.row_number().over(order) - 1)
+
+
+def read_table(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **options: str) -> DataFrame:
+    """A table of a database by JDBC; with a numeric column and its bounds it is read by `parts` tasks, each a range of the
+    column's values (rows outside the bounds are read by the first and last)."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if column is not None:
+        reader = reader.options(partitionColumn=column, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()
+
+
 def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     """Catalog files with all values as trimmed strings and a `row` number that starts at 2 in each file."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", True).option("nullValue", "\u0000").option("emptyValue", "").csv(path)

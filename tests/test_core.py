@@ -145,6 +145,16 @@ def test_catalog_xlsx(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(2, "Conduit", "", ""), (2, "Conduit", "", "2.5"), (3, "", "m", ""), (3, "", "m", "")]
 
 
+def test_a_database_table(spark, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    df = spark.range(100).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS price")
+    df.write.format("jdbc").options(url=url, dbtable="prices", driver=driver).save()
+    got = records.read_table(spark, url, "prices", "id", (10, 90), 4, driver=driver)
+    assert got.rdd.getNumPartitions() == 4 and sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+    assert records.read_table(spark, url, "prices", driver=driver).count() == 100
+
+
 def test_yaml_files(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "rules").mkdir()
