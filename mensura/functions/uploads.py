@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # More drawing objects than this make a vector file, fewer than that a scanned one.
 MANY, FEW = 10_000, 100
 
 
+def counters(objects: DataFrame, upload: str) -> DataFrame:
+    """vectors, images and has_text of every upload, from its objects (kind: vector or image, is_text)."""
+    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
+    return objects.groupBy(upload).agg(n("vector", "vectors"), n("image", "images"), F.coalesce(F.bool_or("is_text"), F.lit(False)).alias("has_text"))
+
+
 def is_vector(drawings: Column, has_text: Column) -> Column:
     return (drawings > MANY) & has_text
 

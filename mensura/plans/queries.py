@@ -253,6 +253,15 @@ def rule_persist_versions(spark: SparkSession, d: str) -> DataFrame:
     return after.select("name", "rule_version", F.size("formula_or_bom").cast("long").alias("materials"), F.round(F.aggregate(values, F.lit(0.0), lambda n, x: n + x), 6).alias("quantity"))
 
 
+@registered("bom_json", f"SELECT assembly_type AS name, count(*) AS materials, round(sum(bom_quantity), 6) AS quantity FROM {_BOM} GROUP BY assembly_type")
+def bom_json(spark: SparkSession, d: str) -> DataFrame:
+    """Bills of materials written as JSON and read back."""
+    none = spark.createDataFrame([], "name string, rule_version string, formula_or_bom map<string,double>")
+    stored = catalog.persisted_rules(none, rules.rules(spark), rules.bom(spark))
+    back = stored.select("name", F.to_json("formula_or_bom").alias("j")).select("name", F.from_json("j", "map<string,double>").alias("bom"))
+    return back.select("name", F.size("bom").cast("long").alias("materials"), F.round(F.aggregate(F.map_values("bom"), F.lit(0.0), lambda n, x: n + x), 6).alias("quantity"))
+
+
 @registered("assembly_material_links", f"WITH links AS (SELECT assembly_type, material_name, bom_quantity AS quantity, {_UNIT.format(m='material_name')} AS unit FROM {_BOM} UNION ALL SELECT assembly_type, 'Labor', installation_hours, 'hr' FROM {_RULES} WHERE hourly_rate IS NOT NULL) SELECT assembly_type AS assembly, material_name AS material, unit, quantity FROM links")
 def assembly_material_links(spark: SparkSession, d: str) -> DataFrame:
     """The M:N tables (assemblies, assembly_materials, materials) filled from the rules, and joined."""
@@ -347,6 +356,13 @@ def upload_classify(spark: SparkSession, d: str) -> DataFrame:
     return u.select("upload_id", uploads.status(*facts).alias("status"), uploads.ambiguous(*facts).alias("ambiguous"))
 
 
+@registered("upload_counters", "SELECT l_orderkey AS upload_id, count(*) FILTER (WHERE l_returnflag <> 'R') AS vectors, count(*) FILTER (WHERE l_returnflag = 'R') AS images, bool_or(l_linestatus = 'O') AS has_text FROM lineitem GROUP BY l_orderkey")
+def upload_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of an upload by kind, and whether it has text, with lines for objects."""
+    kind, text = F.when(F.col("l_returnflag") == "R", "image").otherwise("vector"), F.col("l_linestatus") == "O"
+    return uploads.counters(_lineitem(spark, d).select(F.col("l_orderkey").alias("upload_id"), kind.alias("kind"), text.alias("is_text")), "upload_id")
+
+
 @registered("upload_unread", f"WITH {cte('uploads')}, counted AS (SELECT upload_id, CASE WHEN upload_id % 7 = 0 THEN NULL WHEN kind = 0 THEN few ELSE drawings END AS drawings, images, has_text FROM uploads) SELECT upload_id, CASE WHEN drawings IS NULL OR (drawings < 100 AND images > 0 AND has_text = 0) THEN 'raster' ELSE 'vector' END AS status FROM counted")
 def upload_unread(spark: SparkSession, d: str) -> DataFrame:
     """Every seventh file could not be read."""
@@ -491,6 +507,35 @@ def box_clusters(spark: SparkSession, d: str) -> DataFrame:
     return spatial.box_clusters(view(spark, d, "sheet_paths"), 6.0, group="sheet").select("sheet", "ord", "label")
 
 
+_SHAPES = f"""WITH RECURSIVE {cte("paths")}, points AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM paths WHERE layer IS NULL OR layer = 'lighting'),
+near AS (SELECT p.ord AS a, q.ord AS b FROM points p JOIN points q ON p.ord <> q.ord AND (p.cx - q.cx) * (p.cx - q.cx) + (p.cy - q.cy) * (p.cy - q.cy) <= 900),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+labelled AS (SELECT p.*, coalesce((SELECT CASE WHEN count(*) > 0 THEN least(min(b), p.ord) END FROM reach r WHERE r.a = p.ord), -1) AS label FROM points p)"""
+
+
+@registered("shape_cluster_boxes", _SHAPES + " SELECT label, count(*) AS num_paths, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM labelled WHERE label >= 0 GROUP BY label UNION ALL SELECT label, 1, x0, y0, x1, y1 FROM labelled WHERE label < 0")
+def shape_cluster_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Detected shapes as records: clusters, and each shape that stands alone."""
+    cx, cy = spatial.centroid(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    shapes_ = view(spark, d, "paths").filter("layer IS NULL OR layer = 'lighting'").withColumn("layer", F.lit("shapes")).withColumn("cx", cx).withColumn("cy", cy)
+    return spatial.cluster_records(spatial.dbscan(shapes_, 30.0), noise="singletons").select("label", "num_paths", "x0", "y0", "x1", "y1")
+
+
+@registered("item_points", f"WITH {cte('paths')} SELECT id, CASE ord % 3 WHEN 0 THEN 4 WHEN 1 THEN 0 ELSE 2 END AS n_points, CASE ord % 3 WHEN 0 THEN abs(x1 - x0) + abs(y1 - y0) + abs(x1 - x0) WHEN 1 THEN 0.0 ELSE sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) END::DOUBLE AS raw_length FROM paths")
+def item_points(spark: SparkSession, d: str) -> DataFrame:
+    """Drawing items (rectangles, quads, lines) as points, and the length of the polyline through them."""
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    op = F.when(F.col("ord") % 3 == 0, "re").when(F.col("ord") % 3 == 1, "qu").otherwise("l")
+    items = F.array(F.struct(op.alias("op"), F.array(at("x0", "y0"), at("x1", "y1")).alias("pts")))
+    drawn = view(spark, d, "paths").select("id", items.alias("items")).withColumn("points", routes.points_of(F.col("items")))
+    return drawn.select("id", F.size("points").alias("n_points"), routes.raw_length(F.col("points")).alias("raw_length"))
+
+
+@registered("record_ids", f"WITH {cte('paths')} SELECT ord, sha256(concat_ws('|', layer, CAST(ord AS VARCHAR))) AS record_id FROM paths")
+def record_ids(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "paths").select("ord", records.record_id("layer", "ord").alias("record_id"))
+
+
 _LENGTHS = f"""WITH {cte("vertices")}, lines AS (SELECT route_id, scale, list(struct_pack(x := x, y := y) ORDER BY x, y) AS p FROM vertices GROUP BY route_id, scale),
 lengths AS (SELECT route_id, scale, len(p) AS points, CASE WHEN len(p) < 2 THEN 0.0 ELSE CAST(printf('%.3f', list_reduce(list_transform(range(2, len(p) + 1), lambda k: sqrt((p[k].x - p[k-1].x) * (p[k].x - p[k-1].x) + (p[k].y - p[k-1].y) * (p[k].y - p[k-1].y))), lambda a, b: a + b) * CAST(split_part(scale, ':', 2) AS DOUBLE)) AS DOUBLE) END AS length_m FROM lines)"""
 
