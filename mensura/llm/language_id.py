@@ -263,7 +263,7 @@ def score_documents(docs: DataFrame, model: Unigrams) -> DataFrame:
             if new:
                 learn_words(new)
             for doc_id, words in zip(batch["doc_id"], lists):
-                if not words or not model.languages:
+                if not model.languages or not any(any(map(str.isalpha, w)) for w in words):  # a run may hold numerals only
                     yield doc_id, UNDETERMINED, 0.0
                     continue
                 total = likely[np.fromiter(map(row_of.__getitem__, words), np.int64, len(words))].sum(0)
