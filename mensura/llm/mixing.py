@@ -3,10 +3,13 @@
 Each source gets an integer share of a period of `quota` slots.  Block k of a source with share a is released at
 floor((k-1) * quota / a) and due at ceil(k * quota / a); an earliest-deadline-first pass over one period gives every
 slot to a released block.  As the shares add up to the period, each block lies inside its window, so at any slot a
-source deviates from its share by less than one block.  The share is the target weight rounded to the period, with
-one slot at least: against the weight itself the deviation grows by up to that rounding every period.  The schedule
-repeats every period; it has `quota` rows whatever the input's size.  With more sources than `quota` the period
-grows to SLOTS_PER_SOURCE slots a source, and shares and schedule are made on the driver with a heap.  Rows of a source are numbered by doc_id within ranges of doc_id, so that a source with
+source deviates from its share by less than one block.  Weights that are given for all sources, as numbers whose
+proportions fit a period of SLOTS_PER_SOURCE * quota slots, are met exactly: the period is the sum of those proportions
+in whole numbers, and the bound holds against the target weight over the whole mixture.  Other weights (the default ones
+are roots) are rounded to a period of `quota` slots, with one slot at least: against the weight itself the deviation
+then grows by up to that rounding every period.  The schedule repeats every period, whatever the input's size.  With
+more sources than `quota` the period grows to SLOTS_PER_SOURCE slots a source; there, and for exact weights, the slots are
+dealt on the driver with a heap.  Rows of a source are numbered by doc_id within ranges of doc_id, so that a source with
 most of the rows is numbered by many tasks.
 
 No row is dropped or repeated.  Once a source has run out, its slots stay empty and the rest keep their relative
@@ -18,8 +21,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -74,6 +77,12 @@ def schedule(shared: DataFrame, quota: int = QUOTA) -> DataFrame:
     folded = row.select("sources", F.aggregate(F.sequence(F.lit(0), q - 1), start, step)["picks"].alias("picks"))
     slots = folded.select("sources", F.posexplode("picks").alias("slot", "i")).select(F.col("slot").cast("long"), F.col("sources")[F.col("i")].alias("s"))
     slots = slots.select("slot", F.col("s.key").alias("key"), F.col("s.share").alias("share"))
+    return _windows(slots, quota)
+
+
+def _windows(slots: DataFrame, period: int) -> DataFrame:
+    """Slots (slot, key, share) with the number, release and deadline of their block."""
+    q = F.lit(period).cast("long")
     slots = slots.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("slot")).cast("long"))
     release, deadline = F.floor((F.col("k") - 1) * q / F.col("share")), F.ceil(F.col("k") * q / F.col("share"))
     return slots.select("key", "share", "k", "slot", release.alias("release"), deadline.alias("deadline"))
@@ -109,15 +118,28 @@ def many_slots(shares: list[tuple[str, int]], period: int) -> list[int]:
     return picks
 
 
+def exact_shares(keys: list[str], weights: dict[str, float], most: int) -> list[tuple[str, int]] | None:
+    """(key, share) by key, in exactly the proportions of the weights as they are written in decimals and in the smallest
+    whole numbers; None if a source has no weight above 0 or the shares add up to more than `most`."""
+    given = {"=" + k: Fraction(str(w)) for k, w in weights.items() if w > 0}
+    if not keys or not given.keys() >= set(keys):
+        return None
+    common = math.lcm(*(given[k].denominator for k in keys))
+    whole = {k: int(given[k] * common) for k in keys}
+    by = math.gcd(*whole.values())
+    return [(k, whole[k] // by) for k in sorted(keys)] if sum(whole.values()) // by <= most else None
+
+
+def _dealt(spark: SparkSession, shared: list[tuple[str, int]]) -> DataFrame:
+    """What `schedule` returns, for shares on the driver; the period is their sum."""
+    period = sum(a for _, a in shared)
+    slots = [(t, *shared[i]) for t, i in enumerate(many_slots(shared, period))]
+    return _windows(spark.createDataFrame(slots, "slot long, key string, share long"), period)
+
+
 def many(spark: SparkSession, rows: list[tuple[str, int]], period: int, power: float = POWER, weights: dict[str, float] | None = None) -> DataFrame:
     """What `schedule` returns, for more sources than slots."""
-    dealt = many_shares(rows, period, power, weights)
-    done, columns = [0] * len(dealt), {name: [] for name in ("key", "share", "k", "slot", "release", "deadline")}
-    for slot, i in enumerate(many_slots(dealt, period)):
-        (key, a), done[i] = dealt[i], done[i] + 1
-        for name, x in zip(columns, (key, a, done[i], slot, (done[i] - 1) * period // a, -(-done[i] * period // a))):
-            columns[name].append(x)
-    return spark.createDataFrame(pa.table(columns))
+    return _dealt(spark, many_shares(rows, period, power, weights))
 
 
 def numbered(docs: DataFrame, ranges: int | None = None, few: bool = True) -> DataFrame:
@@ -140,13 +162,19 @@ def mix(docs: DataFrame, quota: int = QUOTA, block_rows: int = BLOCK_ROWS, power
     by slot, then by number within the block."""
     counts = docs.groupBy(_key("source").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
     few = counts.limit(quota + 1).count() <= quota
-    if few:
+    exact = None
+    if weights and few:
+        exact = exact_shares([r["key"] for r in counts.select("key").collect()], weights, SLOTS_PER_SOURCE * quota)  # at most `quota` sources
+    if exact is not None:
+        quota = sum(a for _, a in exact)
+        plan = stored(_dealt(docs.sparkSession, exact))
+    elif few:
         plan = stored(schedule(shares(docs, quota, power, weights), quota))
     else:
         held = [(r["key"], r["rows"]) for r in counts.collect()]
         quota = SLOTS_PER_SOURCE * len(held)
         plan = stored(many(docs.sparkSession, held, quota, power, weights))
-    small = F.broadcast if few else lambda df: df  # few: at most `quota` rows
+    small = F.broadcast if few else lambda df: df  # few: at most SLOTS_PER_SOURCE * quota rows
     rows = numbered(docs.select("doc_id", "source"), few=few).withColumn("block", F.floor(F.col("nth") / block_rows))
     sized = small(plan.select("key", "share").distinct())
     rows = rows.join(sized, "key").withColumn("k", F.col("block") % F.col("share") + 1).withColumn("period", F.floor(F.col("block") / F.col("share")))

@@ -685,6 +685,20 @@ def test_mixing_with_given_weights_and_odd_rows(odd, nothing):
     assert {(r["mixed_id"], r["Mixed_Position"], r["__id"]) for r in ordered.collect()} == {("x", "y", "z")}
 
 
+def test_given_weights_are_met_exactly(spark):
+    weights = {"a": 0.9, "b": 0.05, "c": 0.05}
+    docs = frame(spark, [(k, "t", "en", "a" if k < 900 else "b" if k < 950 else "c") for k in range(1000)])
+    got = sorted(mixing.mix(docs, quota=7, block_rows=1, weights=weights).collect(), key=lambda r: r["position"])
+    held = dict.fromkeys(weights, 0)
+    for t, r in enumerate(got, 1):
+        held[r["source"]] += 1
+        assert r["release"] <= r["slot"] < r["deadline"] and all(abs(held[s] - t * w) < 1 for s, w in weights.items())
+    assert held == {"a": 900, "b": 50, "c": 50}
+    assert mixing.exact_shares(["=a", "=b"], {"a": 0.9, "b": 0.1}, 10) == [("=a", 9), ("=b", 1)]
+    assert mixing.exact_shares(["=a", "=b"], {"a": 0.9, "b": 0.1}, 9) is None  # a longer period than allowed
+    assert mixing.exact_shares(["-", "=b"], {"b": 1}, 9) is None and mixing.exact_shares(["=a"], {"a": 0}, 9) is None
+
+
 def test_more_sources_than_slots(spark):
     rows = [(k, "t", "en", f"s{k % 25:02d}" if k < 100 else "big") for k in range(400)] + [(None, "t", "en", None)]
     docs = frame(spark, rows)
