@@ -685,6 +685,12 @@ def test_mixing_with_given_weights_and_odd_rows(odd, nothing):
     assert {(r["mixed_id"], r["Mixed_Position"], r["__id"]) for r in ordered.collect()} == {("x", "y", "z")}
 
 
+def test_numerals_alone_have_no_language(spark):
+    model = language_id.Unigrams([" a"], ["xx"], np.array([[0.9], [0.1]]))
+    got = language_id.score_documents(frame(spark, [(1, "² ½", "xx", "s"), (2, "a ²", "xx", "s")]), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "und", 2: "xx"}
+
+
 def test_given_weights_are_met_exactly(spark):
     weights = {"a": 0.9, "b": 0.05, "c": 0.05}
     docs = frame(spark, [(k, "t", "en", "a" if k < 900 else "b" if k < 950 else "c") for k in range(1000)])
