@@ -34,6 +34,8 @@ from .common import stored, table
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Rows of a task whose distances are held at a time.
 SLICE = 4096
+#: Distinct parts of a task in a round, and tasks at least.
+TASK_PARTS, LEAST_TASKS = 50_000, 8
 EXACT = 1 << 53
 
 
@@ -139,7 +141,7 @@ def lloyd(distinct: DataFrame, codebooks: np.ndarray, rounds: int = ROUNDS) -> n
         summed = found.select("part", "entry", "n", F.posexplode("sums").alias("at", "x"))
         added = summed.groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
         after = codebooks.copy()
-        for r in added.toLocalIterator():  # at most parts x entries x width rows
+        for r in added.collect():  # at most parts x entries x width rows
             after[r["part"], r["entry"], r["at"]] = int(r["x"]) // r["n"]
         codebooks = after.reshape(-1, codebooks.shape[1], width)
     return codebooks
@@ -176,6 +178,8 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     numbered = whole.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", "parts")
     rows = stored(numbered.select("row", "vec_id", "label", F.posexplode("parts").alias("part", "value")))
     distinct = stored(rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("weight")))
+    # a task returns a row of sums for every entry, so it should have many more parts than there are entries
+    distinct = distinct.coalesce(max(LEAST_TASKS, distinct.count() // TASK_PARTS))
     codebooks = lloyd(distinct, codebooks, rounds)
     coded = distinct.mapInArrow(_coded(codebooks), "part int, value binary, entry int, away long")
     back = rows.join(coded, ["part", "value"]).groupBy("row").agg(
