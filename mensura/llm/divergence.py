@@ -21,7 +21,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -37,7 +37,7 @@ from .common import stored, table
 LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 UNIT, ADDED = 1_000_000_000, 5
 #: Kept terms of an automaton pass, and sums that a task holds before it hands them on.
-VOCABULARY, HELD = 300_000, 300_000
+VOCABULARY, HELD = 300_000, 600_000
 #: Sources of a block, and terms of a chunk, of the pair sums.
 BLOCK, CHUNK = 128, 4_000
 #: Every byte that belongs to no term becomes a space, A-Z become a-z; bytes of other characters stay.
@@ -54,14 +54,14 @@ def _plain(text: bytes) -> bytes:
     return text.translate(_PLAIN)
 
 
-def _counted(names: tuple[str, ...], count: Callable[[], Callable[[bytes, tuple], tuple[tuple, dict]]]) -> Callable:
+def _counted(names: tuple[str, ...], count: Callable[[], Callable[[bytes, tuple], Iterable]], kind: pa.DataType) -> Callable:
     """A function for mapInArrow: counts of (group, term) added up over a task's documents and handed on when HELD are
-    held, as rows (names..., term, n)."""
-    schema = pa.schema([*((n, pa.string()) for n in names), ("term", pa.string()), ("n", pa.int64())])
+    held, as rows (names..., term, n); terms are bytes or numbers."""
+    schema = pa.schema([*((n, pa.string()) for n in names), ("term", kind), ("n", pa.int64())])
 
     def told(held: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
         for group, counts in held.items():
-            terms = pa.array(list(counts), pa.binary()).cast(pa.string())
+            terms = pa.array(list(counts), pa.binary() if kind == pa.string() else kind).cast(kind)
             columns = [pa.array([g] * len(terms), pa.string()) for g in group]
             yield pa.RecordBatch.from_arrays([*columns, terms, pa.array(list(counts.values()), pa.int64())], schema=schema)
 
@@ -91,48 +91,48 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
     def start() -> Callable:
         return lambda text, group: set(_plain(text).split())
 
-    counted = rows.select("text", "lang").mapInArrow(_counted(("lang",), start), "lang string, term string, n long")
+    counted = rows.select("text", "lang").mapInArrow(_counted(("lang",), start, pa.string()), "lang string, term string, n long")
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("df"))
 
 
-def automaton(terms: list[bytes]) -> ahocorasick.Automaton:
-    """Finds every delimiter-padded term; bytes stand for characters."""
+def automaton(terms: list[tuple[int, bytes]]) -> ahocorasick.Automaton:
+    """Finds the number of every delimiter-padded term; bytes stand for characters."""
     out = ahocorasick.Automaton()
-    for t in terms:
-        out.add_word(f" {t.decode('latin-1')} ", t)
+    for number, t in terms:
+        out.add_word(f" {t.decode('latin-1')} ", number)
     out.make_automaton()
     return out
 
 
 def occurrences(rows: DataFrame, kept: Broadcast) -> DataFrame:
-    """lang, source, term, n of the kept terms (terms by language) that occur."""
+    """lang, source, term (its number), n of the kept terms (numbers and terms by language) that occur."""
 
     def start() -> Callable:
         of: dict[str, ahocorasick.Automaton] = {}
 
-        def terms_of(text: bytes, group: tuple) -> Iterator[bytes]:
+        def terms_of(text: bytes, group: tuple) -> Iterator[int]:
             lang = group[0]
             if lang not in of:
                 of[lang] = automaton(kept.value.get(lang, []))
             if not len(of[lang]):
                 return iter(())
-            return (t for _, t in of[lang].iter(f" {_plain(text).decode('latin-1')} "))
+            return (number for _, number in of[lang].iter(f" {_plain(text).decode('latin-1')} "))
 
         return terms_of
 
-    counted = rows.mapInArrow(_counted(("lang", "source"), start), "lang string, source string, term string, n long")
+    counted = rows.mapInArrow(_counted(("lang", "source"), start, pa.int64()), "lang string, source string, term long, n long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def recounts(rows: DataFrame, kept: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
-    """lang, source, term, n by as many automaton passes as the kept vocabulary (lang, term) has parts."""
+    """lang, source, term, n by as many automaton passes as the kept vocabulary (lang, term, number) has parts."""
     context = rows.sparkSession.sparkContext
     parts = max(1, -(-kept.count() // vocabulary))
     out = None
     for part in range(parts):
-        terms: dict[str, list[bytes]] = {}
-        for r in kept.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toLocalIterator():  # about `vocabulary` rows at most
-            terms.setdefault(r["lang"], []).append(r["term"].encode())
+        terms: dict[str, list[tuple[int, bytes]]] = {}
+        for r in kept.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).collect():  # about `vocabulary` rows at most
+            terms.setdefault(r["lang"], []).append((r["number"], r["term"].encode()))
         found = occurrences(rows, context.broadcast(terms))
         # terms differ between the passes; each is stored, so that its vocabulary can go
         found = stored(found)
@@ -148,14 +148,14 @@ def _share(count: Column, total: Column, terms: Column) -> Column:
 
 def _pair_sums(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """One pair of blocks over one chunk of terms: the part of each pair's distance that comes from terms that occur.
-    Rows without a term name the sources with their share of an absent term."""
+    Rows of term -1 name the sources with their share of an absent term."""
     lang, i, j = key[0], key[1], key[2]
-    names = frame[frame["term"].isna()]
+    names = frame[frame["term"] < 0]
     sides = []
     for side in (0, 1) if i != j else (0,):
         mine = names[names["side"] == side]
         number = {s: k for k, s in enumerate(mine["source"])}
-        held = frame[frame["term"].notna() & (frame["side"] == side)]
+        held = frame[(frame["term"] >= 0) & (frame["side"] == side)]
         sides.append((mine["source"].tolist(), mine["share"].to_numpy(np.int64), held["source"].map(number).to_numpy(np.int64), held["term"].to_numpy(), held["share"].to_numpy(np.int64)))
     (a_names, a, a_at, a_term, a_share), (b_names, b, b_at, b_term, b_share) = sides[0], sides[-1]
     sums = np.zeros((len(a), len(b)), np.int64)
@@ -196,12 +196,12 @@ def _pair_sums(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_distances(groups: DataFrame, postings: DataFrame, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """lang, source, item, value of every ordered pair of sources of a language.  groups: lang, source, terms (V), absent (share);
-    postings: lang, source, term, share."""
-    sizes = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.max("terms") / chunk)).cast("int").alias("chunks"))
-    dealt = groups.join(sizes, "lang").select("lang", "source", F.col("absent").alias("share"), F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("own"), "blocks", "chunks")
-    every = dealt.select("*", F.lit(None).cast("string").alias("term"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    held = postings.join(sizes, "lang").select("lang", "source", "share", F.pmod(F.xxhash64("source"), "blocks").cast("int").alias("own"), "blocks", "chunks", "term", F.pmod(F.xxhash64("term"), "chunks").cast("int").alias("chunk"))
+    """lang, source, item, value of every ordered pair of sources of a language.  groups: lang, source, sources (of the language),
+    terms (V), absent (share); postings: lang, source, sources, terms, term, share."""
+    blocks, chunks = F.ceil(F.col("sources") / block).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("terms") / chunk)).cast("int")
+    own = F.pmod(F.xxhash64("source"), blocks).cast("int").alias("own")
+    every = groups.select("lang", "source", F.col("absent").alias("share"), own, blocks.alias("blocks"), F.lit(-1).cast("long").alias("term"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    held = postings.select("lang", "source", "share", own, blocks.alias("blocks"), "term", F.pmod(F.xxhash64("term"), chunks).cast("int").alias("chunk"))
     met = every.unionByName(held).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = met.select("lang", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "chunk", (F.col("own") > F.col("other")).cast("int").alias("side"), "source", "term", "share")
     found = task.groupBy("lang", "i", "j", "chunk").applyInPandas(_pair_sums, "lang string, source string, item string, value long")
@@ -214,19 +214,21 @@ def pair_distances(groups: DataFrame, postings: DataFrame, block: int = BLOCK, c
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, vocabulary: int = VOCABULARY, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """lang, source, part, item, value, rank: the sources' distances, and the terms that each overuses most."""
     rows = read(docs)
-    kept = stored(document_frequencies(rows).filter(F.col("df") >= least).select("lang", "term"))
+    kept = stored(document_frequencies(rows).filter(F.col("df") >= least).select("lang", "term", F.monotonically_increasing_id().alias("number")))
     counts = recounts(rows, kept, vocabulary)
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(terms, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["terms", "total"])
     # where no term is kept, no share is asked for
     absent = F.when(F.col("terms") > 0, _share(F.lit(0), F.col("total"), F.greatest("terms", F.lit(1)))).otherwise(F.lit(0)).alias("absent")
-    groups = stored(groups.select("lang", "source", "terms", "total", absent))
-    postings = stored(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", _share(F.col("n"), F.col("total"), F.col("terms")).alias("share")))
-
-    whole = groups.groupBy("lang").agg(F.sum("total").alias("all"), F.first("terms").alias("terms"))
-    usual = postings.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(whole, "lang").select("lang", "term", _share(F.col("n"), F.col("all"), F.col("terms")).alias("usual"))
-    over = postings.join(usual, ["lang", "term"]).filter("share > usual").select("lang", "source", F.col("term").alias("item"), (F.col("share") - F.col("usual")).alias("value"))
+    # a language's figures are joined to its sources, few rows; occurrences get them from there, by language and source
+    whole = groups.groupBy("lang").agg(F.sum("total").alias("all"), F.count(F.lit(1)).alias("sources"))
+    groups = stored(groups.select("lang", "source", "terms", "total", absent).join(whole, "lang"))
+    postings = stored(counts.join(groups, ["lang", "source"]).select("lang", "source", "term", "n", "all", "terms", "sources", _share(F.col("n"), F.col("total"), F.col("terms")).alias("share")))
+
+    usual = postings.groupBy("lang", "term", "all", "terms").agg(F.sum("n").alias("n")).select("lang", "term", _share(F.col("n"), F.col("all"), F.col("terms")).alias("usual"))
+    over = postings.join(usual, ["lang", "term"]).filter("share > usual").select("lang", "source", F.col("term").alias("number"), (F.col("share") - F.col("usual")).alias("value"))
+    over = over.join(kept.select("number", F.col("term").alias("item")), "number").select("lang", "source", "item", "value")
     best = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pair_distances(groups, postings, block, chunk).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(best).alias("rank"))
     over = over.select("lang", "source", F.lit("term").alias("part"), "item", "value", F.row_number().over(best).alias("rank")).filter(F.col("rank") <= top)

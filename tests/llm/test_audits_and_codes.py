@@ -276,8 +276,8 @@ def test_counts_are_handed_on_in_parts(spark, monkeypatch):
 
 
 def test_neighbouring_terms_share_their_delimiter():
-    found = [t for _, t in divergence.automaton([b"a", b"ab", b"b"]).iter(" a ab b b abb ")]
-    assert found == [b"a", b"ab", b"b", b"b"]
+    found = [t for _, t in divergence.automaton([(7, b"a"), (8, b"ab"), (9, b"b")]).iter(" a ab b b abb ")]
+    assert found == [7, 8, 9, 9]
 
 
 def test_audit_of_nothing(spark):
