@@ -72,12 +72,16 @@ def error_text(message: Column) -> Column:
 def validated(rows: DataFrame, by: str = "header") -> DataFrame:
     """Catalog rows with `kind`, `reason` (null: the row is good) and `parsed` (numbers, and dates, null where they are not of
     the form yyyy-mm-dd).  by='header': a file's columns tell its kind, labor before material, whatever the cells hold;
-    by='cells': each row's own non-blank cells do.  Columns that are absent count as blank."""
+    by='file': so does the `header` (names in lower case) that each row carries from its own file; by='cells': each row's own
+    non-blank cells do.  Columns that are absent count as blank."""
     lower = {c.lower() for c in rows.columns}
     value = lambda n: F.col(f"`{n}`").cast("string") if n in rows.columns else F.lit(None).cast("string")
     blank = lambda n: F.coalesce(value(n), F.lit("")) == ""
     if by == "header":
         kind = F.lit("labor" if lower & set(LABOR_COLUMNS) else "material" if lower & set(MATERIAL_COLUMNS) else None).cast("string")
+    elif by == "file":
+        has = lambda names: F.arrays_overlap("header", F.array(*map(F.lit, names)))
+        kind = F.when(has(LABOR_COLUMNS), "labor").when(has(MATERIAL_COLUMNS), "material")
     else:
         some = lambda names: ~(blank(names[0]) & blank(names[1]))
         kind = F.when(some(LABOR_COLUMNS), "labor").when(some(MATERIAL_COLUMNS), "material")
@@ -99,16 +103,16 @@ def import_report(checked: DataFrame) -> DataFrame:
     return checked.agg(F.count_if(F.col("reason").isNull()).alias("successful"), F.count_if(F.col("reason").isNotNull()).alias("failed"))
 
 
-def accepted_prices(checked: DataFrame) -> DataFrame:
-    """Good material rows of validated() as prices; row numbers give their order."""
+def accepted_prices(checked: DataFrame, *more: str) -> DataFrame:
+    """Good material rows of validated() as prices; row numbers give their order.  more: further columns that stay."""
     good = checked.filter("reason IS NULL AND kind = 'material'")
-    return good.select("material_name", F.lit(CURRENCY).alias("currency"), "parsed.unit_price", "parsed.effective_from", "parsed.effective_to", F.col("row").cast("long").alias("seq"))
+    return good.select("material_name", F.lit(CURRENCY).alias("currency"), "parsed.unit_price", "parsed.effective_from", "parsed.effective_to", F.col("row").cast("long").alias("seq"), *more)
 
 
-def accepted_labor(checked: DataFrame) -> DataFrame:
+def accepted_labor(checked: DataFrame, *more: str) -> DataFrame:
     """Good labor rows of validated() as rates."""
     good = checked.filter("reason IS NULL AND kind = 'labor'")
-    return good.select(F.col("rate_name").alias("name"), "parsed.productivity_rate", "parsed.hourly_rate", "parsed.category", "parsed.effective_from", "parsed.effective_to", F.col("row").cast("long").alias("seq"))
+    return good.select(F.col("rate_name").alias("name"), "parsed.productivity_rate", "parsed.hourly_rate", "parsed.category", "parsed.effective_from", "parsed.effective_to", F.col("row").cast("long").alias("seq"), *more)
 
 
 def upsert_prices(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from mensura.functions.numbers import correctly_rounded
 from mensura.functions.texts import scale_denominator
-from mensura.operators.spatial import keep_first
+from mensura.operators.chains import ranks
+from mensura.operators.spatial import components, keep_first, kept
 
 
 def points_of(items: Column) -> Column:
@@ -33,17 +34,63 @@ def length(points: Column, scale: Column) -> Column:
     return correctly_rounded(raw_length(points) * scale_denominator(scale), 3)
 
 
-def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str]) -> DataFrame:
+def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str], order: str = "sorted", tolerance: float = 1e-6) -> DataFrame:
     """Lengths of clusters (cluster_id, ord, scale, members: array<string>) over paths (id, layer, points).  The first
-    member's layer must be a route layer; all members' points are pooled and sorted; of clusters with the same
-    members the first counts."""
+    member's layer must be a route layer; of clusters with the same members the first counts.  order='sorted': all members'
+    points are pooled and sorted; order='path': members are chained at ends that meet (run_order), and the lengths of the
+    polylines added up, so that a run's length does not depend on how its members are listed or drawn."""
     counted = clusters.filter(~((F.col("cluster_id") == -1) & (F.size("members") <= 1)))
     known = paths.select("id", "layer", "points")
     # the first member's layer decides, before any points move
     first = counted.select("ord", F.try_element_at("members", F.lit(1)).alias("id")).join(known.select("id", "layer"), "id").filter(F.col("layer").isin(route_layers)).select("ord", "layer")
     chosen = counted.join(first, "ord")
-    joined = chosen.select("ord", F.explode("members").alias("id")).join(known.select("id", "points"), "id").select("ord", F.explode("points").alias("p"))
-    pooled = joined.groupBy("ord").agg(F.array_sort(F.collect_list("p")).alias("points"))
-    routes = chosen.join(pooled, "ord").filter(F.size("points") >= 2).select(*[c for c in clusters.columns], "layer", "points")
-    measured = routes.withColumn("length_m", length(F.col("points"), F.col("scale")))
+    members = chosen.select("ord", F.explode("members").alias("id")).join(known.select("id", "points"), "id")
+    if order == "path":
+        lines = run_order(members, "ord", tolerance).withColumn("points", F.flatten("polylines"))
+        routes = chosen.join(lines, "ord").select(*[c for c in clusters.columns], "layer", "points", "polylines")
+        total = F.aggregate(F.transform("polylines", raw_length), F.lit(0.0), lambda a, b: a + b)
+        measured = routes.withColumn("length_m", correctly_rounded(total * scale_denominator(F.col("scale")), 3))
+    else:
+        pooled = members.select("ord", F.explode("points").alias("p")).groupBy("ord").agg(F.array_sort(F.collect_list("p")).alias("points"))
+        routes = chosen.join(pooled, "ord").filter(F.size("points") >= 2).select(*[c for c in clusters.columns], "layer", "points")
+        measured = routes.withColumn("length_m", length(F.col("points"), F.col("scale")))
     return keep_first(measured, F.array_join(F.array_sort("members"), ","), [F.col("ord")])
+
+
+def run_order(members: DataFrame, group: str = "ord", tolerance: float = 1e-6) -> DataFrame:
+    """group, polylines: the members (group, id, points in their own order) of every run chained end to end.
+
+    Ends that round to the same multiple of `tolerance` meet.  Two ends that meet alone are joined; where three or more
+    meet, polylines end.  Each polyline starts at its smaller end (x, then y, then id), a closed one there where its cut gives the
+    smallest start; members of fewer than two points have no ends and are left out."""
+    whole = lambda v: F.round(v / tolerance).cast("long")
+    first, last = F.col("points")[0], F.try_element_at("points", F.lit(-1))
+    node = lambda p: F.struct(whole(p["x"]).alias("x"), whole(p["y"]).alias("y"))
+    lines = kept(members.filter(F.size("points") >= 2).select(F.col(group).alias("g"), "id", "points", F.monotonically_increasing_id().alias("e")))
+    way = lambda k, a, b: F.struct(F.lit(k).alias("way"), node(a).alias("a"), node(b).alias("b"))
+    half = lines.select("g", "id", "e", F.explode(F.array(way(0, first, last), way(1, last, first))).alias("w"))
+    half = kept(half.select("g", "id", "e", (F.col("e") * 2 + F.col("w.way")).alias("h"), F.col("w.a").alias("a")))
+    meeting = half.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), F.max("h").alias("two"))
+    around = half.join(meeting, ["g", "a"]).select("h", F.when(F.col("n") == 2, F.col("one") + F.col("two") - F.col("h")).alias("other"))
+    links = kept(around.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("node"), F.col("other").alias("next")))
+
+    # members of a chain have one label, the smallest of them; a chain without ends is cut before that one
+    joined = links.filter("next IS NOT NULL").select(F.shiftright("node", 1).alias("a"), F.shiftright("next", 1).alias("b"))
+    labels = components(joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ended = links.filter("next IS NULL").select(F.shiftright("node", 1).alias("e")).distinct()
+    chained = lines.select("e").join(labels.select(F.col("node").alias("e"), "component"), "e", "left").select("e", F.coalesce("component", "e").alias("chain"))
+    open_ = chained.join(ended, "e").select("chain").distinct().withColumn("open", F.lit(True))
+    # an order of its members that does not depend on their rows
+    cuts = chained.join(open_, "chain", "left_anti").join(half.select("e", "id", "a"), "e").groupBy("chain").agg(F.min(F.struct("a", "id", "e")).alias("m")).select(F.col("m.e").alias("cut"))
+    closed = links.join(cuts, F.shiftright(links["next"], 1) == cuts["cut"], "left")
+    linked = closed.select("node", F.when(F.col("cut").isNull(), F.col("next")).alias("next"))
+    placed = half.join(ranks(linked).withColumnRenamed("node", "h"), "h").join(chained, "e")
+    # a chain is walked both ways; its smaller start decides
+    starts = placed.groupBy("g", "chain", "last").agg(F.max_by(F.struct("a", "id", "h"), "after").alias("start"))
+    chosen = starts.groupBy("g", "chain").agg(F.min(F.struct("start", "last")).alias("m")).select("chain", F.col("m.last").alias("last"), F.col("m.start").alias("start"))
+    parts = placed.join(chosen.select("chain", "last"), ["chain", "last"]).join(lines.select("e", "points"), "e")
+    oriented = F.when(F.col("h") % 2 == 0, F.col("points")).otherwise(F.reverse("points"))
+    line = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), oriented.alias("points")))), lambda m: m["points"]))
+    whole_lines = parts.groupBy("g", "chain").agg(line.alias("line")).join(chosen.select("chain", F.col("start.a").alias("from"), F.col("start.id").alias("of")), "chain")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("from", "of", "line"))), lambda m: m["line"])
+    return whole_lines.groupBy("g").agg(in_order.alias("polylines")).withColumnRenamed("g", group)

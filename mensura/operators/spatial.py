@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 60
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, stored in the folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names (a temporary one where it is unset)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, stored in the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -127,7 +133,9 @@ def cluster_records(labelled: DataFrame, noise: str = "aggregate", group: str =
 
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key, by an explicit order."""
-    return df.withColumn("__key", key).withColumn("__n", F.row_number().over(W.partitionBy("__key").orderBy(*order))).filter("__n = 1").drop("__key", "__n")
+    number = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    # the rows pass as one column, so that no name of theirs can clash
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row"), number.alias("n")).filter("n = 1").select("row.*")
 
 
 def components_counted(records: DataFrame, layers: DataFrame) -> DataFrame:

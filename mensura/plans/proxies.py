@@ -32,9 +32,14 @@ VIEWS = {
     # catalog files: one of materials, one of labor rates, with numbers and dates that are none
     "imported_materials": "SELECT CAST(p_partkey + 1 AS BIGINT) AS row, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE 'material ' || CAST(p_partkey % 50 AS STRING) END AS material_name, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'ea' END AS unit, CASE WHEN p_partkey % 17 = 0 THEN 'n/a' WHEN p_partkey % 19 = 0 THEN '' WHEN p_partkey % 23 = 0 THEN '12d' WHEN p_partkey % 29 = 0 THEN '1.5f' WHEN p_partkey % 31 = 0 THEN '1_000' WHEN p_partkey % 37 = 0 THEN 'nan' WHEN p_partkey % 41 = 0 THEN '+2.5e1' WHEN p_partkey % 43 = 0 THEN '.5' ELSE CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING) END AS unit_price, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '2024-02-30' WHEN 2 THEN 'soon' ELSE '20' || CAST(10 + p_size % 13 AS STRING) || '-07-15' END AS effective_from, CASE WHEN p_size % 3 = 0 THEN '2031-01-31' ELSE '' END AS effective_to FROM {part}",
     "imported_labor": "SELECT CAST(1 + s_suppkey AS BIGINT) AS row, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE 'crew ' || CAST(s_suppkey % 20 AS STRING) END AS rate_name, CASE WHEN s_suppkey % 7 = 0 THEN 'fast' ELSE CAST(s_suppkey AS STRING) END AS productivity_rate, CASE WHEN s_suppkey % 3 = 0 THEN '' WHEN s_suppkey % 8 = 0 THEN '4 5' ELSE '45' END AS hourly_rate, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'c' || CAST(s_nationkey AS STRING) END AS category, CASE WHEN s_suppkey % 4 = 1 THEN '2024-05-0' || CAST(1 + s_suppkey % 9 AS STRING) ELSE 'never' END AS effective_from FROM {supplier}",
+    # prices of companies, regions and suppliers, open to all where null, with days of validity
+    "scoped_prices": "SELECT 'part ' || CAST(p_partkey % 97 AS STRING) AS material_name, CASE WHEN p_partkey % 3 = 0 THEN 'company ' || CAST(p_partkey % 4 AS STRING) END AS company, CASE WHEN p_partkey % 5 < 2 THEN 'region ' || CAST(k.n_regionkey AS STRING) END AS region, CASE WHEN p_partkey % 7 = 1 THEN 'supplier ' || CAST(p_size % 6 AS STRING) END AS supplier, CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) + k.n_nationkey AS unit_price, CASE WHEN p_size % 11 = 0 THEN CAST(NULL AS DATE) ELSE CAST('199' || CAST(1 + p_size % 8 AS STRING) || '-0' || CAST(1 + k.n_nationkey % 9 AS STRING) || '-10' AS DATE) END AS effective_from, CASE WHEN p_partkey % 4 = 3 THEN CAST(NULL AS DATE) ELSE CAST('199' || CAST(2 + p_partkey % 8 AS STRING) || '-0' || CAST(1 + p_size % 9 AS STRING) || '-10' AS DATE) END AS effective_to, p_partkey * 10 + k.n_nationkey AS seq FROM {part} JOIN {nation} k ON k.n_nationkey < 4",
+    "scoped_requests": "SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS ask_id, 'part ' || CAST(l_partkey % 101 AS STRING) AS material_name, 'company ' || CAST(l_suppkey % 4 AS STRING) AS company, 'region ' || CAST(l_orderkey % 5 AS STRING) AS region, CASE WHEN l_linenumber < 3 THEN 'supplier ' || CAST(l_suppkey % 6 AS STRING) END AS supplier, CAST(l_shipdate AS DATE) AS asked_on FROM {lineitem}",
     "requests": f"SELECT p_partkey AS request_id, {_choice('(p_partkey % 10)', ['access_control_door', 'cable_tray', 'conduit', 'distribution_board', 'lighting_outlet', 'power_outlet', 'socket_outlet', 'switch', 'fountain', None])} AS component_type, CASE p_size % 4 WHEN 0 THEN 'switch' WHEN 1 THEN 'no_such_rule' WHEN 2 THEN '' ELSE CAST(NULL AS STRING) END AS rule_name FROM {{part}}".replace("{{", "{").replace("}}", "}"),
     "stored_rules": f"SELECT coalesce({_choice('n_nationkey', ['access_control_door', 'cable_tray', 'conduit', 'switch'])}, 'own ' || n_name) AS name, CASE n_nationkey % 2 WHEN 0 THEN '1.0.0' ELSE '0.9.0' END AS rule_version, CAST(n_nationkey + 1 AS DOUBLE) AS old_quantity FROM {{nation}}".replace("{{", "{").replace("}}", "}"),
     "sheet_paths": f"SELECT vec_id AS ord, 'p' || CAST(vec_id AS STRING) AS id, CASE vec_id % 2 WHEN 0 THEN 'Brand#11' ELSE 'Brand#12' END AS sheet, {_choice('label', _LAYERS)} AS layer, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 AS x0, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 AS y0, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 + 1 AS x1, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 + 2 AS y1 FROM {{embeddings}}".replace("{{", "{").replace("}}", "}"),
+    # rooms of 40 parts a sheet: four walls each, and a partition from corner to wall
+    "wall_segments": "SELECT sheet, CASE k WHEN 1 THEN x + w WHEN 2 THEN x + w WHEN 4 THEN CASE WHEN odd = 1 THEN x + w ELSE x END ELSE x END AS x0, CASE k WHEN 2 THEN y + h WHEN 3 THEN y + h ELSE y END AS y0, CASE k WHEN 0 THEN x + w WHEN 1 THEN x + w WHEN 4 THEN CASE WHEN odd = 1 THEN x + w - least(w, h) ELSE x + least(w, h) END ELSE x END AS x1, CASE k WHEN 0 THEN y WHEN 3 THEN y WHEN 4 THEN y + least(w, h) ELSE y + h END AS y1 FROM (SELECT 'S' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) AS sheet, CAST((p_partkey * 7919) % 61 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 47 AS DOUBLE) AS y, CAST(2 + p_size % 17 AS DOUBLE) AS w, CAST(1 + p_size % 11 AS DOUBLE) AS h, p_partkey % 2 AS odd, k.n_nationkey AS k FROM {part} JOIN {nation} k ON k.n_nationkey < 5) r",
     "overlays": "SELECT 'p' || CAST(p_partkey % 400 AS STRING) AS id, p_partkey AS ord, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 2 AS DOUBLE) END AS y, CAST(10 AS DOUBLE) AS width, CAST(p_size % 3 AS DOUBLE) AS height FROM {part}",
     "schedules": "SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'Load (kg): ' || CAST(p_size * 10 AS STRING) WHEN 1 THEN 'ramp %' || CAST(p_size % 9 AS STRING) || '.5 - ' || CAST(p_size AS STRING) || 'cm' WHEN 2 THEN 'slot PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(10 + p_size % 80 AS STRING) WHEN 3 THEN p_name ELSE CAST(NULL AS STRING) END AS text FROM {part}",
     "ocr": "SELECT p_partkey AS ord, p_brand AS page, CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || ': ' || p_type WHEN 1 THEN p_type || ' (' || replace(p_name, ' ', '_') || ')' WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN 'Scale 1:' || CAST(p_size AS STRING) WHEN 4 THEN 'Legend of ' || p_name ELSE p_name END AS text, CAST(p_size * 20 AS DOUBLE) AS y0, CAST(p_partkey % 101 AS DOUBLE) AS confidence FROM {part}",
@@ -49,6 +54,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **tables)
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The view over its tables as streams (for views that need no state).  A stream takes a folder or a pattern, not a file."""
+    text = VIEWS[name].replace("@1", "0").replace("@2", "1")
+    paths = {t: os.path.join(sf_dir, f"{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
+    return spark.sql(text, **{t: spark.readStream.schema(spark.read.parquet(p).schema).parquet(f"{p}*") for t, p in paths.items()})
+
+
 def cte(*names: str) -> str:
     """The views as common table expressions for DuckDB."""
     plain = lambda n: re.sub(r"\{(\w+)\}", r"\1", VIEWS[n]).replace("@1", "1").replace("@2", "2")

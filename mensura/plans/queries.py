@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.functions import confidence, numbers, review, shapes, texts, uploads
-from mensura.operators import catalog, routes, spatial
+from mensura.operators import catalog, legends, routes, spatial
 from mensura.plans import boq
 from mensura.plans.proxies import cte, view
 from mensura.sources import records, rules, schemas, sinks
@@ -661,12 +661,8 @@ def legend_match(spark: SparkSession, d: str) -> DataFrame:
     part = spark.read.parquet(f"{d}/part.parquet")
     name = F.replace("p_name", F.lit(" "), F.lit("_"))
     symbol = F.when(F.col("p_partkey") % 3 == 0, name).when(F.col("p_partkey") % 3 == 1, F.split_part("p_name", F.lit(" "), F.lit(2))).otherwise(F.concat(F.lit("X "), name))
-    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("page"), symbol.alias("symbol")).withColumn("low", F.lower("symbol"))
-    found = symbols.join(_legend(spark, d), "page").filter(F.col("name").contains(F.col("low")) | F.col("low").contains(F.col("name")))
-    same = F.col("low") == F.col("name")
-    best = found.groupBy("symbol_id").agg(F.min_by(F.struct("symbol", F.col("name").alias("legend_key"), "description", same.alias("same")), F.struct(~same, "ord")).alias("m"))
-    method = F.when(F.col("m.same"), "exact_match").otherwise("substring_match")
-    return best.select("symbol_id", "m.symbol", "m.legend_key", "m.description", method.alias("method"), F.when(F.col("m.same"), 1.0).otherwise(0.7).alias("confidence"))
+    symbols = part.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("page"), symbol.alias("symbol"))
+    return legends.matched(symbols, _legend(spark, d)).drop("page")
 
 
 @registered("legend_best_text", f"""WITH {cte("ocr")}, scored AS (SELECT *, (confidence / 100) * (1 - y0 / 2000) AS score FROM ocr WHERE regexp_matches(lower(text), 'legend|symbol|key|table|note|scale') OR len(regexp_split_to_array(trim(text), '\\s+')) BETWEEN 3 AND 20)
@@ -792,3 +788,7 @@ def e2e_boq(spark: SparkSession, d: str) -> DataFrame:
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     paths = view(spark, d, "sheet_paths").withColumn("points", F.array(at("x0", "y0"), at("x1", "y1")))
     return boq.run(spark, paths, view(spark, d, "spans"), view(spark, d, "prices"), 10.0)
+
+
+# further queries register themselves
+from mensura.plans import catalog_queries, geometry_queries  # noqa: E402, F401

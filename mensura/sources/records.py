@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import io
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mensura.operators.spatial import kept
+from mensura.sources.workbooks import workbook_rows
+
 PATHS_SCHEMA = "sheet string, page_number int, ordinal long, id string, type string, items array<struct<op:string,pts:array<struct<x:double,y:double>>>>, bbox struct<x0:double,y0:double,x1:double,y1:double>, layer string, width double"
 SPANS_SCHEMA = "sheet string, page_number int, ordinal long, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, font string, size double"
 
@@ -64,42 +62,16 @@ def read_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalog_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The active sheets of workbooks, as read_catalog_csv gives files (empty and zero cells are empty strings; numbers and
-    dates as the file stores them).  Each workbook is read by one task; the driver gets the column names only."""
+    """The active sheets of workbooks, as read_catalog_csv gives files (empty and zero cells are empty strings), also on stores
+    that only Spark reaches.  Each workbook is read once, by one task; the driver gets the column names only, which
+    workbooks without rows have, too."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                names, *rows = [*sheet_rows(content), []][: 1_048_577]
-                names = [str(n or "").strip() for n in names]
-                cells = [{n: (str(x).strip() if x and x != "0" else "") for n, x in zip(names, r) if n} for r in rows if r]
-                yield pd.DataFrame({"row": range(2, len(cells) + 2), "cells": cells, "names": [[n for n in names if n]] * len(cells)})
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row int, cells map<string,string>, names array<string>")
-    names = [r["n"] for r in found.filter("row = 2").select(F.posexplode("names").alias("k", "n")).groupBy("n").agg(F.min("k").alias("k")).orderBy("k", "n").collect()]
-    return found.select("row", *[F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names])
-
-
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-
-
-def sheet_rows(content: bytes) -> list[list[str | None]]:
-    """The rows of a workbook's active sheet as stored texts, by the parts of the Office Open XML format."""
-    book = zipfile.ZipFile(io.BytesIO(content))
-    part = lambda name: ElementTree.fromstring(book.read(name))
-    text = lambda e: "".join(t.text or "" for t in e.iter(f"{_SHEET}t"))
-    shared = [text(e) for e in part("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in book.namelist() else []
-    view = part("xl/workbook.xml").find(f".//{_SHEET}workbookView")
-    sheets = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-    out: list[list[str | None]] = []
-    for row in part(sheets[int(view.get("activeTab", 0)) if view is not None else 0]).iter(f"{_SHEET}row"):
-        cells: list[str | None] = []
-        for k, c in enumerate(row.iter(f"{_SHEET}c")):
-            letters = re.match(r"[A-Z]*", c.get("r", ""))[0]
-            at = functools.reduce(lambda n, x: 26 * n + ord(x) - 64, letters, 0) - 1 if letters else k
-            stored = c.find(f"{_SHEET}v")
-            value = text(c) if c.get("t") == "inlineStr" else None if stored is None else shared[int(stored.text)] if c.get("t") == "s" else stored.text
-            cells += [None] * (at + 1 - len(cells))
-            cells[at] = value
-        out.append(cells)
-    return out
+                names, rows = workbook_rows(content)
+                yield pd.DataFrame({"row": range(1, len(rows) + 2), "cells": [dict.fromkeys(names, ""), *rows], "names": [names] + [[]] * len(rows)})
+
+    found = kept(spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "row int, cells map<string,string>, names array<string>"))
+    names = [r["n"] for r in found.filter("row = 1").select(F.posexplode("names").alias("k", "n")).groupBy("n").agg(F.min("k").alias("k")).orderBy("k", "n").collect()]
+    return found.filter("row > 1").select("row", *[F.coalesce(F.try_element_at("cells", F.lit(n)), F.lit("")).alias(n) for n in names])
