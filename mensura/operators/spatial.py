@@ -61,17 +61,28 @@ def links(points: DataFrame, eps: float, group: str = "layer") -> DataFrame:
 
 
 def near_boxes(boxes: DataFrame, reach: float, group: str = "layer") -> DataFrame:
-    """group, a, b for all ordered pairs of boxes (group, ord, x0..y1) of a group whose gap is at most reach.  A box stands in
-    every cell that it covers when it is widened by half the reach; a pair counts in the smallest cell that both have."""
-    side, wide = max(reach, 1e-9) * 4, reach / 2
-    low, high = lambda c: F.floor((F.col(c) - wide) / side).cast("long"), lambda c: F.floor((F.col(c) + wide) / side).cast("long")
-    spread = boxes.select(F.col(group).alias("g"), "ord", "x0", "y0", "x1", "y1", low("x0").alias("lx"), low("y0").alias("ly"), F.explode(F.sequence(low("x0"), high("x1"))).alias("x"))
-    spread = spread.withColumn("y", F.explode(F.sequence(low("y0"), high("y1"))))
-    other = spread.select("g", "x", "y", *[F.col(c).alias(f"o_{c}") for c in ("ord", "x0", "y0", "x1", "y1", "lx", "ly")])
-    met = spread.join(other, ["g", "x", "y"]).filter("ord != o_ord").filter((F.col("x") == F.greatest("lx", "o_lx")) & (F.col("y") == F.greatest("ly", "o_ly")))
+    """group, a, b for all ordered pairs of boxes (group, ord, x0..y1) of a group whose gap is at most reach.
+
+    A box's level is the power of two that holds it, widened by the reach: its cells at that level and at each wider one that
+    occurs are four at most, whatever its size.  Two boxes meet at the level of the larger one, and count in the first cell
+    that both have."""
+    wide, finest = reach / 2, -30
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + reach
+    sized = kept(boxes.select(F.col(group).alias("g"), "ord", "x0", "y0", "x1", "y1", F.ceil(F.log2(F.greatest(extent, F.lit(2.0**finest)))).cast("int").alias("level")))
+    levels = sorted(r["level"] for r in sized.select("level").distinct().collect() if r["level"] is not None)  # powers of two: a few dozen
+    side = F.pow(F.lit(2.0), F.col("at"))
+    cell = lambda c, by: F.floor((F.col(c) + by) / side).cast("long")
+    spread = sized.withColumn("at", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda k: k >= F.col("level"))))
+    spread = spread.withColumns({"lx": cell("x0", -wide), "ly": cell("y0", -wide), "hx": cell("x1", wide), "hy": cell("y1", wide)})
+    spread = spread.withColumn("x", F.explode(F.sequence("lx", "hx"))).withColumn("y", F.explode(F.sequence("ly", "hy"))).drop("hx", "hy")
+    other = spread.select("g", "at", "x", "y", *[F.col(c).alias(f"o_{c}") for c in ("ord", "x0", "y0", "x1", "y1", "lx", "ly", "level")])
+    met = spread.filter("at = level").join(other, ["g", "at", "x", "y"]).filter((F.col("o_level") < F.col("level")) | (F.col("ord") < F.col("o_ord")))
+    met = met.filter((F.col("x") == F.greatest("lx", "o_lx")) & (F.col("y") == F.greatest("ly", "o_ly")))
     apart = lambda a, b: F.greatest(F.col(f"o_{a}") - F.col(b), F.col(a) - F.col(f"o_{b}"), F.lit(0.0))
     dx, dy = apart("x0", "x1"), apart("y0", "y1")
-    return met.filter(dx * dx + dy * dy <= reach * reach).select(F.col("g").alias(group), F.col("ord").alias("a"), F.col("o_ord").alias("b"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    pairs = met.filter(dx * dx + dy * dy <= reach * reach).select("g", F.explode(F.array(way("ord", "o_ord"), way("o_ord", "ord"))).alias("p"))
+    return pairs.select(F.col("g").alias(group), "p.a", "p.b")
 
 
 def box_clusters(boxes: DataFrame, reach: float, group: str = "layer") -> DataFrame:
@@ -82,40 +93,65 @@ def box_clusters(boxes: DataFrame, reach: float, group: str = "layer") -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) for edges (a, b) given both ways: labels fall to the smallest of the
-    neighbours' and jump to their own label's label until nothing changes."""
-    edges = kept(edges.select("a", "b").distinct())
-    labels = kept(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    total = labels.agg(F.sum("component")).first()[0]
+    """node, component (smallest node reachable) for edges (a, b), given one way or both.
+
+    Every node's neighbours are linked to the smallest of them, larger neighbours first and then smaller ones, until links go
+    from each node straight to its component: a logarithm of rounds, each stored, none with more rows than there are edges."""
+    mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+    links_ = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    alone = links_.select(F.col("b").alias("node")).distinct()
+    links_ = links_.filter("a != b")
+    before = mark(links_)
     for _ in range(MAX_ROUNDS):
-        around = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        fallen = labels.join(around, "node").select("node", F.least("component", "near").alias("component"))
-        jump = fallen.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        labels = kept(fallen.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component")))
-        before, total = total, labels.agg(F.sum("component")).first()[0]
-        if before == total:
-            return labels
+        around = links_.select("a", "b").union(links_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        larger = around.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        smallest = larger.groupBy("a").agg(F.min("b").alias("m"))
+        smaller = larger.join(smallest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        links_ = kept(smaller.filter("a != b").distinct())
+        last, before = before, mark(links_)
+        if last == before:
+            told = links_.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = alone.join(told.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
+            return told.unionByName(roots)
     raise RuntimeError(f"components not found in {MAX_ROUNDS} rounds")
 
 
 def dbscan(points: DataFrame, eps: float, min_pts: int = 2, group: str = "layer") -> DataFrame:
     """The points with `label`: the smallest core point of their cluster, -1 for noise.  A border point belongs to the
-    cluster of the smallest label among its core neighbours.  With min_pts of 2 every point with a neighbour is a core
-    point, so that linear links do; else neighbours are counted over all pairs."""
+    cluster of the smallest label among its core neighbours.
+
+    With min_pts of 2 every point with a neighbour is a core point.  Else points are counted by cells of diagonal eps first: all
+    points of a cell that holds min_pts are core points, and only those of thinner cells have their neighbours counted, so
+    that no point of a dense cell is compared for it.  Core points are connected by linear links; no pairs are stored."""
     if min_pts <= 2:
         labels = components(links(points, eps, group))
         return points.join(labels, points["ord"] == labels["node"], "left").select(points["*"], F.coalesce("component", F.lit(-1)).alias("label"))
-    pairs = kept(near(points, eps, group).select("a", "b"))
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    core = kept(degree.filter(F.col("n") + 1 >= min_pts).select(F.col("a").alias("core")))
-    between = pairs.join(core, pairs["a"] == core["core"]).drop("core").join(core, F.col("b") == core["core"]).drop("core")
-    alone = core.join(between.select(F.col("a").alias("core")).distinct(), "core", "left_anti").select(F.col("core").alias("node"), F.col("core").alias("component"))
-    labels = components(between).unionByName(alone)
-    border = pairs.join(core, pairs["a"] == core["core"], "left_anti").join(labels, F.col("b") == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("component"))
+    side = eps / 2**0.5 * (1 - 1e-9)
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = kept(points.select(F.col(group).alias("g"), "ord", "cx", "cy", cell("cx").alias("x"), cell("cy").alias("y")))
+    sizes = placed.groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    crowded = placed.join(sizes, ["g", "x", "y"])
+    thin = kept(crowded.filter(F.col("n") < min_pts).drop("n"))
+    core = kept(crowded.filter(F.col("n") >= min_pts).drop("n").unionByName(_with_neighbours(thin, placed, eps).groupBy("g", "ord", "cx", "cy", "x", "y").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pts).drop("n")))
+    labels = components(links(core, eps, "g"))
+    alone = core.select(F.col("ord").alias("node")).join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+    labels = kept(labels.unionByName(alone))
+    named = core.join(labels, core["ord"] == labels["node"]).select(*core.columns, "component")
+    border = _with_neighbours(thin.join(core.select("ord"), "ord", "left_anti"), named, eps).groupBy(F.col("ord").alias("node")).agg(F.min("o_component").alias("component"))
     labels = labels.unionByName(border)
     return points.join(labels, points["ord"] == labels["node"], "left").select(points["*"], F.coalesce("component", F.lit(-1)).alias("label"))
 
 
+def _with_neighbours(some: DataFrame, others: DataFrame, eps: float) -> DataFrame:
+    """Points (g, ord, cx, cy, x, y: their cell of diagonal eps) with each of the others (o_...) within eps of them."""
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in range(-2, 3) for dy in range(-2, 3)])
+    spread = some.withColumn("d", F.explode(steps)).withColumns({"nx": F.col("x") + F.col("d.dx"), "ny": F.col("y") + F.col("d.dy")}).drop("d")
+    other = others.select(F.col("g"), *[F.col(c).alias(f"o_{c}") for c in others.columns if c not in ("g", "x", "y")], F.col("x").alias("nx"), F.col("y").alias("ny"))
+    gap = (F.col("cx") - F.col("o_cx")) * (F.col("cx") - F.col("o_cx")) + (F.col("cy") - F.col("o_cy")) * (F.col("cy") - F.col("o_cy"))
+    return spread.join(other, ["g", "nx", "ny"]).filter(gap <= eps * eps)
+
+
 def cluster_records(labelled: DataFrame, noise: str = "aggregate", group: str = "layer", min_pts: int = 2) -> DataFrame:
     """One record per cluster: members in input order, their box, the first member's centre.  Noise points are a
     record each and, unless noise='singletons', also one record together; groups of fewer than min_pts points have
@@ -160,3 +196,61 @@ def nearest(texts: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     found = left.join(right, ["gx", "gy"]).withColumn("d2", squared).filter(F.col("d2") <= reach * reach)
     best = found.groupBy("text_id").agg(F.min(F.struct("d2", "target_id")).alias("m"))
     return best.select("text_id", "m.target_id", F.sqrt("m.d2").alias("distance"))
+
+
+def nearest_of_all(texts: DataFrame, targets: DataFrame, group: str = "sheet") -> DataFrame:
+    """group, text_id, target_id, distance: the nearest target of its group for each text, however far; ties to the smaller
+    target.  A text of a group without targets has none.
+
+    Texts look in the nine cells around them of a grid with about one target a cell, or a coarser one for those outside of the
+    targets' box; whoever has found a target nearer than the cell's side has found the nearest, the others look again in
+    cells of twice the side."""
+    held = kept(targets.select(F.col(group).alias("g"), "target_id", F.col("x").alias("tx"), F.col("y").alias("ty")).filter("tx IS NOT NULL AND ty IS NOT NULL"))
+    box = held.groupBy("g").agg(F.min("tx").alias("bx0"), F.max("tx").alias("bx1"), F.min("ty").alias("by0"), F.max("ty").alias("by1"), F.count(F.lit(1)).alias("n"))
+    box = kept(box.withColumn("side", F.greatest(F.greatest(F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")) / F.sqrt("n"), F.lit(1e-9))))
+    outside = F.greatest(F.col("bx0") - F.col("x"), F.col("x") - F.col("bx1"), F.col("by0") - F.col("y"), F.col("y") - F.col("by1"), F.lit(0.0))
+    rows = texts.select(F.col(group).alias("g"), "text_id", "x", "y").filter("x IS NOT NULL AND y IS NOT NULL").join(box, "g")
+    open_ = kept(rows.select("g", "text_id", "x", "y", "side", F.ceil(F.log2(F.greatest(outside / F.col("side"), F.lit(1.0)))).cast("int").alias("level")))
+    found: DataFrame | None = None
+    steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    reach = F.col("side") * F.pow(F.lit(2.0), F.col("level"))
+    for _ in range(MAX_ROUNDS):
+        levels = sorted(r["level"] for r in open_.select("level").distinct().collect())  # powers of two: a few dozen
+        if not levels:
+            return found if found is not None else open_.select(F.col("g").alias(group), "text_id", F.lit(None).cast(held.schema["target_id"].dataType).alias("target_id"), F.lit(0.0).alias("distance"))
+        spread = held.join(box.select("g", "side"), "g").withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("d", F.explode(steps))
+        spread = spread.select("g", "level", "target_id", "tx", "ty", (F.floor(F.col("tx") / reach) + F.col("d.dx")).alias("gx"), (F.floor(F.col("ty") / reach) + F.col("d.dy")).alias("gy"))
+        squared = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
+        met = open_.withColumns({"gx": F.floor(F.col("x") / reach), "gy": F.floor(F.col("y") / reach)}).join(spread, ["g", "level", "gx", "gy"])
+        best = met.groupBy("g", "text_id").agg(F.min(F.struct(squared.alias("d2"), "target_id")).alias("m"))
+        seen = kept(open_.join(best, ["g", "text_id"], "left"))
+        sure = F.coalesce(F.col("m.d2") <= reach * reach * (1 - 1e-9), F.lit(False))
+        settled = seen.filter(sure).select(F.col("g").alias(group), "text_id", "m.target_id", F.sqrt("m.d2").alias("distance"))
+        found = settled if found is None else found.unionByName(settled)
+        open_ = kept(seen.filter(~sure).select("g", "text_id", "x", "y", "side", (F.col("level") + 1).alias("level")))
+    raise RuntimeError(f"nearest targets not found in {MAX_ROUNDS} rounds")
+
+
+def suppressed(detections: DataFrame, overlap: float = 0.5, group: str = "sheet") -> DataFrame:
+    """The detections (group, ord, score, x0..y1) that stay when, from the best score down, each one removes those that
+    share more than `overlap` of their common area with it (intersection over union); ties go to the smaller ord.
+
+    Rounds of local maxima: whoever is better than all that overlap it stays, its neighbours go, and those that are left are
+    looked at again, which leaves the same ones as going through them one by one."""
+    better = F.struct(F.col("score"), -F.col("ord"))
+    sized = kept(detections.select(F.col(group).alias("g"), "ord", "score", "x0", "y0", "x1", "y1"))
+    pairs = near_boxes(sized, 0.0, "g").select("a", "b")
+    side = lambda p: sized.select(F.col("ord").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")], better.alias(f"{p}_rank"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = F.greatest(F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0"), F.lit(0.0)) * F.greatest(F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0"), F.lit(0.0))
+    area = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
+    # b is better than a and overlaps it
+    beaten = kept(both.filter(common > overlap * (area("a") + area("b") - common)).filter("b_rank > a_rank").select("a", "b"))
+    live, stay = kept(sized.select("ord")), None
+    while not live.isEmpty():
+        fought = beaten.join(live.withColumnRenamed("ord", "a"), "a").join(live.withColumnRenamed("ord", "b"), "b").select("a", "b")
+        top = kept(live.join(fought.select(F.col("a").alias("ord")).distinct(), "ord", "left_anti"))
+        stay = top if stay is None else kept(stay.unionByName(top))
+        gone = fought.join(top.withColumnRenamed("ord", "b"), "b", "left_semi").select(F.col("a").alias("ord")).distinct()
+        live = kept(live.join(top, "ord", "left_anti").join(gone, "ord", "left_anti"))
+    return detections if stay is None else detections.join(stay, "ord", "left_semi")

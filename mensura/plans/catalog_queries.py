@@ -1,11 +1,11 @@
-"""Registered queries of the stored catalog: replayed imports and scoped prices."""
+"""Registered queries of the stored catalog and of review: replayed imports, scoped prices, sessions, corrections."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.operators import catalog, scopes
+from mensura.operators import catalog, reviewing, scopes
 from mensura.plans.proxies import cte, streamed, view
 from mensura.plans.queries import ORACLES, _known, registered
 from mensura.streaming import catalog_state
@@ -43,3 +43,26 @@ def price_in_scope(spark: SparkSession, d: str) -> DataFrame:
     """The price in force for every order line's material, company, region and supplier on its day."""
     asked = view(spark, d, "scoped_requests").withColumnRenamed("asked_on", "on")
     return scopes.in_scope(view(spark, d, "scoped_prices"), asked).select("ask_id", "material_name", "unit_price", F.coalesce("price_seq", F.lit(-1)).cast("long").alias("price_seq"))
+
+
+_SESSIONS = f"""WITH {cte("decisions")}, steps AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 43200000000 THEN 0 ELSE 1 END AS opens FROM decisions WINDOW w AS (PARTITION BY sheet, tier, reviewer ORDER BY ts)),
+numbered AS (SELECT *, sum(opens) OVER (PARTITION BY sheet, tier, reviewer ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM steps),
+sessions AS (SELECT sheet, tier, reviewer, k, count(*) AS decided, epoch_us(max(ts)) - epoch_us(min(ts)) AS busy FROM numbered GROUP BY ALL)
+SELECT sheet, tier, count(*) AS sessions, CAST(sum(decided) AS BIGINT) AS decided, CAST(sum(busy) AS BIGINT) AS busy_us, CASE WHEN sum(decided) > count(*) THEN CAST(sum(busy) AS DOUBLE) / CAST(sum(decided) - count(*) AS DOUBLE) END AS mean_us FROM sessions GROUP BY sheet, tier"""
+
+
+@registered("review_sessions", _SESSIONS)
+def review_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """The review time of each sheet and tier, pauses of more than half a day left out."""
+    decisions = view(spark, d, "decisions").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reviewing.review_time(reviewing.review_sessions(decisions, "12 hours"))
+
+
+@registered("corrected_items", f"""WITH {cte("corrections")}, told AS (SELECT DISTINCT * FROM corrections WHERE ts <= TIMESTAMP '2024-01-20 12:00:00'),
+state AS (SELECT item_id, arg_max(quantity, (ts, correction_id)) FILTER (WHERE kind = 'set') AS quantity, arg_max(kind, (ts, correction_id)) FILTER (WHERE kind <> 'set') AS decision, count(DISTINCT correction_id) AS corrections FROM told GROUP BY item_id)
+SELECT p_partkey AS item_id, CAST(p_size AS DOUBLE) AS quantity, coalesce(s.quantity, CAST(p_size AS DOUBLE)) AS corrected_quantity, coalesce(s.decision = 'reject', false) AS rejected, CAST(coalesce(s.corrections, 0) AS BIGINT) AS corrections FROM part LEFT JOIN state s ON s.item_id = p_partkey""")
+def corrected_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items as they stood at noon of a day, from the log of their corrections."""
+    items = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("item_id"), F.col("p_size").cast("double").alias("quantity"))
+    log = view(spark, d, "corrections").withColumn("ts", F.col("ts").cast("timestamp"))
+    return reviewing.corrected_items(items, log, "2024-01-20 12:00:00")

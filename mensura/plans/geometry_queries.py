@@ -1,4 +1,4 @@
-"""Registered queries of drawing geometry: polygons, labelled spaces, runs in their order."""
+"""Registered queries of drawing geometry: polygons, labelled spaces, runs in their order, overlapping detections, schedules."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mensura.operators import polygons, routes
+from mensura.operators import polygons, routes, schedules, spaces, spatial
 from mensura.plans.proxies import cte, view
 from mensura.plans.queries import registered
 
@@ -25,16 +25,17 @@ half AS (SELECT sheet, 2 * e AS h, x0, y0, x1, y1 FROM edges UNION ALL SELECT sh
 turned AS (SELECT xor(h, 1) AS node, coalesce(lag(h) OVER w, last_value(h) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next FROM half WINDOW w AS (PARTITION BY sheet, x0, y0 ORDER BY atan2(y1 - y0, x1 - x0), h)),
 walk AS (SELECT node AS h, next AS pos, least(node, next) AS label FROM turned UNION ALL SELECT w.h, t.next, least(w.label, t.next) FROM walk w JOIN turned t ON t.node = w.pos WHERE w.pos <> w.h),
 labelled AS (SELECT half.*, label FROM half JOIN (SELECT h, label FROM walk WHERE pos = h) USING (h)),
-rings AS (SELECT sheet, label, sum(x0 * y1 - x1 * y0) AS twice, count(*) AS n, min(x0) AS x FROM labelled GROUP BY sheet, label),
+rings AS (SELECT sheet, label, sum(x0 * y1 - x1 * y0) AS twice, sum((x0 + x1) * (x0 * y1 - x1 * y0)) AS mx, sum((y0 + y1) * (x0 * y1 - x1 * y0)) AS my, count(*) AS n, min(x0) AS x FROM labelled GROUP BY sheet, label),
 lefts AS (SELECT label, min(y0) AS y FROM labelled JOIN rings USING (label) WHERE x0 = x GROUP BY label),
 inside AS (SELECT r.label AS hole, s.label AS shell, s.twice FROM rings r JOIN lefts l USING (label) JOIN rings s ON s.sheet = r.sheet AND s.twice > 0 JOIN labelled e ON e.label = s.label
   AND ((e.x0 <= r.x AND r.x < e.x1) OR (e.x1 <= r.x AND r.x < e.x0)) AND e.y0 + (r.x - e.x0) * (e.y1 - e.y0) / (e.x1 - e.x0) < l.y WHERE r.twice < 0 GROUP BY ALL HAVING count(*) % 2 = 1),
 parents AS (SELECT hole, arg_min(shell, twice) AS label FROM inside GROUP BY hole),
-holes AS (SELECT p.label, sum(r.twice) AS twice, count(*) AS holes FROM parents p JOIN rings r ON r.label = p.hole GROUP BY p.label)
-SELECT sheet, CAST((r.twice + coalesce(h.twice, 0)) / 2 AS DOUBLE) AS area, CAST(n AS INTEGER) AS vertices, CAST(coalesce(holes, 0) AS INTEGER) AS holes, x AS left_x, l.y AS left_y FROM rings r JOIN lefts l USING (label) LEFT JOIN holes h USING (label) WHERE r.twice > 0"""
+holes AS (SELECT p.label, sum(r.twice) AS twice, sum(r.mx) AS mx, sum(r.my) AS my, count(*) AS holes FROM parents p JOIN rings r ON r.label = p.hole GROUP BY p.label),
+faces AS (SELECT sheet, CAST((r.twice + coalesce(h.twice, 0)) / 2 AS DOUBLE) AS area, CAST(n AS INTEGER) AS vertices, CAST(coalesce(holes, 0) AS INTEGER) AS holes, x AS left_x, l.y AS left_y,
+  (r.mx + coalesce(h.mx, 0)) / (3 * (r.twice + coalesce(h.twice, 0))) AS cx, (r.my + coalesce(h.my, 0)) / (3 * (r.twice + coalesce(h.twice, 0))) AS cy FROM rings r JOIN lefts l USING (label) LEFT JOIN holes h USING (label) WHERE r.twice > 0)"""
 
 
-@registered("polygon_faces", _FACES)
+@registered("polygon_faces", _FACES + " SELECT sheet, area, vertices, holes, left_x, left_y FROM faces")
 def polygon_faces(spark: SparkSession, d: str) -> DataFrame:
     """The bounded faces of each sheet's wall segments."""
     found = polygons.faces(view(spark, d, "wall_segments"), "sheet", snap=0.5)
@@ -57,3 +58,50 @@ def route_path_order(spark: SparkSession, d: str) -> DataFrame:
     clusters = strokes.groupBy(F.col("route_id").alias("ord")).agg(F.first("scale").alias("scale"), F.sort_array(F.collect_list("id")).alias("members")).withColumn("cluster_id", F.lit(0))
     measured = routes.measure_routes(clusters, strokes, ["CONDUIT"], order="path")
     return measured.select(F.col("ord").alias("route_id"), F.size("members").cast("long").alias("members"), "length_m")
+
+
+_ROOMS = f"""{_FACES}, rooms AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY left_x, left_y, area, cy, cx) AS space_id FROM faces WHERE area >= 3), {cte("room_texts")},
+near AS (SELECT t.*, r.space_id, sqrt((t.x - r.cx) * (t.x - r.cx) + (t.y - r.cy) * (t.y - r.cy)) AS distance, try_cast(replace(regexp_extract(text, '^([0-9]+[.,]?[0-9]*) m2$', 1), ',', '.') AS DOUBLE) AS stated,
+  row_number() OVER (PARTITION BY t.sheet, t.text_id ORDER BY (t.x - r.cx) * (t.x - r.cx) + (t.y - r.cy) * (t.y - r.cy), r.space_id) AS n FROM room_texts t JOIN rooms r USING (sheet)),
+told AS (SELECT sheet, space_id, arg_min(text, (distance, text_id)) FILTER (WHERE stated IS NULL) AS name, arg_min(stated, (distance, text_id)) FILTER (WHERE stated IS NOT NULL) AS stated_area FROM near WHERE n = 1 GROUP BY sheet, space_id)
+SELECT r.sheet, r.space_id, r.area, t.name, t.stated_area, CASE WHEN t.stated_area IS NULL THEN 'UNSTATED' WHEN abs(t.stated_area - r.area) <= 0.05 * r.area THEN 'CONFIRMED' ELSE 'CONTRADICTED' END AS status FROM rooms r LEFT JOIN told t USING (sheet, space_id)"""
+
+
+@registered("label_spaces", _ROOMS)
+def label_spaces(spark: SparkSession, d: str) -> DataFrame:
+    """The rooms of each sheet's walls with the names and areas that the texts nearest to them state."""
+    found = polygons.spaces(polygons.faces(view(spark, d, "wall_segments"), "sheet", snap=0.5), 3.0)
+    order = W.partitionBy("sheet").orderBy(F.col("ring")[0]["x"], F.col("ring")[0]["y"], "area", "y", "x")
+    rooms = spatial.kept(found.select("sheet", F.row_number().over(order).cast("long").alias("space_id"), "x", "y", "area"))
+    return spaces.label_spaces(rooms, view(spark, d, "room_texts")).select("sheet", "space_id", "area", "name", "stated_area", "status")
+
+
+@registered("nearest_of_all", f"WITH {cte('sheet_paths')}, c AS (SELECT sheet, ord, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM sheet_paths) SELECT t.sheet, t.ord AS text_id, arg_min(g.ord, ((t.x - g.x) * (t.x - g.x) + (t.y - g.y) * (t.y - g.y), g.ord)) AS target_id, sqrt(min((t.x - g.x) * (t.x - g.x) + (t.y - g.y) * (t.y - g.y))) AS distance FROM c t JOIN c g ON g.sheet = t.sheet AND g.ord % 29 = 3 GROUP BY t.sheet, t.ord")
+def nearest_of_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each path's nearest target of its sheet, however far."""
+    cx, cy = spatial.centroid(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    c = view(spark, d, "sheet_paths").select("sheet", "ord", cx.alias("x"), cy.alias("y"))
+    return spatial.nearest_of_all(c.withColumnRenamed("ord", "text_id"), c.filter("ord % 29 = 3").withColumnRenamed("ord", "target_id"))
+
+
+_KEPT = f"""WITH RECURSIVE {cte("detections")}, boxed AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, ord) AS r FROM detections),
+worse AS (SELECT a.sheet, a.r AS winner, b.r AS loser FROM (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxed) a JOIN (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM boxed) b ON a.sheet = b.sheet AND a.r < b.r
+  AND greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) > 0.5 * (a.area + b.area - greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))),
+losers AS (SELECT sheet, winner, list(loser) AS gone FROM worse GROUP BY sheet, winner),
+greedy AS (SELECT sheet, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS gone, false AS stays FROM (SELECT DISTINCT sheet FROM boxed)
+  UNION ALL SELECT g.sheet, b.r, CASE WHEN list_contains(g.gone, b.r) THEN g.gone ELSE list_concat(g.gone, coalesce(l.gone, [])) END, NOT list_contains(g.gone, b.r) FROM greedy g JOIN boxed b ON b.sheet = g.sheet AND b.r = g.r + 1 LEFT JOIN losers l ON l.sheet = b.sheet AND l.winner = b.r)
+SELECT b.sheet, b.ord, b.score FROM greedy g JOIN boxed b ON b.sheet = g.sheet AND b.r = g.r WHERE g.stays"""
+
+
+@registered("suppressed_detections", _KEPT)
+def suppressed_detections(spark: SparkSession, d: str) -> DataFrame:
+    """Detections of a sheet without those that a better one covers by half."""
+    return spatial.suppressed(view(spark, d, "detections"), 0.5).select("sheet", "ord", "score")
+
+
+@registered("schedule_blocks", f"WITH {cte('schedule_runs')} SELECT sheet, block, 'labelled' AS shape, 0 AS position, 'Load' AS label, 'kg' AS unit, CAST(load AS VARCHAR) AS value FROM (SELECT sheet, min(ord) AS block, max(load) AS load FROM schedule_runs GROUP BY sheet, entry) UNION ALL SELECT sheet, block, 'numbered', k - 1, 'PK', letter, CAST(number AS VARCHAR) FROM (SELECT sheet, min(ord) AS block, max(letter) AS letter, max(number) + k AS number, k FROM schedule_runs, (SELECT unnest([1, 2]) AS k) GROUP BY sheet, entry, k)")
+def schedule_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Schedule entries that are written as runs: three a block, in reading order, with three entries in each block."""
+    blocks = schedules.assembled(view(spark, d, "schedule_runs"), 4.0)
+    found = schedules.entries(blocks, schedules.patterns(spark))
+    return found.select("sheet", "block", "shape", "position", "label", "unit", "value")

@@ -40,6 +40,15 @@ VIEWS = {
     "sheet_paths": f"SELECT vec_id AS ord, 'p' || CAST(vec_id AS STRING) AS id, CASE vec_id % 2 WHEN 0 THEN 'Brand#11' ELSE 'Brand#12' END AS sheet, {_choice('label', _LAYERS)} AS layer, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 AS x0, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 AS y0, CAST((vec_id * 7919) % 400 AS DOUBLE) * 2 + 1 AS x1, CAST((vec_id * 104729) % 300 AS DOUBLE) * 2 + 2 AS y1 FROM {{embeddings}}".replace("{{", "{").replace("}}", "}"),
     # rooms of 40 parts a sheet: four walls each, and a partition from corner to wall
     "wall_segments": "SELECT sheet, CASE k WHEN 1 THEN x + w WHEN 2 THEN x + w WHEN 4 THEN CASE WHEN odd = 1 THEN x + w ELSE x END ELSE x END AS x0, CASE k WHEN 2 THEN y + h WHEN 3 THEN y + h ELSE y END AS y0, CASE k WHEN 0 THEN x + w WHEN 1 THEN x + w WHEN 4 THEN CASE WHEN odd = 1 THEN x + w - least(w, h) ELSE x + least(w, h) END ELSE x END AS x1, CASE k WHEN 0 THEN y WHEN 3 THEN y WHEN 4 THEN y + least(w, h) ELSE y + h END AS y1 FROM (SELECT 'S' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) AS sheet, CAST((p_partkey * 7919) % 61 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 47 AS DOUBLE) AS y, CAST(2 + p_size % 17 AS DOUBLE) AS w, CAST(1 + p_size % 11 AS DOUBLE) AS h, p_partkey % 2 AS odd, k.n_nationkey AS k FROM {part} JOIN {nation} k ON k.n_nationkey < 5) r",
+    # a name or an area in each of those rooms; some sheets' texts lie far outside of the walls
+    "room_texts": "SELECT 'S' || CAST(CAST(floor(p_partkey / 40) AS BIGINT) AS STRING) AS sheet, p_partkey AS text_id, CAST((p_partkey * 7919) % 61 AS DOUBLE) + CAST(2 + p_size % 17 AS DOUBLE) / 2 + CASE WHEN p_partkey % 50 = 7 THEN 900 ELSE 0 END AS x, CAST((p_partkey * 104729) % 47 AS DOUBLE) + CAST(1 + p_size % 11 AS DOUBLE) / 2 + 0.25 AS y, CASE p_partkey % 3 WHEN 0 THEN CAST((2 + p_size % 17) * (1 + p_size % 11) AS STRING) || '.5 m2' WHEN 1 THEN CAST(2 + p_size % 9 AS STRING) || ',25 m2' ELSE p_name END AS text FROM {part}",
+    # boxes that a detector might give, many of them of one thing
+    "detections": "SELECT 'S' || CAST(CAST(floor(p_partkey / 100) AS BIGINT) AS STRING) AS sheet, p_partkey AS ord, CAST(p_partkey * 37 % 50 AS DOUBLE) / 64 AS score, CAST(p_partkey * 7919 % 12 AS DOUBLE) * 3 + CAST(p_size % 3 AS DOUBLE) AS x0, CAST(p_partkey * 31 % 5 AS DOUBLE) * 4 + CAST(p_size % 2 AS DOUBLE) AS y0, CAST(p_partkey * 7919 % 12 AS DOUBLE) * 3 + CAST(p_size % 3 AS DOUBLE) + 6 + CAST(p_size % 5 AS DOUBLE) AS x1, CAST(p_partkey * 31 % 5 AS DOUBLE) * 4 + CAST(p_size % 2 AS DOUBLE) + 7 + CAST(p_size % 4 AS DOUBLE) AS y1 FROM {part}",
+    # schedule entries in three runs on two lines each, the runs of an entry next to each other
+    "schedule_runs": "SELECT 'S' || CAST(CAST(floor(p_partkey / 60) AS BIGINT) AS STRING) AS sheet, p_partkey * 3 + CASE k.n_nationkey WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS ord, p_partkey AS entry, p_size * 10 AS load, CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END AS letter, 10 + p_size AS number, CASE k.n_nationkey WHEN 0 THEN 'Load' WHEN 1 THEN ' (kg): ' || CAST(p_size * 10 AS STRING) ELSE 'slots PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(11 + p_size AS STRING) || ', PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(12 + p_size AS STRING) END AS text, CAST(p_partkey % 60 AS DOUBLE) * 200 + CASE k.n_nationkey WHEN 1 THEN 23 ELSE 0 END AS x0, CASE k.n_nationkey WHEN 0 THEN 100 WHEN 1 THEN 101 ELSE 112 END AS y0, CAST(p_partkey % 60 AS DOUBLE) * 200 + CASE k.n_nationkey WHEN 0 THEN 20 WHEN 1 THEN 60 ELSE 80 END AS x1, CASE k.n_nationkey WHEN 0 THEN 110 WHEN 1 THEN 111 ELSE 122 END AS y1 FROM {part} JOIN {nation} k ON k.n_nationkey < 3",
+    # decisions of reviewers, and a log of corrections with some told twice
+    "decisions": "SELECT 'sheet ' || CAST(user_id % 40 AS STRING) AS sheet, CASE event_type WHEN 'view' THEN 'MEASURED' WHEN 'click' THEN 'MEASURED' WHEN 'purchase' THEN 'DERIVED' ELSE 'ASSUMED' END AS tier, user_id AS reviewer, ts FROM {events}",
+    "corrections": "SELECT event_id AS correction_id, event_id % 500 AS item_id, CASE event_type WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'accept' ELSE 'set' END AS kind, CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(NULL AS DOUBLE) ELSE value END AS quantity, ts FROM {events} UNION ALL SELECT event_id, event_id % 500, 'set', value, ts FROM {events} WHERE event_id % 7 = 0 AND event_type NOT IN ('purchase', 'signup')",
     "overlays": "SELECT 'p' || CAST(p_partkey % 400 AS STRING) AS id, p_partkey AS ord, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 2 AS DOUBLE) END AS y, CAST(10 AS DOUBLE) AS width, CAST(p_size % 3 AS DOUBLE) AS height FROM {part}",
     "schedules": "SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'Load (kg): ' || CAST(p_size * 10 AS STRING) WHEN 1 THEN 'ramp %' || CAST(p_size % 9 AS STRING) || '.5 - ' || CAST(p_size AS STRING) || 'cm' WHEN 2 THEN 'slot PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(10 + p_size % 80 AS STRING) WHEN 3 THEN p_name ELSE CAST(NULL AS STRING) END AS text FROM {part}",
     "ocr": "SELECT p_partkey AS ord, p_brand AS page, CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || ': ' || p_type WHEN 1 THEN p_type || ' (' || replace(p_name, ' ', '_') || ')' WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN 'Scale 1:' || CAST(p_size AS STRING) WHEN 4 THEN 'Legend of ' || p_name ELSE p_name END AS text, CAST(p_size * 20 AS DOUBLE) AS y0, CAST(p_partkey % 101 AS DOUBLE) AS confidence FROM {part}",
