@@ -25,9 +25,18 @@ def is_valid(value: Column) -> Column:
     return F.coalesce(value.isin(*STATUSES), F.lit(False))
 
 
+# fixed value: what a measurement from a scanned sheet scores
+RASTER_SCORE = 0.6
+
+
+def raster_score(base: Column | None = None) -> Column:
+    """The score of a measurement from a scanned sheet: the given one, RASTER_SCORE where none is."""
+    return F.lit(RASTER_SCORE) if base is None else F.coalesce(base.cast("double"), F.lit(RASTER_SCORE))
+
+
 def score(tier: Column, raster: Column, rule_version: Column) -> Column:
     return (
-        F.when(tier == "MEASURED", F.when(raster, 0.6).otherwise(1.0))
+        F.when(tier == "MEASURED", F.when(raster, raster_score()).otherwise(1.0))
         .when(tier == "DERIVED", F.when(rule_version == "1.0.0", 0.8).otherwise(0.7))
         .when(tier == "ASSUMED", 0.3)
         .otherwise(0.5)

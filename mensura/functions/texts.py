@@ -92,3 +92,8 @@ def legend_entry(text: Column) -> Column:
 def is_legend_candidate(text: Column) -> Column:
     words = F.size(F.split(F.trim(text), r"\s+"))
     return F.lower(text).rlike("|".join(LEGEND_WORDS)) | words.between(3, 20)
+
+
+def in_top(y0: Column, height: Column) -> Column:
+    """Whether a text stands in the top fifth of its page, where legends are."""
+    return y0 < 0.20 * height

@@ -9,10 +9,18 @@ from pyspark.sql import functions as F
 MANY, FEW = 10_000, 100
 
 
-def counters(objects: DataFrame, upload: str) -> DataFrame:
-    """vectors, images and has_text of every upload, from its objects (kind: vector or image, is_text)."""
-    n = lambda kind, name: F.count_if(F.col("kind") == kind).alias(name)
-    return objects.groupBy(upload).agg(n("vector", "vectors"), n("image", "images"), F.coalesce(F.bool_or("is_text"), F.lit(False)).alias("has_text"))
+def counters(objects: DataFrame, upload: str, page: int | None = None) -> DataFrame:
+    """vectors, images and has_text of every upload, from its objects (kind: vector or image, is_text); with a page, of that one only
+    (page_number): an upload whose page is empty has zeros."""
+    there = F.lit(True) if page is None else F.coalesce(F.col("page_number") == page, F.lit(False))
+    n = lambda kind, name: F.count_if(there & (F.col("kind") == kind)).alias(name)
+    return objects.groupBy(upload).agg(n("vector", "vectors"), n("image", "images"), F.coalesce(F.bool_or(there & F.col("is_text")), F.lit(False)).alias("has_text"))
+
+
+def classified(objects: DataFrame, upload: str) -> DataFrame:
+    """The counters of every upload's first page, its status and whether that is ambiguous."""
+    facts = F.col("vectors"), F.col("images"), F.col("has_text")
+    return counters(objects, upload, page=1).withColumn("status", status(*facts)).withColumn("ambiguous", ambiguous(*facts))
 
 
 def is_vector(drawings: Column, has_text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mensura.functions import numbers, texts
+from mensura.operators import scopes
 
 # Notes and messages of reports, and what stands in where a rule or a currency is not given.
 UNPRICED_NOTE = "Material price not found in catalog — flag for review"
@@ -172,11 +173,13 @@ def rule_links(rules: DataFrame, bom: DataFrame, existing: DataFrame) -> DataFra
 
 def price_as_of(prices: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (ask_id, material_name, on) with the newest price that is in force on that day; undated prices come before all
-    dated ones, and those of later seq count among prices of one day; of repeated ask ids the newest price counts.  A
-    material's days become one array (it grows with the calendar, not with the rows), so each request meets one row."""
+    dated ones, and those of later seq count among prices of one day; of repeated ask ids the newest price counts.  A price
+    holds until the day of the material's next one, so a request meets one interval (scopes.in_scope)."""
     daily = prices.groupBy("material_name", "effective_from").agg(F.max("seq").alias("seq"), F.max_by("unit_price", "seq").alias("unit_price"))
-    step = F.struct(F.coalesce("effective_from", F.lit("0001-01-01").cast("date")).alias("since"), "seq", "unit_price")
-    steps = daily.groupBy("material_name").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    told = asked.join(steps, "material_name").withColumn("step", F.try_element_at(F.filter("steps", lambda x: x["since"] <= F.col("on")), F.lit(-1)))
-    newest = F.max_by(F.struct("material_name", "step.unit_price"), F.struct("step.since", "step.seq")).alias("r")
-    return told.filter("step IS NOT NULL").groupBy("ask_id").agg(newest).select("ask_id", "r.material_name", "r.unit_price")
+    until = F.lead("effective_from").over(W.partitionBy("material_name").orderBy(F.col("effective_from").asc_nulls_first()))
+    none = {c: F.lit(None).cast("string") for c in scopes.SCOPE}
+    told = scopes.in_scope(daily.withColumn("effective_to", until).withColumns(none), asked.select("ask_id", "material_name", "on").withColumns(none))
+    since = daily.select("material_name", F.col("seq").alias("price_seq"), "effective_from")
+    dated = told.filter("price_seq IS NOT NULL").join(since, ["material_name", "price_seq"])
+    newest = F.max_by(F.struct("material_name", "unit_price"), F.struct(F.col("effective_from").isNotNull(), "effective_from", "price_seq")).alias("r")
+    return dated.groupBy("ask_id").agg(newest).select("ask_id", "r.material_name", "r.unit_price")

@@ -11,7 +11,7 @@ from mensura.operators.spatial import kept
 
 SCOPE = ("company", "region", "supplier")
 #: Days are counted from here in ranges of powers of 2**STEP days, LEVELS of them above single days; what lies outside of the
-#: calendar counts as its first or last day.
+#: calendar is looked up with its first or last day.
 FIRST_DAY, STEP, LEVELS = "1900-01-01", 3, 6
 DAYS = 1 << STEP * LEVELS
 
@@ -55,8 +55,8 @@ def in_scope(prices: DataFrame, asked: DataFrame) -> DataFrame:
     until = F.coalesce(_day(F.col("effective_to"), DAYS), F.lit(DAYS))
     bits = list(zip(SCOPE, (4, 2, 1)))
     open_ = sum((F.col(c).isNull().cast("int") * b for c, b in bits), F.lit(0)).alias("open")
-    cut = prices.select("material_name", *SCOPE, "unit_price", "seq", "effective_from", open_, F.explode(_ranges(since, until)).alias("r"))
-    scoped = kept(cut.select("material_name", *[F.coalesce(c, F.lit("")).alias(c) for c in SCOPE], "unit_price", "seq", "effective_from", "open", "r.level", "r.number"))
+    cut = prices.select("material_name", *SCOPE, "unit_price", "seq", "effective_from", "effective_to", open_, F.explode(_ranges(since, until)).alias("r"))
+    scoped = kept(cut.select("material_name", *[F.coalesce(c, F.lit("")).alias(c) for c in SCOPE], "unit_price", "seq", "effective_from", "effective_to", "open", "r.level", "r.number"))
     # a request looks only where prices are: at most 8 kinds of scope, each with its levels
     levels: dict[int, list[int]] = {}
     for r in scoped.select("open", "level").distinct().orderBy("open", "level").collect():
@@ -65,10 +65,12 @@ def in_scope(prices: DataFrame, asked: DataFrame) -> DataFrame:
     day = _day(F.col("on"), DAYS - 1)
     way = lambda m, ks: F.struct(F.lit(m).alias("open"), *[(F.lit("") if m & b else F.col(c)).alias(c) for c, b in bits], F.array(*map(F.lit, ks)).alias("levels"))
     none = F.array().cast("array<struct<open:int,company:string,region:string,supplier:string,levels:array<int>>>")
-    probes = rows.filter("on IS NOT NULL").select("row", "material_name", day.alias("day"), F.explode(F.array(*[way(*w) for w in levels.items()]) if levels else none).alias("w"))
-    probes = probes.select("row", "material_name", "day", "w.*").select("row", "material_name", "open", *SCOPE, "day", F.explode("levels").alias("level"))
+    probes = rows.filter("on IS NOT NULL").select("row", "material_name", "on", day.alias("day"), F.explode(F.array(*[way(*w) for w in levels.items()]) if levels else none).alias("w"))
+    probes = probes.select("row", "material_name", "on", "day", "w.*").select("row", "material_name", "on", "open", *SCOPE, "day", F.explode("levels").alias("level"))
     probes = probes.withColumn("number", F.expr(f"shiftright(day, {STEP} * level)")).drop("day")
-    met = probes.join(scoped, ["material_name", "open", *SCOPE, "level", "number"])
+    # days that the calendar puts together are told apart here
+    holds = (F.coalesce(F.col("effective_from") <= F.col("on"), F.lit(True))) & (F.coalesce(F.col("on") < F.col("effective_to"), F.lit(True)))
+    met = probes.join(scoped, ["material_name", "open", *SCOPE, "level", "number"]).filter(holds)
     rank = F.struct((-F.col("open")).alias("closed"), F.col("effective_from").isNotNull().alias("dated"), "effective_from", "seq")
     best = met.groupBy("row").agg(F.max_by(F.struct("unit_price", F.col("seq").alias("price_seq")), rank).alias("m"))
     return rows.join(best, "row", "left").select(*asked.columns, "m.unit_price", "m.price_seq")

@@ -49,6 +49,10 @@ VIEWS = {
     # decisions of reviewers, and a log of corrections with some told twice
     "decisions": "SELECT 'sheet ' || CAST(user_id % 40 AS STRING) AS sheet, CASE event_type WHEN 'view' THEN 'MEASURED' WHEN 'click' THEN 'MEASURED' WHEN 'purchase' THEN 'DERIVED' ELSE 'ASSUMED' END AS tier, user_id AS reviewer, ts FROM {events}",
     "corrections": "SELECT event_id AS correction_id, event_id % 500 AS item_id, CASE event_type WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'accept' ELSE 'set' END AS kind, CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(NULL AS DOUBLE) ELSE value END AS quantity, ts FROM {events} UNION ALL SELECT event_id, event_id % 500, 'set', value, ts FROM {events} WHERE event_id % 7 = 0 AND event_type NOT IN ('purchase', 'signup')",
+    "sheet_layers": "SELECT p_brand AS sheet, CASE WHEN p_partkey % 9 = 4 AND p_brand < 'Brand#3' THEN 'default' ELSE p_type END AS name, CASE WHEN p_size % 2 = 0 THEN 'ON' ELSE 'OFF' END AS status, CAST(p_size AS BIGINT) AS count, p_partkey AS ordinal FROM {part}",
+    "drawn_routes": "SELECT o_orderkey AS route_id, CASE o_orderkey % 9 WHEN 0 THEN 'CONDUIT' WHEN 1 THEN 'Conduit' WHEN 2 THEN 'Cable Tray' WHEN 3 THEN 'NORMAL TRAY' WHEN 4 THEN 'PIPE' WHEN 5 THEN 'LIGHTING' WHEN 6 THEN CAST(NULL AS STRING) WHEN 7 THEN 'cable_tray' ELSE 'CONDUIT RUN' END AS layer FROM {orders}",
+    "page_objects": "SELECT l_orderkey AS upload_id, 1 + l_linenumber % 2 AS page_number, CASE WHEN l_returnflag = 'R' THEN 'image' ELSE 'vector' END AS kind, l_linestatus = 'O' AS is_text FROM {lineitem}",
+    "page_sizes": "SELECT p_brand AS page, CAST(400 + 60 * (count(*) % 13) AS DOUBLE) AS height FROM {part} GROUP BY p_brand",
     "overlays": "SELECT 'p' || CAST(p_partkey % 400 AS STRING) AS id, p_partkey AS ord, CAST(p_size AS DOUBLE) AS x, CASE WHEN p_size % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 2 AS DOUBLE) END AS y, CAST(10 AS DOUBLE) AS width, CAST(p_size % 3 AS DOUBLE) AS height FROM {part}",
     "schedules": "SELECT p_partkey AS ord, CASE p_partkey % 5 WHEN 0 THEN 'Load (kg): ' || CAST(p_size * 10 AS STRING) WHEN 1 THEN 'ramp %' || CAST(p_size % 9 AS STRING) || '.5 - ' || CAST(p_size AS STRING) || 'cm' WHEN 2 THEN 'slot PK-' || CASE p_size % 2 WHEN 0 THEN 'A' ELSE 'B' END || CAST(10 + p_size % 80 AS STRING) WHEN 3 THEN p_name ELSE CAST(NULL AS STRING) END AS text FROM {part}",
     "ocr": "SELECT p_partkey AS ord, p_brand AS page, CASE p_partkey % 6 WHEN 0 THEN replace(p_name, ' ', '_') || ': ' || p_type WHEN 1 THEN p_type || ' (' || replace(p_name, ' ', '_') || ')' WHEN 2 THEN replace(p_name, ' ', '_') WHEN 3 THEN 'Scale 1:' || CAST(p_size AS STRING) WHEN 4 THEN 'Legend of ' || p_name ELSE p_name END AS text, CAST(p_size * 20 AS DOUBLE) AS y0, CAST(p_partkey % 101 AS DOUBLE) AS confidence FROM {part}",

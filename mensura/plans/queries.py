@@ -111,8 +111,8 @@ def latest_price(spark: SparkSession, d: str) -> DataFrame:
 def catalog_listing(spark: SparkSession, d: str) -> DataFrame:
     prices = view(spark, d, "prices").filter("material_name IS NOT NULL")
     names = rules.bom(spark).select("material_name").union(prices.select("material_name")).distinct()
-    listed = names.join(catalog.latest_price(prices), "material_name", "left")
-    return listed.select(F.col("material_name").alias("name"), texts.unit_of(F.col("material_name")).alias("unit"), F.col("unit_price").alias("latest_unit_price")).orderBy("name")
+    materials = names.select(F.col("material_name").alias("name"), texts.unit_of(F.col("material_name")).alias("unit"), F.lit(None).cast("string").alias("category"))
+    return catalog.listing(materials, prices).select("name", "unit", "latest_unit_price")
 
 
 @registered("price_upsert", f"""WITH {cte("prices")}, known AS (SELECT material_name, currency, min_by(unit_price, seq) AS unit_price, min_by(effective_from, seq) AS effective_from FROM (SELECT material_name, currency, unit_price, coalesce(effective_from, DATE '1900-01-01') AS effective_from, seq FROM prices WHERE material_name IS NOT NULL) GROUP BY ALL),
@@ -253,24 +253,26 @@ def rule_persist_versions(spark: SparkSession, d: str) -> DataFrame:
     return after.select("name", "rule_version", F.size("formula_or_bom").cast("long").alias("materials"), F.round(F.aggregate(values, F.lit(0.0), lambda n, x: n + x), 6).alias("quantity"))
 
 
-@registered("bom_json", f"SELECT assembly_type AS name, count(*) AS materials, round(sum(bom_quantity), 6) AS quantity FROM {_BOM} GROUP BY assembly_type")
+@registered("bom_json", "SELECT 'order ' || CAST(l_orderkey AS VARCHAR) AS name, count(DISTINCT l_partkey) AS materials, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY l_orderkey")
 def bom_json(spark: SparkSession, d: str) -> DataFrame:
-    """Bills of materials written as JSON and read back."""
+    """Bills of materials, an assembly for each order, written as JSON and read back."""
     none = spark.createDataFrame([], "name string, rule_version string, formula_or_bom map<string,double>")
-    stored = catalog.persisted_rules(none, rules.rules(spark), rules.bom(spark))
+    name = F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("assembly_type")
+    material = F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("material_name")
+    bom = _lineitem(spark, d).groupBy(name, material).agg(F.sum("l_quantity").alias("bom_quantity"))
+    stored = catalog.persisted_rules(none, bom.select("assembly_type", F.lit("1.0.0").alias("rule_version")).distinct(), bom)
     back = stored.select("name", F.to_json("formula_or_bom").alias("j")).select("name", F.from_json("j", "map<string,double>").alias("bom"))
     return back.select("name", F.size("bom").cast("long").alias("materials"), F.round(F.aggregate(F.map_values("bom"), F.lit(0.0), lambda n, x: n + x), 6).alias("quantity"))
 
 
-@registered("assembly_material_links", f"WITH links AS (SELECT assembly_type, material_name, bom_quantity AS quantity, {_UNIT.format(m='material_name')} AS unit FROM {_BOM} UNION ALL SELECT assembly_type, 'Labor', installation_hours, 'hr' FROM {_RULES} WHERE hourly_rate IS NOT NULL) SELECT assembly_type AS assembly, material_name AS material, unit, quantity FROM links")
+@registered("assembly_material_links", f"SELECT 'order ' || CAST(o_orderkey AS VARCHAR) AS assembly, p_name AS material, {_UNIT.format(m='p_name')} AS unit, l_quantity AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey")
 def assembly_material_links(spark: SparkSession, d: str) -> DataFrame:
-    """The M:N tables (assemblies, assembly_materials, materials) filled from the rules, and joined."""
-    key = lambda kind, c: F.sha2(F.concat(F.lit(kind), F.col(c)), 256)
-    links = catalog.rule_links(rules.rules(spark), rules.bom(spark), spark.createDataFrame([], "assembly_type string, material_name string"))
-    assemblies = links.select(key("a", "assembly_type").alias("id"), F.col("assembly_type").alias("name")).distinct()
-    materials = links.select(key("m", "material_name").alias("id"), F.col("material_name").alias("name"), "unit").distinct()
-    table = links.select(key("a", "assembly_type").alias("assembly_id"), key("m", "material_name").alias("material_id"), "quantity")
-    return catalog.assembly_materials(assemblies, table, materials)
+    """Assemblies (orders), links (their lines) and materials (parts), joined both ways of the M:N relation."""
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    assemblies = t("orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"))
+    materials = t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), texts.unit_of(F.col("p_name")).alias("unit"))
+    links = t("lineitem").select(F.col("l_orderkey").alias("assembly_id"), F.col("l_partkey").alias("material_id"), F.col("l_quantity").alias("quantity"))
+    return catalog.assembly_materials(assemblies, links, materials)
 
 
 @registered("unit_inference", f"SELECT name, {_UNIT.format(m='name')} AS unit, count(*) AS uses FROM (SELECT p_name AS name FROM part UNION ALL SELECT material_name FROM {_BOM}) GROUP BY name")
@@ -395,9 +397,12 @@ def electrical_layers(spark: SparkSession, d: str) -> DataFrame:
 _ALL_LAYERS = ", ".join(f"({k}, '{n}')" for k, n in enumerate([*[n for names in rules.LAYERS.values() for n in names], *rules.OLDER_LAYERS]))
 
 
-@registered("mapped_layer_list", f"SELECT CAST(row_number() OVER (ORDER BY min(k)) - 1 AS INTEGER) AS position, layer FROM (VALUES {_ALL_LAYERS}) AS t(k, layer) GROUP BY layer")
+@registered("mapped_layer_list", f"WITH {cte('items')}, listed AS (SELECT CAST(row_number() OVER (ORDER BY min(k)) - 1 AS INTEGER) AS position, layer FROM (VALUES {_ALL_LAYERS}) AS t(k, layer) GROUP BY layer) SELECT position, l.layer, count(i.item_id) AS items, count(DISTINCT i.l_orderkey) AS sheets FROM listed l LEFT JOIN items i ON i.layer = l.layer GROUP BY ALL")
 def mapped_layer_list(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rules.clustered_layers())), "position int, layer string")
+    """The layers that are clustered, in their order, with what the sheets have on them."""
+    listed = spark.createDataFrame(list(enumerate(rules.clustered_layers())), "position int, layer string")
+    found = view(spark, d, "items").groupBy("layer").agg(F.count("item_id").alias("items"), F.countDistinct("l_orderkey").alias("sheets"))
+    return listed.join(found, "layer", "left").select("position", "layer", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("sheets", F.lit(0)).alias("sheets"))
 
 
 @registered("layer_filter", f"WITH {cte('paths')} SELECT id, coalesce(layer, 'default') AS layer FROM paths WHERE coalesce(layer, 'default') IN ('default', 'POWER')")
@@ -791,4 +796,4 @@ def e2e_boq(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from mensura.plans import catalog_queries, geometry_queries  # noqa: E402, F401
+from mensura.plans import catalog_queries, drawing_queries, geometry_queries  # noqa: E402, F401

@@ -30,11 +30,14 @@ def flatten_spans(pages: DataFrame) -> DataFrame:
     return spans.select("page_number", "b", "l", "s", F.col("span.text").alias("text"), F.coalesce("span.font", F.lit("unknown")).alias("font"), F.coalesce("span.size", F.lit(12.0)).alias("size"))
 
 
-def layer_registry(groups: DataFrame) -> DataFrame:
-    """name, status, count of every layer: the last record of a name counts; `default` is added where it is missing."""
-    last = groups.groupBy("name").agg(F.max_by(F.struct("status", "count"), F.struct("ordinal")).alias("r")).select("name", "r.status", "r.count")
+def layer_registry(groups: DataFrame, *by: str) -> DataFrame:
+    """name, status, count of every layer (of each sheet, where that is given): the last record of a name counts; `default` is
+    added where it is missing."""
+    last = groups.groupBy(*by, "name").agg(F.max_by(F.struct("status", "count"), F.struct("ordinal")).alias("r")).select(*by, "name", "r.status", "r.count")
     default = groups.sparkSession.createDataFrame([("default", "ON", 0)], "name string, status string, count long")
-    return last.unionByName(default.join(last.select("name"), "name", "left_anti"))
+    if by:
+        default = groups.select(*by).distinct().crossJoin(default)  # one row for each sheet
+    return last.unionByName(default.join(last.select(*by, "name"), [*by, "name"], "left_anti"))
 
 
 def in_page_order(records: DataFrame) -> DataFrame:
