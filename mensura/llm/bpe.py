@@ -9,6 +9,10 @@ Decoding is an incremental state machine over the bytes of the ids: it holds at
 (and, for readable text, of an unfinished character) and gives each token's text at once.  The decoded digest is made
 from the packed ids by that machine.
 
+Word classes and normal forms are those of the tokenizers library, whose Unicode tables are not Python's.  Texts with characters
+younger than Unicode 3.2, or with a combining class that has changed since, are normalised by the library's own forms; of characters that
+Python's tables lack, those that `regex` takes for letters or digits and the library does not are taken out of those classes.
+
 Texts are worked off in segments cut at spaces.  Caches (words and chunks to packed ids) are bounded in bytes and
 emptied when full; words over CACHED_CHARS characters are not cached.  Null and empty texts give no ids, and decode to
 the empty string.  Special tokens in a text are encoded as such.  Rows with null or equal ids stay apart; an empty
@@ -30,6 +34,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import over_batches, scored, table
 
@@ -67,6 +72,46 @@ def sufficient_lookahead(merges: list[tuple[str, str]], width: Callable[[str], i
     return longest + max((width(u + v) for u, v in merges), default=1)
 
 
+def _ranges(points: Iterable[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(1)
+def unknown_points() -> list[int]:
+    """The code points that Python's Unicode tables do not have."""
+    return [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+
+
+@lru_cache(1)
+def later_points() -> list[int]:
+    """The code points whose normal forms may differ between versions: all but those that Unicode 3.2 had, with the combining class
+    that they have now (forms of assigned characters are stable)."""
+    old = unicodedata.ucd_3_2_0
+    return [c for c in range(sys.maxunicode + 1) if old.category(x := chr(c)) == "Cn" or old.combining(x) != unicodedata.combining(x)]
+
+
+@lru_cache(4)
+def word_patterns(pattern: str) -> tuple[regex.Pattern, regex.Pattern]:
+    """The pre-tokeniser's pattern as `regex` reads it, and one in which the unknown characters have the library's classes."""
+    plain = regex.compile(pattern)
+    split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+    named = regex.compile(r"[\p{L}\p{N}]")
+    probe = lambda c: f"!{chr(c)}a"  # noqa: E731  one, two or three words, as it is neither, a letter or a digit
+    apart = [c for c in unknown_points() if named.match(chr(c)) and [w for w, _ in split.pre_tokenize_str(probe(c))] != plain.findall(probe(c))]
+    if not apart:
+        return plain, plain
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(kind, f"[{kind}--[{_ranges(apart)}]]")
+    return plain, regex.compile(pattern, regex.V1)
+
+
 class Transducer:
     """Encoder and decoder for one tokenizer file."""
 
@@ -84,7 +129,9 @@ class Transducer:
         self.pieces = {i: b" " + t.encode("utf-8", "surrogatepass") for i, t in self.strings.items()}
         self.bytes = byte_alphabet()
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        self.words, self.later_words = word_patterns(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
+        self.later = regex.compile(f"[{_ranges(later_points())}]")
+        self.forms = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
 
     def _width(self, token: str) -> int:
@@ -142,12 +189,17 @@ class Transducer:
     def chunks(self, text: str) -> Iterator[str]:
         """The normalised text in pieces without white space; no word of the pre-tokeniser reaches over one."""
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = self.forms.normalize_str(text) if self.later.search(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in _NO_SPACE_FOR_THE_LIBRARY):
-            return iter(self.words.findall(text))
+            return (w[0] for w in self.words_of(text))
         return iter(text.split())
 
+    def words_of(self, part: str) -> Iterator[regex.Match]:
+        """The pre-tokeniser's words in a normalised piece."""
+        later = not part.isascii() and self.later.search(part)
+        return (self.later_words if later else self.words).finditer(part)
+
     def parts(self, text: str | None) -> Iterator[str]:
         """Special tokens and normalised chunks of a text, in order."""
         for piece in segments(text or ""):
@@ -164,7 +216,7 @@ class Transducer:
         if part in self.special:
             yield part
         else:
-            for w in self.words.finditer(part):
+            for w in self.words_of(part):
                 yield from self.word(w[0])
 
     def encode(self, text: str | None) -> Iterator[int]:
@@ -274,7 +326,7 @@ class Encoder:
         if part in self.t.special:
             return self._pack([part])
         out = []
-        for found in self.t.words.finditer(part):
+        for found in self.t.words_of(part):
             word = found[0]
             packed = self.words.found.get(word)
             if packed is None:

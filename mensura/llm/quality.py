@@ -16,6 +16,7 @@ score is 1/2; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from operator import eq
@@ -30,12 +31,17 @@ from .common import fold, held_out, over_batches, scored, smallest_hashes, store
 MAX_LEARNING, MAX_LINES = 6000, 240_000
 THRESHOLD = 0.3
 
-# Character classes of Latin-1 bytes: lower, upper, digit, space, line end, "!", "|", ".,", other punctuation, other.
+# Character classes: lower (and letters without case, and their marks), upper, digit, space, line end, "!", "|", ".,", other
+# punctuation, other.  Code points from CLASSES on are other.
 _LOWER, _UPPER, _DIGIT, _SPACE, _LINE, _BANG, _PIPE, _STOP, _MARK, _REST = range(10)
-_CLASS = np.full(256, _REST, np.uint8)
-for _c in range(256):
+CLASSES = 0x30000
+_CLASS = np.full(CLASSES + 1, _REST, np.uint8)
+for _c in range(CLASSES):
     _s = chr(_c)
     _CLASS[_c] = _LOWER if _s.islower() else _UPPER if _s.isupper() else _DIGIT if _s.isdigit() else _LINE if _s == "\n" else _SPACE if _s.isspace() else _BANG if _s == "!" else _PIPE if _s == "|" else _STOP if _s in ".," else _MARK if 33 <= _c < 127 else _REST
+    if _c > 255 and _CLASS[_c] == _REST:
+        _kind = unicodedata.category(_s)[0]
+        _CLASS[_c] = _LOWER if _kind in "LM" else _MARK if _kind == "P" else _REST
 _NOTICE = re.compile(r"licen[cs]e|copyright|rights reserved|cookie|click here|subscribe|javascript", re.I)
 OWN = 19
 #: Columns of the own features that a line also gets from its neighbours.
@@ -47,7 +53,7 @@ def line_features(text: str | None) -> np.ndarray:
     """lines x FEATURES."""
     text = text or ""
     lines = text.split("\n")
-    data = _CLASS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+    data = _CLASS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), CLASSES)]
     line = np.cumsum(data == _LINE)
     if len(data):
         line[data == _LINE] -= 1
