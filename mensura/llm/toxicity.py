@@ -62,42 +62,18 @@ GRAMS = (2, 3, 4)
 FEATURES = 7
 
 
-def _grams(chunk: str, most: int) -> list[str]:
-    return [] if chunk.isascii() else [x[k : k + n] for x in _UNSPACED.findall(chunk) for n in range(GRAMS[0], most + 1) for k in range(len(x) - n + 1)]
-
-
-def _quoted(before: list[str], chunk: str, after: list[str]) -> bool:
-    """Whether a quotation that starts at a chunk or before it, and has not ended there, ends at it or after it.  A mark that
-    stands alone ends a quotation or, where there is none, starts one."""
-    opens = lambda x: x[0] in _QUOTES
-    bare = lambda x: x.rstrip(".,;:!?")
-    alone = lambda x: len(bare(x)) == 1 and opens(x)
-    closes = lambda x: len(bare(x)) > 1 and bare(x)[-1] in _QUOTES
-    inside = False
-    for x in before:
-        inside = not inside if alone(x) else (inside or opens(x)) and not closes(x)
-    if not (inside or opens(chunk)):
-        return False
-    if closes(chunk):
-        return True
-    for x in after:
-        if alone(x):
-            return True
-        if opens(x):
-            return False  # the next quotation starts: what came before it had no end
-        if closes(x):
-            return True
-    return False
-
-
-def candidates(chunk: str, most: int = GRAMS[-1]) -> list[list[str]]:
+def _grams(chunk: str) -> list[str]:
+    return [] if chunk.isascii() else [x[k : k + n] for x in _UNSPACED.findall(chunk) for n in GRAMS for k in range(len(x) - n + 1)]
+
+
+def candidates(chunk: str) -> list[list[str]]:
     """The ways of reading a chunk as words, finest first: runs, soft pieces, pieces between -, / and _, the whole."""
     whole = chunk.strip(_EDGES)
     if whole.isalnum() and whole.isascii():
         return [[whole]]
     ways = [_RUN.findall(chunk), [x.strip(_EDGES) for x in _SOFT.findall(chunk)]]
     ways += [whole.split(s) for s in _SPLITS if s in whole]
-    return [_grams(chunk, most), *ways, [whole]]
+    return [_grams(chunk), *ways, [whole]]
 
 
 def allowed_errors(term: str) -> int:
@@ -200,11 +176,29 @@ class Scanner:
         # a hit may be one letter longer than its term
         self.most = max([GRAMS[-1], *(len(t) + 1 for t in matcher.terms if _UNSPACED.search(t))])
 
+    def _unspaced(self, chunk: str) -> list[tuple[int, str]]:
+        """The hits within the stretches of scripts without spaces, at every place and length: all without errors, and those with
+        errors, fewest first, that overlap no other."""
+        if chunk.isascii():
+            return []
+        met = []
+        for x in _UNSPACED.finditer(chunk):
+            for n in range(GRAMS[0], self.most + 1):
+                for k in range(x.start(), x.end() - n + 1):
+                    if m := self.matcher.match(chunk[k : k + n]):
+                        met.append((m[0], k, k + n, m[1]))
+        kept: list[tuple[int, int, int, str]] = []
+        for errors, a, b, term in sorted(met):
+            if not errors or all(b <= c or d <= a for _, c, d, _ in kept):
+                kept.append((errors, a, b, term))
+        return [(errors, term) for errors, _, _, term in sorted(kept, key=lambda h: h[1:3])]
+
     def _look(self, chunk: str) -> None:
         """Keeps the hits of the reading with most of them, of those the one with the fewest errors."""
-        found: list[tuple[int, str]] = []
+        found = self._unspaced(chunk)
         self.held += ENTRY + 4 * len(chunk)
-        for way in candidates(chunk, self.most):
+        ways = candidates(chunk)
+        for way in ways[len(ways) > 1 :]:
             hits = [m for p in way if p and (m := self.matcher.match(p))]
             if hits and (len(hits), -sum(e for e, _ in hits)) > (len(found), -sum(e for e, _ in found)):
                 found = hits
@@ -225,7 +219,7 @@ class Scanner:
             for k, c in enumerate(chunks):
                 if c in self.hits:
                     before, after = chunks[max(0, k - WINDOW) : k], chunks[k + 1 : k + 1 + WINDOW]
-                    marks = _quoted(before, c, after)
+                    marks = (c[0] in _QUOTES or any(x[0] in _QUOTES for x in before)) and (c[-1] in _QUOTES or any(x.rstrip(".,;:!?")[-1:] in _QUOTES and x.rstrip(".,;:!?") for x in [c, *after]))
                     near = {x.strip(_EDGES) for x in before + after}.union(*(_RUN.findall(x) for x in [*before, *after, *[c] * (not c.strip(_EDGES).isalnum())]))
                     weights = 0.5 * marks + 0.5 * (not REPORTING.isdisjoint(near)), float(not ADDRESS.isdisjoint(near))
                     out += [(k, term, errors, *weights) for errors, term in self.hits[c]]
