@@ -24,6 +24,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import struct
 import sys
 import unicodedata
@@ -41,6 +42,7 @@ from .common import over_batches, scored, table
 #: Bytes that each of a task's two caches may hold (an entry counts its key, its value and ENTRY bytes of objects), the
 #: longest word or chunk kept, and the characters of a text taken at a time.
 CACHE_BYTES, ENTRY, CACHED_CHARS, SEGMENT = 48_000_000, 200, 64, 1 << 16
+_BEYOND_LATIN = re.compile("[^\x00-\xff]")
 _NO_SPACE_FOR_THE_LIBRARY = "\x1c\x1d\x1e\x1f"
 
 
@@ -130,7 +132,7 @@ class Transducer:
         self.bytes = byte_alphabet()
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words, self.later_words = word_patterns(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        self.later = regex.compile(f"[{_ranges(later_points())}]")
+        self.later = re.compile(f"[{_ranges(later_points())}]")
         self.forms = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
 
@@ -189,7 +191,7 @@ class Transducer:
     def chunks(self, text: str) -> Iterator[str]:
         """The normalised text in pieces without white space; no word of the pre-tokeniser reaches over one."""
         if not text.isascii():
-            text = self.forms.normalize_str(text) if self.later.search(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            text = self.forms.normalize_str(text) if self.is_later(text) else unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
         if any(c in text for c in _NO_SPACE_FOR_THE_LIBRARY):
             return (w[0] for w in self.words_of(text))
@@ -197,8 +199,15 @@ class Transducer:
 
     def words_of(self, part: str) -> Iterator[regex.Match]:
         """The pre-tokeniser's words in a normalised piece."""
-        later = not part.isascii() and self.later.search(part)
-        return (self.later_words if later else self.words).finditer(part)
+        return (self.later_words if not part.isascii() and self.is_later(part) else self.words).finditer(part)
+
+    def is_later(self, text: str) -> bool:
+        """Whether a text holds characters of later_points(), none of which is in Latin-1."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.later.search("".join(set(_BEYOND_LATIN.findall(text)))) is not None
+        return False
 
     def parts(self, text: str | None) -> Iterator[str]:
         """Special tokens and normalised chunks of a text, in order."""
