@@ -85,18 +85,21 @@ def _ranges(points: Iterable[int]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
 
 
-@lru_cache(1)
-def unknown_points() -> list[int]:
+def unknown_points() -> Iterator[int]:
     """The code points that Python's Unicode tables do not have."""
-    return [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    return (c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
 
 
-@lru_cache(1)
-def later_points() -> list[int]:
+def later_points() -> Iterator[int]:
     """The code points whose normal forms may differ between versions: all but those that Unicode 3.2 had, with the combining class
     that they have now (forms of assigned characters are stable)."""
     old = unicodedata.ucd_3_2_0
-    return [c for c in range(sys.maxunicode + 1) if old.category(x := chr(c)) == "Cn" or old.combining(x) != unicodedata.combining(x)]
+    return (c for c in range(sys.maxunicode + 1) if old.category(x := chr(c)) == "Cn" or old.combining(x) != unicodedata.combining(x))
+
+
+@lru_cache(1)
+def later_pattern() -> re.Pattern:
+    return re.compile(f"[{_ranges(later_points())}]")
 
 
 @lru_cache(4)
@@ -132,7 +135,7 @@ class Transducer:
         self.bytes = byte_alphabet()
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.words, self.later_words = word_patterns(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split"))
-        self.later = re.compile(f"[{_ranges(later_points())}]")
+        self.later = later_pattern()
         self.forms = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.cuts = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")")
 
