@@ -37,6 +37,8 @@ BYTES = 8
 WORDS = 100_000
 #: Postings of up to so many members are tallied member by member.
 SHORT = 24
+#: The share of all rows from which on a fingerprint's rows are salted, and the salts.
+HOT, SALTS = 0.001, 64
 #: Positions that a posting leaves free: all but the guaranteed minimum of shared positional bytes.
 FREE: list[tuple[int, ...]] = [tuple(x) for x in combinations(range(BYTES), NEAR)]
 
@@ -208,14 +210,19 @@ def links(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id of every row."""
     rows = stored(over_batches(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id long, fp long", _fingerprints))
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
     merged = components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "component")
     joined = merged.join(classes, "fp")
     smallest = joined.groupBy("component").agg(F.min("least").alias("smallest"))
     told = classes.join(joined.select("fp", "component").join(smallest, "component"), "fp", "left")
     # a class in a component has that component's smallest id, even a null one of its own
     told = told.select("fp", F.coalesce("smallest", "least").alias("component_id"))
-    return rows.join(told, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # rows of a fingerprint that many have are dealt to several tasks; fewer than 1 / HOT fingerprints can be so frequent
+    hot = [r["fp"] for r in classes.filter(F.col("copies") > HOT * rows.count()).select("fp").collect()]
+    often = F.col("fp").isin(hot) if hot else F.lit(False)
+    salted = rows.withColumn("salt", F.when(often, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0).cast("int"))
+    told = told.withColumn("salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(told, ["fp", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
