@@ -2,44 +2,80 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-from mensura.operators.spatial import kept
+from pyspark.sql import types as T
 
 SCOPE = ("company", "region", "supplier")
-#: Days are counted from here in ranges of powers of 2**STEP days, LEVELS of them above single days; what lies outside of the
-#: calendar is looked up with its first or last day.
-FIRST_DAY, STEP, LEVELS = "1900-01-01", 3, 6
-DAYS = 1 << STEP * LEVELS
+KEY = ("material_name", "open", *SCOPE)
+#: Days are counted from 1970 on; a price without a first or last day holds from or to these.
+FIRST, LAST = -(1 << 31), (1 << 31) - 1
+#: A request is looked up among the changes of its 2**SPAN days.
+SPAN = 5
+
+
+def _day(date: str) -> Column:
+    return F.unix_date(F.col(date).cast("date"))
+
+
+def _in_force(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """(key, day, row or None): who is in force from a day on, of rows (key, since, until, ...) sorted by key, start and rank.  A row
+    outranks those before it, so that whoever ends no later than it is never in force again: ends fall towards the top of the stack."""
+    held: list[tuple] = []
+    last: tuple | None = None
+
+    def changes() -> Iterator[tuple]:
+        nonlocal held
+        key = None
+        for row in rows:
+            while held and (row[0] != key or held[-1][2] <= row[1]):
+                day = held.pop()[2]
+                yield key, day, held[-1] if held else None
+            key = row[0]
+            while held and held[-1][2] <= row[2]:
+                held.pop()
+            held.append(row)
+            yield key, row[1], row
+        while held:
+            day = held.pop()[2]
+            yield key, day, held[-1] if held else None
 
+    for change in changes():
+        if last is not None and last[:2] != change[:2]:  # of the changes of a day the last one counts
+            yield last
+        last = change
+    if last is not None:
+        yield last
 
-def _day(date: Column, most: int) -> Column:
-    """A day's number within the calendar, null for none."""
-    return F.when(date.isNotNull(), F.least(F.greatest(F.datediff(date, F.lit(FIRST_DAY).cast("date")), F.lit(0)), F.lit(most)))
 
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds: list[pa.DataType] = []
 
-def _range(level: Column, number: Column) -> Column:
-    return F.struct(level, number.alias("number"))
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            kinds[:] = [*b.schema.types]
+            key, rest = zip(*(b.column(k).to_pylist() for k in range(len(KEY)))), [b.column(k).to_pylist() for k in range(len(KEY), b.num_columns)]
+            yield from zip(key, *rest)
 
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = [*zip(*((*key, day, r is not None, *(r[3:] if r else (None, None))) for key, day, r in found))]
+        types = [*kinds[: len(KEY)], pa.int32(), pa.bool_(), *kinds[len(KEY) + 2 :]]
+        names = [*KEY, "day", "held", "unit_price", "price_seq"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-def _ranges(since: Column, until: Column) -> Column:
-    """The fewest ranges, (level, number), that make up [since, until): fewer than 2**(STEP + 1) of a level."""
-    from_ = lambda k: F.shiftright(since + (1 << STEP * k) - 1, STEP * k)
-    to = lambda k: F.shiftright(until, STEP * k)
-    numbers = lambda low, high: F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
-    found = []
-    for k in range(LEVELS + 1):
-        low, high = from_(k), to(k)
-        mine = numbers(low, high)
-        if k < LEVELS:  # what wider ranges leave at either end
-            wide_low, wide_high = F.shiftleft(from_(k + 1), STEP), F.shiftleft(to(k + 1), STEP)
-            mine = F.when(wide_low < wide_high, F.concat(numbers(low, wide_low), numbers(wide_high, high))).otherwise(mine)
-        level = F.lit(k).alias("level")
-        found.append(F.transform(mine, functools.partial(_range, level)))
-    return F.concat(*found)
+    found: list[tuple] = []
+    for change in _in_force(rows()):
+        if change[1] < LAST:
+            found.append(change)
+        if len(found) == 10_000:
+            yield batch(found)
+            found = []
+    if found:
+        yield batch(found)
 
 
 def in_scope(prices: DataFrame, asked: DataFrame) -> DataFrame:
@@ -48,29 +84,44 @@ def in_scope(prices: DataFrame, asked: DataFrame) -> DataFrame:
     effective_from counted in, effective_to out, and whose scope is the request's or open (null), the most specific one:
     company before region before supplier; then the latest effective_from (undated ones last), then the largest seq.
 
-    Intervals are cut into ranges of days of a few sizes, and a day lies in one range of each size: an equi-join on material,
-    scope and range, in which a price meets only requests of its days.  A request that no price answers stays, without one;
-    a price whose days are none (effective_to not after effective_from) answers none."""
-    since = F.coalesce(_day(F.col("effective_from"), DAYS - 1), F.lit(0))
-    until = F.coalesce(_day(F.col("effective_to"), DAYS), F.lit(DAYS))
+    1. The prices of a material and scope, sorted by their start, give the days on which another one comes into force.
+    2. Each scope that is asked for takes the changes of its at most eight prices' scopes together, in a window by days, and
+       lays them down by spans of 2**SPAN days, as far as it is asked for.
+    3. A request looks at its own span: an equi-join that leaves one row a request.
+    No price is paired with a request, so that work and disk grow with both, not with their product.  A request that no price
+    answers stays, without one; a price whose days are none (effective_to not after effective_from) answers none."""
     bits = list(zip(SCOPE, (4, 2, 1)))
     open_ = sum((F.col(c).isNull().cast("int") * b for c, b in bits), F.lit(0)).alias("open")
-    cut = prices.select("material_name", *SCOPE, "unit_price", "seq", "effective_from", "effective_to", open_, F.explode(_ranges(since, until)).alias("r"))
-    scoped = kept(cut.select("material_name", *[F.coalesce(c, F.lit("")).alias(c) for c in SCOPE], "unit_price", "seq", "effective_from", "effective_to", "open", "r.level", "r.number"))
-    # a request looks only where prices are: at most 8 kinds of scope, each with its levels
-    levels: dict[int, list[int]] = {}
-    for r in scoped.select("open", "level").distinct().orderBy("open", "level").collect():
-        levels.setdefault(r["open"], []).append(r["level"])
-    rows = kept(asked.withColumn("row", F.monotonically_increasing_id()))
-    day = _day(F.col("on"), DAYS - 1)
-    way = lambda m, ks: F.struct(F.lit(m).alias("open"), *[(F.lit("") if m & b else F.col(c)).alias(c) for c, b in bits], F.array(*map(F.lit, ks)).alias("levels"))
-    none = F.array().cast("array<struct<open:int,company:string,region:string,supplier:string,levels:array<int>>>")
-    probes = rows.filter("on IS NOT NULL").select("row", "material_name", "on", day.alias("day"), F.explode(F.array(*[way(*w) for w in levels.items()]) if levels else none).alias("w"))
-    probes = probes.select("row", "material_name", "on", "day", "w.*").select("row", "material_name", "on", "open", *SCOPE, "day", F.explode("levels").alias("level"))
-    probes = probes.withColumn("number", F.expr(f"shiftright(day, {STEP} * level)")).drop("day")
-    # days that the calendar puts together are told apart here
-    holds = (F.coalesce(F.col("effective_from") <= F.col("on"), F.lit(True))) & (F.coalesce(F.col("on") < F.col("effective_to"), F.lit(True)))
-    met = probes.join(scoped, ["material_name", "open", *SCOPE, "level", "number"]).filter(holds)
-    rank = F.struct((-F.col("open")).alias("closed"), F.col("effective_from").isNotNull().alias("dated"), "effective_from", "seq")
-    best = met.groupBy("row").agg(F.max_by(F.struct("unit_price", F.col("seq").alias("price_seq")), rank).alias("m"))
-    return rows.join(best, "row", "left").select(*asked.columns, "m.unit_price", "m.price_seq")
+    since, until = F.coalesce(_day("effective_from"), F.lit(FIRST)).alias("since"), F.coalesce(_day("effective_to"), F.lit(LAST)).alias("until")
+    rank = F.coalesce(F.col("seq").cast("long"), F.lit(-(1 << 63))).alias("rank")
+    given = prices.filter("material_name IS NOT NULL").select("material_name", open_, *[F.coalesce(c, F.lit("")).alias(c) for c in SCOPE], since, until, "unit_price", "seq", rank)
+    best = given.filter("since < until").groupBy(*KEY, "since", "until").agg(F.max_by("unit_price", "rank").alias("unit_price"), F.max_by("seq", "rank").alias("price_seq"), F.max("rank").alias("rank"))
+    ordered = best.repartition(*KEY).sortWithinPartitions(*KEY, "since", "rank").drop("rank")
+    schema = T.StructType([*[best.schema[c] for c in KEY], T.StructField("day", T.IntegerType()), T.StructField("held", T.BooleanType()), best.schema["unit_price"], best.schema["price_seq"]])
+    changes = ordered.mapInArrow(_changes, schema)
+    # a request looks only where prices are: at most 8 kinds of scope
+    kinds = sorted(r["open"] for r in prices.select(open_).distinct().collect())
+    way = lambda m: F.struct(F.lit(m).alias("open"), *[(F.lit("") if m & b else F.col(c)).alias(f"k_{c}") for c, b in bits])
+    none = F.array().cast("array<struct<open:int,k_company:string,k_region:string,k_supplier:string>>")
+    scope = ("material_name", *SCOPE)
+    wanted = asked.filter("material_name IS NOT NULL AND on IS NOT NULL").select(*scope, _day("on").alias("day")).groupBy(*scope).agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    wanted = wanted.withColumn("w", F.explode(F.array(*map(way, kinds)) if kinds else none)).select(*scope, "low", "high", "w.*")
+    state = F.struct("held", "unit_price", "price_seq").alias("state")
+    told = changes.select("material_name", "open", *[F.col(c).alias(f"k_{c}") for c in SCOPE], "day", state)
+    met = wanted.join(told, ["material_name", "open", *[f"k_{c}" for c in SCOPE]])
+    along = W.partitionBy(*scope).orderBy("day")
+    now = [F.last(F.when(F.col("open") == m, F.col("state")), ignorenulls=True).over(along).alias(f"s{m}") for m in kinds]
+    known = met.select(*scope, "low", "high", F.col("day").alias("since"), F.coalesce(F.lead("day").over(along), F.lit(LAST)).alias("until"), *now)
+    first = F.coalesce(F.lit(None).cast(met.schema["state"].dataType), *[F.when(F.col(f"s{m}.held"), F.col(f"s{m}")) for m in kinds])
+    laid = known.select(*scope, F.greatest("since", "low").alias("since"), F.least("until", F.col("high") + 1).alias("until"), first.alias("m")).filter("since < until AND m IS NOT NULL")
+    laid = laid.select(*scope, F.explode(F.sequence(F.shiftright("since", SPAN), F.shiftright(F.col("until") - 1, SPAN))).alias("span"), F.struct("since", "until", "m.unit_price", "m.price_seq").alias("m"))
+    spans = laid.groupBy(*scope, "span").agg(F.collect_list("m").alias("found"))
+    # the request passes as one column, so that no name of its can clash
+    rows = asked.select(F.struct(*[asked[f"`{c}`"] for c in asked.columns]).alias("asked"))
+    day = F.unix_date(F.col("asked.on").cast("date"))
+    same = F.col("asked.material_name") == spans["material_name"]
+    for c in SCOPE:
+        same &= F.col(f"asked.{c}").eqNullSafe(spans[c])
+    joined = rows.join(spans, same & (F.shiftright(day, SPAN) == spans["span"]), "left")
+    answer = F.get(F.filter("found", lambda m: (m["since"] <= day) & (day < m["until"])), F.lit(0))
+    return joined.select("asked", answer.alias("m")).select("asked.*", "m.unit_price", "m.price_seq")
