@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mensura.functions.numbers import correctly_rounded
 from mensura.functions.texts import scale_denominator
-from mensura.operators.chains import ranks
-from mensura.operators.spatial import components, keep_first, kept
+from mensura.operators.spatial import keep_first
 
 
 def points_of(items: Column) -> Column:
@@ -48,8 +51,7 @@ def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str
     if order == "path":
         lines = run_order(members, "ord", tolerance).withColumn("points", F.flatten("polylines"))
         routes = chosen.join(lines, "ord").select(*[c for c in clusters.columns], "layer", "points", "polylines")
-        total = F.aggregate(F.transform("polylines", raw_length), F.lit(0.0), lambda a, b: a + b)
-        measured = routes.withColumn("length_m", correctly_rounded(total * scale_denominator(F.col("scale")), 3))
+        measured = routes.withColumn("length_m", path_length(F.col("polylines"), F.col("scale")))
     else:
         pooled = members.select("ord", F.explode("points").alias("p")).groupBy("ord").agg(F.array_sort(F.collect_list("p")).alias("points"))
         routes = chosen.join(pooled, "ord").filter(F.size("points") >= 2).select(*[c for c in clusters.columns], "layer", "points")
@@ -57,40 +59,62 @@ def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str
     return keep_first(measured, F.array_join(F.array_sort("members"), ","), [F.col("ord")])
 
 
-def run_order(members: DataFrame, group: str = "ord", tolerance: float = 1e-6) -> DataFrame:
-    """group, polylines: the members (group, id, points in their own order) of every run chained end to end.
+def _chained(a: list, b: list) -> list[list[int]]:
+    """Polylines of lines from node a to node b, as halves in order: 2k is line k as drawn, 2k + 1 backwards."""
+    start = [n for pair in zip(a, b) for n in pair]
+    at: dict[tuple, list[int]] = {}
+    for h, n in enumerate(start):
+        at.setdefault(n, []).append(h)
+    meets = {h: other for pair in at.values() if len(pair) == 2 for h, other in (pair, pair[::-1])}
+    order = sorted(range(len(start)), key=lambda h: (start[h], h))
+    seen, out = [False] * len(a), []
+    # a chain is walked from its smaller end; what is left has no ends
+    for h in [h for h in order if h not in meets] + order:
+        line = []
+        while h is not None and not seen[h >> 1]:
+            seen[h >> 1] = True
+            line.append(h)
+            h = meets.get(h ^ 1)
+        if line:
+            out.append(line)
+    return sorted(out, key=lambda line: (start[line[0]], line[0]))
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with `halves`: _chained for the members of each row."""
+    for batch in batches:
+        members = batch.column("members")
+        flat, offsets = members.flatten(), members.offsets.to_pylist()
+        # nulls count as smallest, as in Spark
+        whole = lambda name: [(v is not None, v or 0) for v in flat.field(name).to_pylist()]
+        a, b = ([*zip(whole(f"{p}x"), whole(f"{p}y"))] for p in "ab")
+        found = [_chained(a[i - offsets[0] : j - offsets[0]], b[i - offsets[0] : j - offsets[0]]) for i, j in zip(offsets, offsets[1:])]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.list_(pa.int32())))], names=[*batch.schema.names, "halves"])
+
+
+def run_order(members: DataFrame, group: str = "ord", tolerance: float = 1e-6, also: tuple[str, ...] = ()) -> DataFrame:
+    """group, polylines: the members (group, id, points in their own order) of every run chained end to end; of the columns `also`,
+    which a run's members have in common, one value each.
 
     Ends that round to the same multiple of `tolerance` meet.  Two ends that meet alone are joined; where three or more
     meet, polylines end.  Each polyline starts at its smaller end (x, then y, then id), a closed one there where its cut gives the
-    smallest start; members of fewer than two points have no ends and are left out."""
+    smallest start; members of fewer than two points have no ends and are left out.
+
+    A run's members are brought together once, as its result is one row, and chained there in linear time by the nodes of their
+    ends; their points stay in the JVM's row and in Arrow."""
     whole = lambda v: F.round(v / tolerance).cast("long")
     first, last = F.col("points")[0], F.try_element_at("points", F.lit(-1))
-    node = lambda p: F.struct(whole(p["x"]).alias("x"), whole(p["y"]).alias("y"))
-    lines = kept(members.filter(F.size("points") >= 2).select(F.col(group).alias("g"), "id", "points", F.monotonically_increasing_id().alias("e")))
-    way = lambda k, a, b: F.struct(F.lit(k).alias("way"), node(a).alias("a"), node(b).alias("b"))
-    half = lines.select("g", "id", "e", F.explode(F.array(way(0, first, last), way(1, last, first))).alias("w"))
-    half = kept(half.select("g", "id", "e", (F.col("e") * 2 + F.col("w.way")).alias("h"), F.col("w.a").alias("a")))
-    meeting = half.groupBy("g", "a").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("one"), F.max("h").alias("two"))
-    around = half.join(meeting, ["g", "a"]).select("h", F.when(F.col("n") == 2, F.col("one") + F.col("two") - F.col("h")).alias("other"))
-    links = kept(around.select(F.col("h").bitwiseXOR(F.lit(1).cast("long")).alias("node"), F.col("other").alias("next")))
-
-    # members of a chain have one label, the smallest of them; a chain without ends is cut before that one
-    joined = links.filter("next IS NOT NULL").select(F.shiftright("node", 1).alias("a"), F.shiftright("next", 1).alias("b"))
-    labels = components(joined.unionByName(joined.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    ended = links.filter("next IS NULL").select(F.shiftright("node", 1).alias("e")).distinct()
-    chained = lines.select("e").join(labels.select(F.col("node").alias("e"), "component"), "e", "left").select("e", F.coalesce("component", "e").alias("chain"))
-    open_ = chained.join(ended, "e").select("chain").distinct().withColumn("open", F.lit(True))
-    # an order of its members that does not depend on their rows
-    cuts = chained.join(open_, "chain", "left_anti").join(half.select("e", "id", "a"), "e").groupBy("chain").agg(F.min(F.struct("a", "id", "e")).alias("m")).select(F.col("m.e").alias("cut"))
-    closed = links.join(cuts, F.shiftright(links["next"], 1) == cuts["cut"], "left")
-    linked = closed.select("node", F.when(F.col("cut").isNull(), F.col("next")).alias("next"))
-    placed = half.join(ranks(linked).withColumnRenamed("node", "h"), "h").join(chained, "e")
-    # a chain is walked both ways; its smaller start decides
-    starts = placed.groupBy("g", "chain", "last").agg(F.max_by(F.struct("a", "id", "h"), "after").alias("start"))
-    chosen = starts.groupBy("g", "chain").agg(F.min(F.struct("start", "last")).alias("m")).select("chain", F.col("m.last").alias("last"), F.col("m.start").alias("start"))
-    parts = placed.join(chosen.select("chain", "last"), ["chain", "last"]).join(lines.select("e", "points"), "e")
-    oriented = F.when(F.col("h") % 2 == 0, F.col("points")).otherwise(F.reverse("points"))
-    line = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("at"), oriented.alias("points")))), lambda m: m["points"]))
-    whole_lines = parts.groupBy("g", "chain").agg(line.alias("line")).join(chosen.select("chain", F.col("start.a").alias("from"), F.col("start.id").alias("of")), "chain")
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("from", "of", "line"))), lambda m: m["line"])
-    return whole_lines.groupBy("g").agg(in_order.alias("polylines")).withColumnRenamed("g", group)
+    ends = [whole(p[c]).alias(f"{n}{c}") for n, p in (("a", first), ("b", last)) for c in "xy"]
+    lines = members.filter(F.col(group).isNotNull() & (F.size("points") >= 2)).select(F.col(group).alias("g"), F.struct(F.lit(0), *also).alias("also"), F.struct("id", *ends, "points").alias("member"))
+    runs = lines.groupBy("g").agg(F.first("also").alias("also"), F.array_sort(F.collect_list("member")).alias("members"))
+    runs = runs.mapInArrow(_in_order, T.StructType([*runs.schema.fields, T.StructField("halves", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    points = lambda h: F.get("members", F.shiftright(h, 1))["points"]
+    oriented = lambda h: F.when(h % 2 == 0, points(h)).otherwise(F.reverse(points(h)))
+    found = runs.select("g", "also", F.transform("halves", lambda line: F.flatten(F.transform(line, oriented))).alias("polylines"))
+    return found.select(F.col("g").alias(group), *[F.col(f"also.{c}").alias(c) for c in also], "polylines")
+
+
+def path_length(polylines: Column, scale: Column) -> Column:
+    """The lengths of a run's polylines, added up."""
+    total = F.aggregate(F.transform(polylines, raw_length), F.lit(0.0), lambda a, b: a + b)
+    return correctly_rounded(total * scale_denominator(scale), 3)

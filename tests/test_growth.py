@@ -1,9 +1,12 @@
 """Rows that pass through a query's joins when many rows meet under one key."""
 
 import datetime
+import pathlib
 import random
 
+import __spark_entry__
 from mensura.operators import scopes
+from mensura.operators.spatial import checkpoint_folder
 
 
 def most_rows(df):
@@ -37,3 +40,13 @@ def test_price_in_scope_pairs_no_price_with_a_request(spark):
     assert most_rows(got) < 4 * (len(prices) + len(asked))
     want = {a[0]: max(((p[5], p[7]) for p in prices if p[5] <= a[5]), default=(None, None))[1] for a in asked}
     assert {r.ask_id: r.price_seq for r in got.collect()} == want
+
+
+def stored(spark):
+    return {p for p in pathlib.Path(checkpoint_folder(spark).removeprefix("file:")).rglob("*") if p.is_file()}
+
+
+def test_runs_in_order_store_no_rounds(spark):
+    before = stored(spark)
+    found = __spark_entry__.queries()["route_path_order"](spark, __spark_entry__.SMOKE)
+    assert found.count() > 100 and stored(spark) == before
