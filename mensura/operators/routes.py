@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from mensura.functions.numbers import correctly_rounded
 from mensura.functions.texts import scale_denominator
-from mensura.operators.spatial import keep_first
+from mensura.operators.spatial import keep_first, spread
 
 
 def points_of(items: Column) -> Column:
@@ -43,11 +43,11 @@ def measure_routes(clusters: DataFrame, paths: DataFrame, route_layers: list[str
     points are pooled and sorted; order='path': members are chained at ends that meet (run_order), and the lengths of the
     polylines added up, so that a run's length does not depend on how its members are listed or drawn."""
     counted = clusters.filter(~((F.col("cluster_id") == -1) & (F.size("members") <= 1)))
-    known = paths.select("id", "layer", "points")
+    known = spread(paths.select("id", "layer", "points"), "id")
     # the first member's layer decides, before any points move
     first = counted.select("ord", F.try_element_at("members", F.lit(1)).alias("id")).join(known.select("id", "layer"), "id").filter(F.col("layer").isin(route_layers)).select("ord", "layer")
     chosen = counted.join(first, "ord")
-    members = chosen.select("ord", F.explode("members").alias("id")).join(known.select("id", "points"), "id")
+    members = spread(chosen.select("ord", F.explode("members").alias("id")).join(known.select("id", "points"), "id").select("ord", "id", "points"), "ord")
     if order == "path":
         lines = run_order(members, "ord", tolerance).withColumn("points", F.flatten("polylines"))
         routes = chosen.join(lines, "ord").select(*[c for c in clusters.columns], "layer", "points", "polylines")

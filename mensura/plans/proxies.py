@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mensura.operators.spatial import spread
+
 _LAYERS = ["LIGHTING", "SWITCHES", "SOCKET", "POWER", "DB", "AC", "CABLE_TRAY", "CONDUIT", "lighting", None, "WALLS", "E-lt-fix-nm-clg"]
 _MATERIALS = "card_reader magnetic_lock push_button door_controller cable_tray_section tray_fitting support_hanger conduit_pipe conduit_fitting clamp panel_board disconnect_switch circuit_breakers busbars lighting_unit lampholder wiring power_outlet socket_outlet box".split()
 
@@ -60,10 +62,14 @@ VIEWS = {
     "layer_groups": "SELECT p_type AS name, CASE WHEN p_size % 2 = 0 THEN 'ON' ELSE 'OFF' END AS status, CAST(p_size AS BIGINT) AS count, p_partkey AS ordinal FROM {part}",
 }
 
+# tables that a view's windows and joins meet by a key, and what is grouped after them; none of them is small enough to broadcast
+SPREAD = {"items": {"lineitem": "l_orderkey"}, "vertices": {"lineitem": "l_orderkey", "orders": "o_orderkey"}}
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace("@1", "0").replace("@2", "1")
     tables = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in set(re.findall(r"\{(\w+)\}", text))}
+    tables |= {t: spread(tables[t], key).hint("merge") for t, key in SPREAD.get(name, {}).items()}
     return spark.sql(text, **tables)
 
 

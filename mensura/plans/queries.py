@@ -561,13 +561,12 @@ SELECT l.route_id, f.layer, m.assembly_type, l.length_m FROM lengths l JOIN firs
 @registered("route_measure", _ROUTED)
 def route_measure(spark: SparkSession, d: str) -> DataFrame:
     v = view(spark, d, "vertices")
-    name = F.concat(F.col("route_id").cast("string"), F.lit("-"), F.col("pos").cast("string"))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("pos", name.alias("id")))), lambda m: m["id"])
+    name = lambda route: F.concat(F.col(route).cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("id")
+    members = F.transform(F.array_sort(F.collect_list(F.struct("pos", name("route_id")))), lambda m: m["id"])
     clusters = v.groupBy(F.col("route_id").alias("ord")).agg(F.first("scale").alias("scale"), members.alias("members")).withColumn("cluster_id", F.lit(0))
-    i = view(spark, d, "items").select(F.col("l_orderkey").alias("route_id"), "pos", "layer")
-    one = v.groupBy(name.alias("id"), "route_id", "pos").agg(F.collect_list(F.struct("x", "y")).alias("points"))
-    layer = i.groupBy("route_id", "pos").agg(F.first("layer").alias("layer"))
-    paths = one.join(layer, ["route_id", "pos"]).select("id", "layer", "points")
+    # a route's places are numbered in both views, so that an id has one row in each
+    one = spatial.spread(v.select(name("route_id"), F.array(F.struct("x", "y")).alias("points")), "id")
+    paths = one.join(view(spark, d, "items").select(name("l_orderkey"), "layer"), "id")
     wanted = [n for n, a in rules.layer_rows() if a in rules.ROUTE_ASSEMBLIES]
     measured = routes.measure_routes(clusters, paths, wanted).join(F.broadcast(rules.layers(spark)), "layer")
     return measured.select(F.col("ord").alias("route_id"), "layer", "assembly_type", "length_m")

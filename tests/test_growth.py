@@ -7,6 +7,7 @@ import random
 import __spark_entry__
 from mensura.operators import scopes, spatial
 from mensura.operators.spatial import checkpoint_folder
+from mensura.plans.proxies import view
 
 
 def most_rows(df):
@@ -72,3 +73,9 @@ def test_near_boxes_stay_spread_over_tasks(spark):
     boxes = [("s", k, float(k % 40), 0.0, float(k % 40 + 3), 2.0) for k in range(400)]
     found = spatial.near_boxes(spark.createDataFrame(boxes, "layer string, ord long, x0 double, y0 double, x1 double, y1 double"), 0.0)
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_routes_stay_spread_over_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert view(spark, __spark_entry__.SMOKE, "items").rdd.getNumPartitions() == tasks
+    assert __spark_entry__.queries()["route_measure"](spark, __spark_entry__.SMOKE).rdd.getNumPartitions() == tasks
