@@ -79,3 +79,10 @@ def test_routes_stay_spread_over_tasks(spark):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert view(spark, __spark_entry__.SMOKE, "items").rdd.getNumPartitions() == tasks
     assert __spark_entry__.queries()["route_measure"](spark, __spark_entry__.SMOKE).rdd.getNumPartitions() == tasks
+
+
+def test_spaces_stay_spread_and_broadcast_no_orders(spark):
+    found = __spark_entry__.queries()["space_volume"](spark, __spark_entry__.SMOKE)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
