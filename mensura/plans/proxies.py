@@ -69,7 +69,9 @@ SPREAD = {"items": {"lineitem": "l_orderkey"}, "vertices": {"lineitem": "l_order
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name].replace("@1", "0").replace("@2", "1")
     tables = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in set(re.findall(r"\{(\w+)\}", text))}
-    tables |= {t: spread(tables[t], key).hint("merge") for t, key in SPREAD.get(name, {}).items()}
+    met = SPREAD.get(name, {})
+    rows = sum(tables[t].count() for t in met)  # from the footers of the files
+    tables |= {t: spread(tables[t], key, rows=rows).hint("merge") for t, key in met.items()}
     return spark.sql(text, **tables)
 
 

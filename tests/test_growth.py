@@ -4,6 +4,8 @@ import datetime
 import pathlib
 import random
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from mensura.operators import scopes, spatial
 from mensura.operators.spatial import checkpoint_folder
@@ -86,3 +88,19 @@ def test_spaces_stay_spread_and_broadcast_no_orders(spark):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_spaces_of_many_rows_take_more_tasks(spark, tmp_path):
+    orders, tasks = 400_000, spark.conf.get("spark.sql.shuffle.partitions")
+    corners = F.array(*[F.struct(F.lit(k).alias("l_linenumber"), F.lit(x).alias("l_quantity")) for k, x in ((1, 1.0), (2, 5.0), (3, 7.0), (4, 2.0))])
+    lines = spark.range(orders).select(F.col("id").alias("l_orderkey"), F.lit(1).cast("long").alias("l_partkey"), F.lit(1.0).alias("l_extendedprice"), F.inline(corners))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(orders).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = __spark_entry__.queries()["space_volume"](spark, str(tmp_path))
+        per_task = found.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("routes"), F.min("area").alias("least"), F.max("area").alias("most")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert sum(r.routes for r in per_task) == orders and {(r.least, r.most) for r in per_task} == {(9.0, 9.0)}
+    assert max(r.routes for r in per_task) < 0.6 * orders
