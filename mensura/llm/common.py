@@ -7,6 +7,7 @@ import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 #: Texts handed to Python at a time: batches are cut again, so that memory doesn't follow Arrow's row count.
 SLICE_CHARS = 4_000_000
 SLICE_ROWS = 500
+#: Slots of a sieve for each of its keys, and fewest and most of them (32 MB of bits).
+SIEVE_SLOTS, LEAST_SLOTS, MOST_SLOTS = 32, 1 << 16, 1 << 28
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -65,6 +68,27 @@ def scored(name: str, start: Callable[[], Callable[[list], Iterable[float]]]) ->
     return run(F.col(name))
 
 
+def sieve(keys: DataFrame) -> Callable[..., Column]:
+    """Tells of columns, in the order and of the types of the keys' columns, whether they may be one of the keys: true for all that
+    are, and for about one in SIEVE_SLOTS of the others (more once MOST_SLOTS are not enough).  All tasks get bits of the keys'
+    hashes, so that wide rows that meet none of the keys need no shuffle."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (SIEVE_SLOTS * keys.count()).bit_length()))
+    slot = lambda *columns: F.pmod(F.xxhash64(*columns, F.lit(29)), F.lit(slots))
+    taken = keys.select((slot(*keys.columns) + 1).alias("slot"))
+    parts = taken.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    bits = np.zeros(slots // 8, np.uint8)
+    for r in parts.toLocalIterator():  # MOST_SLOTS bits at most
+        bits[(r["part"] - 1) * 4096 : r["part"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        k = at.to_numpy()
+        return pd.Series((shared.value[k >> 3] >> (k & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda *columns: may(slot(*columns))
+
+
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

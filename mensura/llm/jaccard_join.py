@@ -10,7 +10,8 @@
    such heads go through the exchange, where they are linked to the smallest head; never pairs.  The connected
    components of those edges are the blocks that the product can be restricted to.
 3. Classes of a block meet in one task, or, where a block is large (by shingles, classes or bytes of text), in tasks for
-   pairs of sub-blocks of neighbouring size bands.  A task multiplies the incidence matrix with its transpose in
+   pairs of sub-blocks of neighbouring size bands (beyond MOST_CUTS of a band they grow WIDER times instead of getting more, so that
+   a text goes to fewer tasks, which cut their product into tiles).  Only texts of blocks are shuffled.  A task multiplies the incidence matrix with its transpose in
    column strips, adding up overlaps as integers, and drops pairs whose overlap can no longer reach the bound that their
    sizes set.  It returns only a spanning forest of its links and each class's number of links.
 4. Components of the forest give every class the smallest id of its component.
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import over_batches, stored, table
+from .common import over_batches, sieve, stored, table
 from .graph import components
 from .shingles import distinct, mix, shingle_lists
 
@@ -44,6 +45,10 @@ LEAST_BITS, MOST_BITS, SKETCH_PART = 18, 26, 18
 COUNTED = 4
 #: Shingles (or BYTES_A_SHINGLE bytes of text each) and classes of one side of a task, and columns of a strip of the product.
 BLOCK_SHINGLES, BYTES_A_SHINGLE, BLOCK_CLASSES, STRIP = 400_000, 16, 1000, 4096
+#: Sub-blocks of a band of a block up to which they keep that size, and how many times larger they may get then.
+MOST_CUTS, WIDER = 8, 4
+#: The level of a shingle that the counters have met once.
+ONCE = 2
 #: Buckets whose head a task remembers, and sets that it knows; both are forgotten when full, which costs rows only.
 HEADS, KNOWN = 300_000, 300_000
 
@@ -123,7 +128,7 @@ def prefix_length(n: int, numerator: int, denominator: int) -> int:
 
 def _prefixes(size: int, numerator: int, denominator: int, levels: np.ndarray) -> Callable[[], Callable]:
     """(shingle, set, band, null) of the first set that a task meets in a bucket, and (any, set, -1, head) for every
-    further one; a task that has seen a set does not emit it again."""
+    further one; a task that has seen a set does not emit it again.  A shingle that was counted once has no other set to meet."""
     bits = len(levels).bit_length() - 1
     width = -math.log(numerator / denominator)
 
@@ -145,11 +150,13 @@ def _prefixes(size: int, numerator: int, denominator: int, levels: np.ndarray) -
                 p = prefix_length(len(s), numerator, denominator)
                 low = s[: np.searchsorted(s, np.uint64((1 << 64) // COUNTED))]
                 # low shingles come before the others, so a prefix of them alone is a prefix of the whole order
+                level = levels[_slot(low, bits)]
                 if len(low) >= p:
-                    key = (levels[_slot(low, bits)].astype(np.uint64) << np.uint64(56)) | (low >> np.uint64(8))
-                    chosen = low[np.argpartition(key, p - 1)[:p]]
+                    key = (level.astype(np.uint64) << np.uint64(56)) | (low >> np.uint64(8))
+                    chosen = np.argpartition(key, p - 1)[:p]
+                    chosen = low[chosen[level[chosen] > ONCE]]
                 else:
-                    chosen = s[:p]
+                    chosen = np.concatenate([low[level > ONCE], s[len(low) : p]])
                 band = int(math.log(len(s)) / width + 1e-9)
                 mine, near = heads.setdefault(band, {}), set()
                 for shingle in chosen.view(np.int64).tolist():
@@ -210,6 +217,18 @@ def _product(a: list[np.ndarray], b: list[np.ndarray] | None, numerator: int, de
     return list(zip(*(x.tolist() for x in np.nonzero(linked))))
 
 
+def _tiles(sets: list[np.ndarray], chosen: np.ndarray) -> list[np.ndarray]:
+    """The chosen sets in runs of at most BLOCK_CLASSES sets and about BLOCK_SHINGLES shingles."""
+    full = np.cumsum([len(sets[k]) for k in chosen], dtype=np.int64) // BLOCK_SHINGLES
+    return [run[at : at + BLOCK_CLASSES] for run in np.split(chosen, np.flatnonzero(np.diff(full)) + 1) for at in range(0, len(run), BLOCK_CLASSES)]
+
+
+def _cuts(weight: Column, members: Column) -> Column:
+    """The number of sub-blocks of a band of a block."""
+    plain = F.greatest(F.ceil(weight / BLOCK_SHINGLES), F.ceil(members / BLOCK_CLASSES))
+    return F.greatest(F.least(plain, F.lit(MOST_CUTS)), F.ceil(plain / WIDER)).cast("int")
+
+
 def _links(size: int, numerator: int, denominator: int) -> Callable:
     """For one task: a spanning forest (a, b) of its links, and (a, null, degree) of every linked class."""
 
@@ -217,12 +236,11 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
         ids, side, copies = (frame[c].to_numpy() for c in ("class", "side", "copies"))
         sets = [distinct(s).copy() for s in shingle_lists(frame["text"].tolist(), size)]
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        across = key[-1] == "across"
-        if across and not (len(left) and len(right)):
-            found, right = [], left
+        lefts = _tiles(sets, left)
+        if key[-1] == "across":
+            met = [(a, b) for a in lefts for b in _tiles(sets, right)]
         else:
-            found = _product([sets[k] for k in left], [sets[k] for k in right] if across else None, numerator, denominator)
-            right = right if across else left
+            met = [(a, b if b is not a else None) for k, a in enumerate(lefts) for b in lefts[k:]]
         parent = list(range(len(ids)))
 
         def root(x: int) -> int:
@@ -232,14 +250,16 @@ def _links(size: int, numerator: int, denominator: int) -> Callable:
             return x
 
         forest, degree = [], np.zeros(len(ids), np.int64)
-        for i, j in found:
-            x, y = left[i], right[j]
-            degree[x] += copies[y]
-            degree[y] += copies[x]
-            p, q = root(x), root(y)
-            if p != q:
-                parent[p] = q
-                forest.append((ids[x], ids[y], 0))
+        for a, b in met:
+            others = a if b is None else b
+            for i, j in _product([sets[k] for k in a], None if b is None else [sets[k] for k in b], numerator, denominator):
+                x, y = a[i], others[j]
+                degree[x] += copies[y]
+                degree[y] += copies[x]
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[p] = q
+                    forest.append((ids[x], ids[y], 0))
         forest += [(ids[k], ids[k], int(degree[k])) for k in np.flatnonzero(degree)]
         return pd.DataFrame(forest, columns=["a", "b", "degree"])
 
@@ -285,8 +305,7 @@ def linked(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomi
     placed = stored(classes.join(blocks, "one").withColumn("band", _band(F.col("n"), ratio)))
     whole = placed.groupBy("block").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     banded = placed.groupBy("block", "band").agg(F.sum("weight").alias("band_weight"), F.count(F.lit(1)).alias("band_members"))
-    cuts = F.greatest(F.ceil(F.col("band_weight") / BLOCK_SHINGLES), F.ceil(F.col("band_members") / BLOCK_CLASSES))
-    banded = banded.select("block", "band", cuts.cast("int").alias("cuts"))
+    banded = banded.select("block", "band", _cuts(F.col("band_weight"), F.col("band_members")).alias("cuts"))
     near = banded.select("block", (F.col("band") - 1).alias("band"), F.col("cuts").alias("cuts_above"))
     near_below = banded.select("block", (F.col("band") + 1).alias("band"), F.col("cuts").alias("cuts_below"))
     banded = banded.join(near, ["block", "band"], "left").join(near_below, ["block", "band"], "left").join(whole, "block")
@@ -303,10 +322,11 @@ def linked(docs: DataFrame, size: int = SIZE, numerator: int = NUMERATOR, denomi
     )
     small = (F.col("weight") <= BLOCK_SHINGLES) & (F.col("members") <= BLOCK_CLASSES)
     tasks = F.when(small, F.array(task(zero, zero, zero, zero, 0, "within"))).otherwise(pairs)
-    wanted = dealt.select("class", F.col("rep").alias("doc_id"), "key")
-    wanted = wanted.join(texts, ["doc_id", "key"]).dropDuplicates(["class"]).select("class", "text")
-    dealt = dealt.select("class", "copies", F.explode(tasks).alias("t")).select("class", "copies", "t.*")
-    grouped = dealt.join(wanted, "class").groupBy("block", "low", "i", "high", "j", "kind")
+    wanted = dealt.select("class", "copies", F.col("rep").alias("doc_id"), "key", tasks.alias("tasks"))
+    may = sieve(placed.join(whole, "block").select("rep", "key"))
+    # one row of a text that stands in several; a class's text leaves its place once, for its tasks
+    wanted = wanted.join(texts.filter(may("doc_id", "key")), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    grouped = wanted.select("class", "copies", "text", F.explode("tasks").alias("t")).select("class", "copies", "text", "t.*").groupBy("block", "low", "i", "high", "j", "kind")
     links = stored(grouped.applyInPandas(_links(size, numerator, denominator), "a long, b long, degree long"))
 
     merged = components(links.filter("a != b").select("a", "b")).select(F.col("node").alias("class"), "component")
@@ -326,8 +346,12 @@ def join(docs: DataFrame, **options) -> DataFrame:
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
     """The rows without those that link, directly or through others, with one of a smaller id; equal rows stay together."""
-    gone = linked(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")
+    gone = stored(linked(docs, **options).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__key")).distinct())
+    # only rows that may go are shuffled
+    may = sieve(gone)(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    asked = docs.filter(may)
+    left = asked.join(gone, (asked["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(asked["text"]) == gone["__key"]), "left_anti")
+    return docs.filter(~may).unionByName(left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

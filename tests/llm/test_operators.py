@@ -408,6 +408,55 @@ def test_many_near_copies_are_one_group(spark, monkeypatch):
     assert [tuple(r) for r in got.groupBy("component_id", "n_links").count().collect()] == [(0, 49_999, 50_000)]
 
 
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_texts_that_meet_no_other_are_not_shuffled(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))
+    rows = [(k, text()) for k in range(1500)]
+    rows += [(1500 + k, rows[k][1] + " end") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    docs.count()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = jaccard_join.join(docs).filter("n_links > 0").count()
+        joined = shuffled(spark)
+        left = jaccard_join.representatives(docs).count()
+        after = shuffled(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        docs.unpersist()
+    written = lambda some, others: sum(n for k, n in some.items() if k not in others)
+    total = sum(len(t) for _, t in rows)
+    assert got == 60 and left == 1500
+    assert written(joined, before) < 0.3 * total and written(after, joined) < 0.3 * total
+
+
+def test_sieve_lets_all_keys_pass_and_few_others(spark):
+    keys = spark.createDataFrame([(k, f"t{k}") for k in range(3000)] + [(None, "a"), (5, None)], "a long, b string")
+    may = common.sieve(keys)
+    assert keys.filter(may("a", "b")).count() == 3002
+    assert spark.range(20_000).filter(may(F.col("id"), F.concat(F.lit("u"), "id"))).count() < 2000
+    assert keys.filter(common.sieve(keys.limit(0))("a", "b")).count() == 0
+
+
+def test_texts_of_large_blocks_go_to_fewer_tasks(spark):
+    sizes = spark.createDataFrame([(3_000, 10), (10, 8_000), (10, 20_000), (10, 80_000), (40_000_000, 10)], "w long, m long")
+    assert [r[0] for r in sizes.select(jaccard_join._cuts(F.col("w"), F.col("m"))).collect()] == [1, 8, 8, 20, 25]
+    sets = [np.arange(n) for n in (5, 300_000, 90_000, 20_000, 7)] + [np.arange(3)] * 2500
+    tiles = jaccard_join._tiles(sets, np.arange(1, len(sets)))
+    assert np.concatenate(tiles).tolist() == list(range(1, len(sets))) and max(map(len, tiles)) == 1000
+    assert max(sum(len(sets[k]) for k in t) for t in tiles) <= jaccard_join.BLOCK_SHINGLES
+    assert jaccard_join._tiles(sets, np.arange(0)) == []
+
+
 def test_overlaps_are_counted_as_integers(monkeypatch):
     monkeypatch.setattr(jaccard_join, "STRIP", 8)
     rng = np.random.default_rng(3)
