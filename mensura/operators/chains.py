@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +38,16 @@ def ranks(links: DataFrame) -> DataFrame:
         moved = open_.join(ahead, "next").select("node", F.col("further").alias("next"), F.col("end").alias("last"), (F.col("after") + F.col("more")).alias("after"))
         state = kept(moved.unionByName(closed))
     raise RuntimeError(f"lists not ranked in {MAX_ROUNDS} rounds")
+
+
+def followed(node: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """label (the smallest node of the cycle) and after (how many of the cycle come after it, up to the one before its smallest) of
+    nodes that are all in one task; following is the place of the next one of each."""
+    label, ahead = node.copy(), following.copy()
+    for _ in range(max(1, len(node)).bit_length()):
+        label, ahead = np.minimum(label, label[ahead]), ahead[ahead]
+    last = node[following] == label
+    after, ahead = (~last).astype(np.int64), np.where(last, np.arange(len(node)), following)
+    for _ in range(max(1, len(node)).bit_length()):
+        after, ahead = after + after[ahead], ahead[ahead]
+    return label, after

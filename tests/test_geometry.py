@@ -6,6 +6,7 @@ import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,26 @@ def test_faces_equal_plain(spark):
     assert sorted(r.area for r in rooms.collect()) == [96.0, 100.0, 100.0]
 
 
+def test_faces_of_large_groups_equal_plain(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "WHOLE", 12)  # groups of more segments go by exchanges and pointer doubling
+    sheets = {n: s for n, s in drawings().items() if n in ("random 3", "nested", "bridge", "doubled", "nothing")}
+    rows = [(name, *map(float, s)) for name, segments in sheets.items() for s in segments]
+    found = polygons.faces(spark.createDataFrame(rows, SEGMENTS).repartition(3), snap=0.5).collect()
+    for name, segments in sheets.items():
+        assert sorted((r.area, r.vertices, r.holes, (r.ring[0].x, r.ring[0].y)) for r in found if r.sheet == name) == plain_faces(segments), name
+        for r in (r for r in found if r.sheet == name and not r.holes):
+            assert sum(a.x * b.y - b.x * a.y for a, b in zip(r.ring, [*r.ring[1:], r.ring[0]])) / 2 == r.area
+
+
+def test_cycles_followed_in_one_task():
+    node, following = np.array([7, 2, 9, 4, 5, 30]), np.array([2, 3, 0, 4, 1, 5])
+    label, after = chains.followed(node, following)
+    assert label.tolist() == [7, 2, 7, 2, 2, 30] and after.tolist() == [1, 2, 0, 1, 0, 0]
+    ring = np.random.default_rng(5).permutation(1000)
+    label, after = chains.followed(np.arange(1000), np.roll(ring, -1)[np.argsort(ring)])
+    assert set(label) == {0} and sorted(after) == list(range(1000)) and after[0] == 999
+
+
 def test_no_segments_no_faces(spark):
     assert polygons.faces(spark.createDataFrame([], SEGMENTS)).collect() == []
 
